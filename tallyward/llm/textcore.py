@@ -33,6 +33,19 @@ FAR = np.uint64(0xD6E8FEB86659FD93)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def run_hash(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64 bits for each run of bytes from one start to the next: random numbers by byte and place, summed and scrambled."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = np.diff(start, append=len(buf))
+    place = np.arange(len(buf)) - np.repeat(start, size)
+    with np.errstate(over="ignore"):
+        part = TABLE[((place & 31) << 8) + buf]
+        if len(far := np.flatnonzero(place >= 32)):
+            part[far] *= np.power(FAR, (place[far] >> 5).astype(np.uint64))
+        return _mixed(np.add.reduceat(part, start) + size.astype(np.uint64))
+
+
 class Words:
     """The words of a batch of texts.
 
@@ -64,17 +77,8 @@ class Words:
     def hash(self) -> np.ndarray:
         """64 bits for each word: a sum of random numbers by byte and place, scrambled."""
         if self._hash is None:
-            if not len(self.start):
-                self._hash = np.zeros(0, np.uint64)
-                return self._hash
             size = self.end - self.start
-            begin = np.cumsum(size) - size
-            place = np.arange(int(size.sum())) - np.repeat(begin, size)
-            with np.errstate(over="ignore"):
-                part = TABLE[((place & 31) << 8) + self.buf[self.solid]]
-                if len(far := np.flatnonzero(place >= 32)):
-                    part[far] *= np.power(FAR, (place[far] >> 5).astype(np.uint64))
-                self._hash = _mixed(np.add.reduceat(part, begin) + size.astype(np.uint64))
+            self._hash = run_hash(self.buf[self.solid], np.cumsum(size) - size)
         return self._hash
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
