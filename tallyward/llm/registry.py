@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_counts
 
 
 def queries() -> dict:
-    return {"op3_quality_rules": quality_rules.op3_quality_rules}
+    return {
+        "op2_mixing": mixing.op2_mixing,
+        "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+        "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
+        "op8_token_counts": token_counts.op8_token_counts,
+        "op10_language_id": language_id.op10_language_id,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_mixing": mixing.OP2_SQL}
