@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_counts
+from . import language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_quality_classifier": quality_classifier.op6_quality_classifier,
         "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
         "op8_token_counts": token_counts.op8_token_counts,
+        "op9_simhash": simhash.op9_simhash,
         "op10_language_id": language_id.op10_language_id,
     }
 
