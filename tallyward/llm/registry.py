@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts
+from . import language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_quality_classifier": quality_classifier.op6_quality_classifier,
         "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
         "op8_token_counts": token_counts.op8_token_counts,

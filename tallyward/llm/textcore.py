@@ -30,7 +30,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 #: One random number for each byte value at each of 32 places of a word.
 TABLE = mixed(np.arange(1, 32 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FAR = np.uint64(0xD6E8FEB86659FD93)
-STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0x9E3779B97F4A7C17)
 
 
 def run_hash(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -82,13 +82,28 @@ class Words:
         return self._hash
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of each k consecutive words, by first word, and whether they lie in one text."""
+        """A hash of each k consecutive words, by first word, and whether they lie in one text (a rolling polynomial)."""
         n = max(0, len(self.doc) - k + 1)
-        h = np.zeros(n, np.uint64)
+        if not n:
+            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        up, down = _powers(len(self.doc))
         with np.errstate(over="ignore"):
-            for j in range(k):
-                h = _mixed(h * STEP + self.hash[j : n + j])
-        return h, (self.doc[:n] == self.doc[k - 1 :] if n else np.zeros(0, bool))
+            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * up, dtype=np.uint64)])
+            h = _mixed((run[k:] - run[:-k]) * down[:n])
+        return h, self.doc[:n] == self.doc[k - 1 :]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    global _UP, _DOWN
+    if len(_UP) < n:
+        with np.errstate(over="ignore"):
+            _UP = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, STEP)]))
+            _DOWN = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(STEP), -1, 1 << 64)))]))
+    return _UP[:n], _DOWN[:n]
+
+
+_UP = _DOWN = np.ones(1, np.uint64)
 
 
 def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
