@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts
+from . import language_id, mixing, ngram_lm, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_lm": ngram_lm.op1_ngram_lm,
         "op2_mixing": mixing.op2_mixing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
