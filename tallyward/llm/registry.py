@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, ngram_lm, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts
+from . import language_id, learned_partitions, mixing, ngram_lm, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_ngram_lm": ngram_lm.op1_ngram_lm,
         "op2_mixing": mixing.op2_mixing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_learned_partitions": learned_partitions.op4_learned_partitions,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_quality_classifier": quality_classifier.op6_quality_classifier,
         "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
