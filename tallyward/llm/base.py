@@ -55,6 +55,9 @@ def crc_mod(id_column: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % m
 
 
+_UTF8 = "_text_as_utf8"
+
+
 def map_texts(docs: DataFrame, make, fields: str, keep: tuple[str, ...] = ("doc_id",), slice_bytes: int = 4 << 20) -> DataFrame:
     """One output row for each row: the kept columns, then what ``make()(list of UTF-8 bytes or None)`` returns by name.
 
@@ -64,8 +67,8 @@ def map_texts(docs: DataFrame, make, fields: str, keep: tuple[str, ...] = ("doc_
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    source = docs.select(*[F.col(k) for k in keep], F.col("text").cast("binary").alias("text"))
-    kept = StructType([f for f in source.schema.fields if f.name != "text"])
+    source = docs.select(*[F.col(k) for k in keep], F.col("text").cast("binary").alias(_UTF8))
+    kept = StructType([f for f in source.schema.fields if f.name != _UTF8])
     schema = StructType(kept.fields + _parse_datatype_string(fields).fields)
     arrow = to_arrow_schema(schema, timestampUTC=True) if _takes_utc(to_arrow_schema) else to_arrow_schema(schema)
     n_kept = len(kept.fields)
@@ -73,13 +76,13 @@ def map_texts(docs: DataFrame, make, fields: str, keep: tuple[str, ...] = ("doc_
     def run(batches):
         f = make()
         for batch in batches:
-            sizes = batch.column("text").nbytes // max(1, batch.num_rows)
+            sizes = batch.column(_UTF8).nbytes // max(1, batch.num_rows)
             step = max(1, min(batch.num_rows, slice_bytes // max(1, sizes)))
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
-                got = f(part.column("text").to_pylist())
+                got = f(part.column(_UTF8).to_pylist())
                 columns = [part.column(i) for i in range(n_kept)]
-                columns += [pa.array(got[x.name], x.type) for x in list(arrow)[n_kept:]]
+                columns += [got[x.name] if isinstance(got[x.name], pa.Array) else pa.array(got[x.name], x.type) for x in list(arrow)[n_kept:]]
                 yield pa.RecordBatch.from_arrays([c.cast(x.type) for c, x in zip(columns, arrow)], schema=arrow)
 
     return source.mapInArrow(run, schema)

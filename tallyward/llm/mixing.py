@@ -99,11 +99,17 @@ def copies(rows: DataFrame, schedules=SCHEDULES, most: float = 2.0, whole: bool
     return rows.withColumn("copies", F.expr(f"filter(array({', '.join(passes)}), c -> c.words > 0)"))
 
 
-def mixed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), whole: bool = True) -> DataFrame:
-    """The mix itself: keep, pass, words and position, a row for each copy of a document, range-sorted by position."""
-    rows = base.written(sized(docs, tuple(dict.fromkeys((*keep, "doc_id", "source")))), "sizes")
-    out = copies(placed(rows), whole=whole).select(*keep, F.inline("copies"))
-    return out.orderBy("position", "doc_id", "pass")
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: the documents that it takes, whole, once for each pass, range-sorted by training position.
+
+    Rows that share a doc_id are taken together, with the most passes of any of them.
+    """
+    rows = base.written(sized(docs, ("doc_id", "source")), "sizes")
+    plan = copies(placed(rows), whole=True).select(F.col("doc_id").alias("takes"), F.inline("copies"))
+    plan = plan.groupBy("takes", "pass").agg(F.min("position").alias("position"))
+    plan = plan.groupBy("takes").agg(F.collect_list(F.struct("pass", "position")).alias("copies"))
+    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("takes"))).select(*docs.columns, F.inline("copies"))
+    return out.orderBy("position", "doc_id", "pass").select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

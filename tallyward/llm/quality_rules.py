@@ -150,8 +150,8 @@ def _bin() -> Column:
     return F.floor(BINS_PER_OCTAVE * F.log2(F.col("d2") + 2.0**-10)).cast("int")
 
 
-def grouped(stats: DataFrame, min_rows: int) -> DataFrame:
-    """Adds grp: the language and source, or the pool that too small ones share; null where even that is too small."""
+def cells_of(stats: DataFrame, min_rows: int) -> DataFrame:
+    """(l, s, grp): the group of each language and source: itself, or the pool that too small ones share."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     cells = stats.where(~base_failed()).groupBy("lang", "source").agg(F.count("*").alias("n"))
     cells = cells.withColumn("own", F.col("n") >= min_rows)
@@ -163,7 +163,10 @@ def grouped(stats: DataFrame, min_rows: int) -> DataFrame:
         .when(F.col("n_lang") >= min_rows, F.concat(name("lang"), F.lit("\x1f*")))
         .otherwise(F.lit("*")),
     )
-    cells = base.written(cells.select(F.col("lang").alias("l"), F.col("source").alias("s"), "grp"), "cells")
+    return base.written(cells.select(F.col("lang").alias("l"), F.col("source").alias("s"), "grp"), "cells")
+
+
+def grouped(stats: DataFrame, cells: DataFrame) -> DataFrame:
     cells = base.small(cells, cells.count(), 20_000)
     return stats.join(cells, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
 
@@ -185,19 +188,37 @@ def estimate(rows: DataFrame, share: float, steps: int, min_rows: int) -> DataFr
     return model
 
 
-def verdicts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: float = 0.65, steps: int = 4, min_rows: int = 100, tail: float = 1e-5) -> DataFrame:
-    """keep and the counts of each document, base_failed, distance (null without a model) and kept.
+def fitted(stats: DataFrame, share: float = 0.65, steps: int = 4, min_rows: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The groups of all languages and sources, and the model of each group, from written statistics.
+
+    share: of a group's rows that a concentration step looks at.
+    """
+    cells = cells_of(stats, min_rows)
+    return cells, estimate(grouped(stats, cells), share, steps, min_rows)
+
+
+def judged(stats: DataFrame, cells: DataFrame, model: DataFrame, tail: float = 1e-5) -> DataFrame:
+    """Adds base_failed, distance (null without a model) and kept.
 
-    share: of a group's rows that a concentration step looks at; tail: the chance that a document of a normal law
-    would lie beyond the cut.
+    tail: the chance that a document of a normal law would lie beyond the cut.
     """
-    wide = tuple(dict.fromkeys((*keep, "lang", "source")))
-    rows = base.written(grouped(statistics(docs, wide), min_rows), "stats")
-    model = estimate(rows, share, steps, min_rows)
     model = base.small(model.drop("rows"), model.count(), 5_000)
-    out = rows.join(model, "grp", "left").withColumn("d2", _distance()).withColumn("base_failed", base_failed())
-    kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= chi2_quantile(1 - tail, P)))
-    return out.select(*keep, *COUNTS, "base_failed", F.when(~F.col("base_failed"), F.sqrt("d2")).alias("distance"), kept.alias("kept"))
+    out = grouped(stats, cells).join(model, "grp", "left").withColumn("d2", _distance()).withColumn("base_failed", base_failed())
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= chi2_quantile(1 - tail, P))))
+    return out.withColumn("distance", F.when(~F.col("base_failed"), F.sqrt("d2")))
+
+
+def verdicts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, the counts of each document, base_failed, distance and kept."""
+    stats = base.written(statistics(docs, tuple(dict.fromkeys((*keep, "lang", "source")))), "stats")
+    return judged(stats, *fitted(stats)).select(*keep, *COUNTS, "base_failed", "distance", "kept")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with their columns. The texts are read twice rather than moved."""
+    stats = base.written(statistics(docs, ("lang", "source")), "stats")
+    cells, model = fitted(stats)
+    return judged(statistics(docs, tuple(docs.columns)), cells, model).where("kept").select(*docs.columns)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

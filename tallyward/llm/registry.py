@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import language_id, learned_partitions, mixing, ngram_lm, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_simhash": simhash.op9_simhash,
         "op10_language_id": language_id.op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 

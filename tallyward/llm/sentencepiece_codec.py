@@ -242,18 +242,22 @@ class Codec:
             joined = joined.decode("utf-8", "replace").encode()
         return joined[1:] if self.prefix and joined.startswith(b" ") else joined
 
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The decoded text of each run of ids between two bounds, in UTF-8."""
+        data = rendered(ids, *self.surfaces)
+        at = np.append(0, np.cumsum(self.surfaces[2][ids]))[bounds].tolist()
+        return [self._text(data[lo:hi]) for lo, hi in zip(at[:-1], at[1:])]
+
     def digests(self, texts: list[bytes | None]) -> dict[str, list]:
         """Number of ids, and SHA-256 of the ids, of the decoded text and of the pieces' ends in source bytes."""
         ids, bounds, spans = self.batch(texts)
-        numbers, a = rendered(ids, *self.decimals), bounds
-        digits = np.append(0, np.cumsum(self.decimals[2][ids]))[a]
-        decoded = rendered(ids, *self.surfaces)
-        chars = np.append(0, np.cumsum(self.surfaces[2][ids]))[a]
+        numbers = rendered(ids, *self.decimals)
+        digits = np.append(0, np.cumsum(self.decimals[2][ids]))[bounds]
         sha = lambda b: hashlib.sha256(b).hexdigest()
         return {
             "n_tokens": np.diff(bounds),
             "ids_sha256": [sha(numbers[lo : max(lo, hi - 1)]) for lo, hi in zip(digits[:-1].tolist(), digits[1:].tolist())],
-            "decoded_sha256": [sha(self._text(decoded[lo:hi])) for lo, hi in zip(chars[:-1].tolist(), chars[1:].tolist())],
+            "decoded_sha256": [sha(t) for t in self.decoded(ids, bounds)],
             "ends_sha256": [sha(e.astype("<i8").tobytes()) for e in spans],
         }
 
@@ -292,18 +296,25 @@ def digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, ids, and start and end of each piece in source bytes, of each document."""
+    """keep, the ids, the end of each piece in source bytes, and the SHA-256 of the decoded text of each document."""
+    import pyarrow as pa
 
     def make():
         c = codec(path)
 
         def run(texts):
-            rows = [c.encode((t or b"").decode("utf-8", "replace")) for t in texts]
-            return {"ids": [r[0] for r in rows], "starts": [[a for a, _ in r[1]] for r in rows], "ends": [[b for _, b in r[1]] for r in rows]}
+            ids, bounds, spans = c.batch(texts)
+            at = pa.array(bounds.astype(np.int32))
+            ends = np.concatenate([*spans, np.zeros(0, np.int64)])
+            return {
+                "ids": pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32())),
+                "ends": pa.ListArray.from_arrays(at, pa.array(ends.astype(np.int32))).cast(pa.list_(pa.int32())),
+                "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in c.decoded(ids, bounds)],
+            }
 
         return run
 
-    return base.map_texts(docs, make, "ids array<int>, starts array<long>, ends array<long>", keep)
+    return base.map_texts(docs, make, "ids array<int>, ends array<int>, decoded_sha256 string", keep)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

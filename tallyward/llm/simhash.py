@@ -270,6 +270,13 @@ def classes(docs: DataFrame, words: int = 3, bits: int = 3, keep: tuple[str, ...
     return rows.join(known, F.col("fp") == F.col("fp0")).drop("fp0")
 
 
+def representatives(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame:
+    """The documents whose id is their component's, with all their columns; rows without an id stand or fall together."""
+    stay = classes(docs.select("doc_id", "text"), words, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = stay.select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

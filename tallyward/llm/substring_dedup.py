@@ -198,6 +198,13 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: i
     return exchange.joined(batches, hits=hits, windows=windows).select("block", "hits", "windows").mapInArrow(run, schema)
 
 
+def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+    """The documents with repeated passages taken out of text (and n_chars set); one without a word left goes."""
+    out = deduplicated(docs, tuple(c for c in docs.columns if c not in ("text", "n_chars")), window)
+    out = out.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0)).withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return deduplicated(docs, result="digest")
