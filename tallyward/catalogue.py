@@ -1,10 +1,642 @@
-"""Every query by name, and the equivalent SQL where there is one."""
+"""Every query by name over the parquet tables, and the SQL that gives the same rows where SQL can.
+
+Sums are taken in whole millionths and transcendental results rounded to six decimals, so that values agree exactly.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import accounting, codec
+from .functions.exact import Duck, laplace, order_key, rounded
+from .model import checked, sample_size
+from .operators import aggregate, learn, privacy, sampling, shaping, similarity
+from .plans.rounds import timed
+from .sources import fixtures as fx
+from .streaming import rounds as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+D, K = fx.D, fx.K
+S = fx.Duck
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def clients_of(df: DataFrame) -> int:
+    return df.select("client_id").distinct().count()
+
+
+def _mean_sql(source: str, name: str, d: str, n: str) -> str:
+    return f"""WITH {source} SELECT s.i AS idx, coalesce(sum({Duck.micro('value')}), 0)::BIGINT * (1.0::DOUBLE / {n}) / 1e6::DOUBLE AS value
+FROM (SELECT unnest(range({d})) AS i) s LEFT JOIN {name} u ON u.idx = s.i GROUP BY s.i"""
+
+
+# Aggregation
+
+DENSE = S.TOP
+SPARSE_D = "(SELECT count(*) FROM part)"
+SPARSE_N = "(SELECT count(DISTINCT client_id) FROM f2)"
+DENSE_N = "(SELECT count(*) FROM embeddings)"
+
+
+@query(_mean_sql(DENSE, "top", str(D), DENSE_N))
+def secure_round_flagship(spark, sf):
+    u = fx.dense_updates(spark, sf)
+    return aggregate.mean(shaping.top_k(u, K), fx.table(spark, sf, "embeddings").count(), D, exact=True)
+
+
+def _sparse(spark, sf, hint, **kw):
+    u = fx.sparse_updates(spark, sf)
+    return aggregate.mean(u, clients_of(u), fx.table(spark, sf, "part").count(), hint, exact=True, **kw)
+
+
+def _top(spark, sf, hint, **kw):
+    u = shaping.top_k(fx.dense_updates(spark, sf), K)
+    return aggregate.mean(u, fx.table(spark, sf, "embeddings").count(), D, hint, exact=True, **kw)
+
+
+_SPARSE_SQL = _mean_sql(S.F2, "f2", SPARSE_D, SPARSE_N)
+
+
+@query(_SPARSE_SQL)
+def agg_sparse_mean(spark, sf):
+    return _sparse(spark, sf, "non_oblivious")
+
+
+@query(_SPARSE_SQL)
+def agg_batched_two_level(spark, sf):
+    return _sparse(spark, sf, "optimized", batch=10)
+
+
+@query(_SPARSE_SQL)
+def agg_sorted_fold(spark, sf):
+    return _sparse(spark, sf, "advanced")
+
+
+@query(_mean_sql(DENSE, "top", str(D), DENSE_N))
+def agg_cacheline_match(spark, sf):
+    return _top(spark, sf, "baseline")
+
+
+@query(_mean_sql(DENSE, "top", str(D), DENSE_N))
+def agg_bubble_equivalent(spark, sf):
+    return _top(spark, sf, "bubble")
+
+
+@query(_mean_sql(DENSE, "top", str(D), DENSE_N))
+def agg_oram_equivalent(spark, sf):
+    return _top(spark, sf, "path_oram")
+
+
+@query(_SPARSE_SQL)
+def agg_with_dummies(spark, sf):
+    d = fx.table(spark, sf, "part").count()
+    counts = privacy.dummy_counts(spark.range(d).select(F.col("id").alias("idx")), d, 10, 100.0, 0.01, "dummy")
+    extra = privacy.dummies(counts, privacy.laplace_threshold(d, 10, 100.0, 0.01)[1]).unionByName(spark.range(3).select((F.col("id") + d).alias("idx"), F.lit(0.0).alias("value")))
+    return _sparse(spark, sf, "nips19", dummies=extra)
+
+
+@query(f"WITH {S.F1} SELECT idx, sum({Duck.micro('value')})::BIGINT * (1.0::DOUBLE / count(*)) / 1e6::DOUBLE AS value FROM f1 GROUP BY idx")
+def agg_dense_mean(spark, sf):
+    return aggregate.dense_mean(fx.dense_updates(spark, sf), exact=True)
+
+
+@query(f"WITH {S.F2}, t AS (SELECT sum({Duck.micro('value')})::BIGINT / 1e6::DOUBLE / {SPARSE_N}::DOUBLE AS s FROM f2 WHERE idx >= 0 AND idx < {SPARSE_D}) SELECT s AS sent, s AS held FROM t")
+def agg_checksum(spark, sf):
+    u = fx.sparse_updates(spark, sf)
+    return aggregate.checksum(u, clients_of(u), fx.table(spark, sf, "part").count())
+
+
+_NOISE = Duck.normal("dp", "idx")
+
+
+@query(f"WITH m AS ({_mean_sql(DENSE, 'top', str(D), DENSE_N)}) SELECT idx, {Duck.rounded(f'value + {1.12 * 1.0 / 100!r}::DOUBLE * {_NOISE}')} AS value FROM m")
+def agg_gaussian_dp(spark, sf):
+    return privacy.gaussian(_top(spark, sf, "non_oblivious"), 1.12, 1.0, 100, "dp").select("idx", rounded("value").alias("value"))
+
+
+@query(f"WITH {S.F3} SELECT round, idx, count(*) AS count FROM f3 GROUP BY ALL HAVING count(*) >= 5")
+def index_counts(spark, sf):
+    return aggregate.index_counts(fx.rounds(spark, sf), ("round",), 5).withColumn("round", F.col("round").cast("long"))
+
+
+@query(f"""WITH {S.F3}, v AS (SELECT client_id, CASE WHEN value > 50 THEN idx % 10 ELSE round % 10 END AS winner FROM f3)
+SELECT client_id, winner AS label, count(*) AS votes FROM v GROUP BY ALL""")
+def one_vs_one_votes(spark, sf):
+    r = fx.rounds(spark, sf)
+    return aggregate.one_vs_one_votes(r.select("client_id", F.when(F.col("value") > 50, F.col("idx") % 10).otherwise(F.col("round").cast("long") % 10).alias("winner")))
+
+
+_TRIALS = "(l_suppkey % 3)"
+
+
+@query(f"""SELECT l_returnflag AS algorithm, 100::BIGINT AS num_of_parameters, 10::BIGINT AS num_of_sparse_parameters, 5::BIGINT AS num_of_clients,
+{', '.join(f"avg(CASE WHEN {_TRIALS} > 0 THEN {e} END) AS {c}" for c, e in (('load_s', 'l_quantity'), ('decryption_s', 'l_linenumber::DOUBLE'), ('aggregation_s', 'l_quantity * 2'), ('total_s', 'l_quantity * 4')))},
+count(*) FILTER ({_TRIALS} > 0) AS trials FROM lineitem GROUP BY 1""")
+def bench_summary(spark, sf):
+    line = fx.table(spark, sf, "lineitem")
+    rows = line.select(F.col("l_returnflag").alias("algorithm"), F.lit(100).cast("long").alias("num_of_parameters"), F.lit(10).cast("long").alias("num_of_sparse_parameters"), F.lit(5).cast("long").alias("num_of_clients"), F.col("l_quantity").alias("load_s"), F.col("l_linenumber").cast("double").alias("decryption_s"), (F.col("l_quantity") * 2).alias("aggregation_s"), (F.col("l_quantity") * 4).alias("total_s"), (F.col("l_suppkey") % 3).alias("trial"))
+    return aggregate.bench_summary(rows)
+
+
+@query(f"""WITH {S.F3}, e AS (SELECT round, client_id, idx % 3 AS epoch, avg(value) AS v FROM (SELECT *, {Duck.micro('value')} AS value FROM f3) t(round, client_id, idx, raw, value) GROUP BY ALL),
+c AS (SELECT round, client_id, avg(v) AS v FROM e GROUP BY ALL) SELECT round, {Duck.rounded('avg(v) / 1e6::DOUBLE')} AS value FROM c GROUP BY round""")
+def mean_of_means(spark, sf):
+    r = fx.rounds(spark, sf).select(F.col("round").cast("long").alias("round"), "client_id", (F.col("idx") % 3).alias("epoch"), F.floor(F.col("value") * 1e6 + 0.5).alias("value"))
+    return aggregate.mean_of_means(r).select("round", rounded(F.col("value") / 1e6).alias("value"))
+
+
+@query(f"WITH {S.F1}, m AS ({_mean_sql(DENSE, 'top', str(D), DENSE_N)}), b AS (SELECT idx, value FROM f1 WHERE client_id = 0) SELECT b.idx, b.value + m.value AS value FROM b JOIN m USING (idx)")
+def apply_mean_update(spark, sf):
+    base = fx.dense_updates(spark, sf).where("client_id = 0")
+    return aggregate.applied(base, _top(spark, sf, "non_oblivious"))
+
+
+@query(_mean_sql("f6 AS (SELECT c AS client_id, (j * 619 + ('0x' || substr(md5('13|' || c::VARCHAR), 1, 8))::BIGINT % 1000) % 1000 AS idx FROM (SELECT unnest(range(40)) AS c), (SELECT unnest(range(100)) AS j)), f7 AS (SELECT client_id, idx, (idx * 0.001::DOUBLE)::FLOAT::DOUBLE AS value FROM f6)", "f7", "1000", "40"))
+def agg_generated_uploads(spark, sf):
+    return aggregate.mean(fx.generated_uploads(spark, 40, 1000, 100), 40, 1000, exact=True)
+
+
+# Shaping
+
+
+@query(f"WITH {S.TOP} SELECT client_id, idx, value, rank FROM top")
+def topk_per_client(spark, sf):
+    return shaping.top_k(fx.dense_updates(spark, sf), K).select("client_id", "idx", "value", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {S.F1} SELECT client_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY abs(value) DESC, idx) AS r FROM f1) WHERE r <= {shaping.expanded_k(K, 0.5)}")
+def topk_teacher_expanded(spark, sf):
+    return shaping.top_k(fx.dense_updates(spark, sf), shaping.expanded_k(K, 0.5)).select("client_id", "idx")
+
+
+_SQUARE = f"(sum({Duck.micro('value * value')}) OVER (PARTITION BY client_id)::BIGINT / 1e6::DOUBLE)"
+
+
+@query(f"WITH {S.F1}, n AS (SELECT *, {_SQUARE} AS q FROM f1) SELECT client_id, idx, {Duck.rounded('value * CASE WHEN q = 0 THEN 1 ELSE least(1.0::DOUBLE, 0.5::DOUBLE / sqrt(q)) END')} AS value FROM n")
+def l2_clip(spark, sf):
+    return shaping.clipped(fx.dense_updates(spark, sf), 0.5).select("client_id", "idx", rounded("value").alias("value"))
+
+
+@query(f"WITH {S.F1}, n AS (SELECT *, {_SQUARE} AS q FROM f1) SELECT client_id, idx, {Duck.rounded('value * least(1.0::DOUBLE, 0.5::DOUBLE / (sqrt(q) + 1e-6::DOUBLE))')} AS value FROM n")
+def gradient_norm_clip(spark, sf):
+    return shaping.clipped(fx.dense_updates(spark, sf), 0.5, slack=1e-6).select("client_id", "idx", rounded("value").alias("value"))
+
+
+@query(f"WITH {S.F1} SELECT a.client_id, a.idx, a.value - b.value AS value FROM f1 a JOIN f1 b ON a.idx = b.idx AND b.client_id = 0")
+def diff_from_global(spark, sf):
+    u = fx.dense_updates(spark, sf)
+    return shaping.difference(u, u.where("client_id = 0")).select("client_id", "idx", "value")
+
+
+@query(f"WITH {S.F1}, {S.LAYOUT} SELECT client_id, name, list(value ORDER BY idx) AS values FROM f1 JOIN layout ON NOT is_buffer AND idx >= start AND idx < stop GROUP BY ALL")
+def recover_layers(spark, sf):
+    return shaping.recovered(fx.dense_updates(spark, sf), fx.layout(spark), ("client_id",))
+
+
+@query(f"WITH {S.F1}, {S.LAYOUT} SELECT idx, value FROM f1 WHERE client_id = 1")
+def flatten_layers(spark, sf):
+    u = fx.dense_updates(spark, sf).where("client_id = 1")
+    return shaping.flattened(shaping.recovered(u, fx.layout(spark)), fx.layout(spark))
+
+
+@query(f'WITH {S.LAYOUT} SELECT layer_pos, name, start, stop AS "end" FROM layout WHERE NOT is_buffer')
+def index_ranges(spark, sf):
+    return shaping.ranges(fx.layout(spark)).select("layer_pos", "name", "start", "end")
+
+
+@query(f"WITH {S.LAYOUT} SELECT count(*) FILTER (NOT is_buffer) AS layers, count(*) FILTER (is_buffer) AS buffers, sum(CASE WHEN is_buffer THEN 0 ELSE stop - start END)::BIGINT AS parameters FROM layout")
+def drop_buffers(spark, sf):
+    lay = fx.layout(spark)
+    return shaping.learnable(lay).agg(F.count("*").alias("layers"), F.sum(F.col("end") - F.col("start")).alias("parameters")).join(F.broadcast(shaping.buffers(lay).agg(F.count("*").alias("buffers")))).select("layers", "buffers", "parameters")
+
+
+@query(f"WITH {S.TOP} SELECT client_id, i AS idx, (CASE WHEN t.idx IS NULL THEN 0 ELSE 1 END)::BIGINT AS hot FROM (SELECT vec_id AS client_id FROM embeddings) CROSS JOIN (SELECT unnest(range({D})) AS i) LEFT JOIN (SELECT client_id, idx FROM top) t USING (client_id) WHERE false UNION ALL SELECT e.vec_id, s.i, (EXISTS (SELECT 1 FROM top t WHERE t.client_id = e.vec_id AND t.idx = s.i))::BIGINT FROM embeddings e, (SELECT unnest(range({D})) AS i) s")
+def multi_hot(spark, sf):
+    sets = shaping.top_k(fx.dense_updates(spark, sf), K).groupBy("client_id").agg(F.collect_list("idx").alias("s"))
+    return sets.select("client_id", F.posexplode(shaping.multi_hot(F.col("s"), D)).alias("idx", "hot")).select("client_id", F.col("idx").cast("long").alias("idx"), F.col("hot").cast("long").alias("hot"))
+
+
+@query(f"WITH {S.F3} SELECT client_id, list_sort(list(DISTINCT idx + round * {D})) AS idx FROM f3 GROUP BY 1")
+def concat_rounds_padded(spark, sf):
+    return shaping.concatenated(fx.rounds(spark, sf), D).groupBy("client_id").agg(F.array_sort(F.collect_set("idx")).alias("idx"))
+
+
+@query(f"WITH {S.F3} SELECT client_id, list_sort(list(DISTINCT round)) AS rounds FROM f3 GROUP BY 1")
+def participation_rounds(spark, sf):
+    return shaping.participated(fx.rounds(spark, sf)).select("client_id", F.col("rounds").cast("array<long>").alias("rounds"))
+
+
+# Sampling and partitions
+
+
+@query(f"WITH {S.F2} SELECT client_id FROM (SELECT client_id, row_number() OVER (ORDER BY {Duck.order_key('s', 'client_id')}, client_id) AS r FROM (SELECT DISTINCT client_id FROM f2)) WHERE r <= 30")
+def sample_clients(spark, sf):
+    return sampling.sampled_clients(fx.sparse_updates(spark, sf).select("client_id").distinct(), sample_size(100, 0.3), "s")
+
+
+@query(f"WITH {S.F3} SELECT round, client_id FROM (SELECT *, row_number() OVER (PARTITION BY round ORDER BY {Duck.order_key('s', 'round', 'client_id')}, client_id) AS r FROM (SELECT DISTINCT round, client_id FROM f3)) WHERE r <= 5")
+def round_roster_next(spark, sf):
+    r = fx.rounds(spark, sf).select("round", "client_id").distinct()
+    return sampling.sampled_clients(r, 5, "s", ("round",)).select(F.col("round").cast("long").alias("round"), "client_id")
+
+
+def _rank(seed: str) -> str:
+    return f"row_number() OVER (ORDER BY {Duck.order_key(seed, 'example_id')}, example_id)"
+
+
+@query(f"WITH {S.F4}, n AS (SELECT count(*) // 7 AS m FROM f4) SELECT (r - 1) // m AS client_id, example_id FROM (SELECT example_id, {_rank('iid')} AS r FROM f4), n WHERE r <= m * 7")
+def partition_iid(spark, sf):
+    return sampling.iid(fx.examples(spark, sf), 7, "iid")
+
+
+@query(f"WITH {S.F4} SELECT {_rank('one')} - 1 AS client_id, example_id FROM f4")
+def one_per_user(spark, sf):
+    return sampling.one_per_user(fx.examples(spark, sf), "one")
+
+
+@query(f"WITH {S.F4} SELECT client_id, example_id, CASE WHEN row_number() OVER (PARTITION BY client_id ORDER BY example_id) <= floor(count(*) OVER (PARTITION BY client_id) * 0.9::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM f4")
+def split_train_test(spark, sf):
+    return sampling.positional_split(fx.examples(spark, sf)).select("client_id", "example_id", "part")
+
+
+def _in_label(seed: str) -> str:
+    return f"row_number() OVER (PARTITION BY label ORDER BY {Duck.order_key(seed, 'example_id')}, example_id)"
+
+
+@query(f"WITH {S.F4} SELECT label, example_id FROM (SELECT *, {_in_label('str')} AS r FROM f4) WHERE r <= 15")
+def stratified_attacker_sample(spark, sf):
+    return sampling.stratified(fx.examples(spark, sf), 150, 10, "str").select("label", "example_id")
+
+
+@query(f"WITH {S.F4} SELECT label, example_id, CASE WHEN {_in_label('spl')} <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE + 0.5::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM f4")
+def stratified_split(spark, sf):
+    return sampling.stratified_split(fx.examples(spark, sf), 0.2, "spl").select("label", "example_id", "part")
+
+
+@query(f"WITH {S.F4} SELECT label, example_id, (row_number() OVER (PARTITION BY label ORDER BY {Duck.order_key('mb', 'example_id')}, example_id) - 1) // 16 AS batch_no FROM f4")
+def minibatches(spark, sf):
+    return sampling.minibatches(fx.examples(spark, sf), 16, "mb", ("label",)).select("label", "example_id", "batch_no")
+
+
+@query(f"WITH {S.F4} SELECT client_id, list_sort(list(DISTINCT label)) AS labels FROM f4 GROUP BY 1")
+def client_label_sets(spark, sf):
+    return sampling.label_sets(fx.examples(spark, sf))
+
+
+@query(f"""WITH {S.F4}, r AS (SELECT *, (row_number() OVER (ORDER BY label, {Duck.order_key('une', 'example_id')}, example_id) - 1) // 5 AS shard FROM f4),
+n AS (SELECT (count(*) + 4) // 5 AS c FROM f4), w AS (SELECT id, ('0x' || substr({Duck.order_key('unew', 'id')}, 1, 8))::BIGINT % 30 + 1 AS w FROM (SELECT unnest(range(9)) AS id)),
+b AS (SELECT id, floor(sum(w) OVER (ORDER BY id)::BIGINT * c::DOUBLE / sum(w) OVER ()::BIGINT + 0.5::DOUBLE) AS hi, floor((sum(w) OVER (ORDER BY id)::BIGINT - w) * c::DOUBLE / sum(w) OVER ()::BIGINT + 0.5::DOUBLE) AS lo FROM w, n),
+s AS (SELECT id AS shard, row_number() OVER (ORDER BY {Duck.order_key('unes', 'id')}, id) AS rn FROM (SELECT unnest(range((SELECT c FROM n))) AS id))
+SELECT b.id AS client_id, example_id FROM r JOIN s USING (shard) JOIN b ON rn > lo AND rn <= hi""")
+def partition_unequal(spark, sf):
+    return sampling.unequal(fx.examples(spark, sf), 9, 5, "une")
+
+
+@query()
+def partition_noniid(spark, sf):
+    return sampling.noniid(fx.examples(spark, sf), 12, 3, 5)
+
+
+# Protections and noise
+
+
+def _extra(keys: str, sets: str, seed: str, r: float) -> str:
+    return f"""c AS (SELECT {keys}, floor(count(*) * {r!r}::DOUBLE) AS extra FROM {sets} GROUP BY {keys}),
+free AS (SELECT {keys}, extra, i AS idx FROM c, (SELECT unnest(range({D})) AS i) WHERE ({keys}, i) NOT IN (SELECT ({keys}, idx) FROM {sets})),
+added AS (SELECT {keys}, idx FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {Duck.order_key(seed, keys, 'idx')}, idx) AS q FROM free) WHERE q <= extra)"""
+
+
+@query(f"WITH {S.TOP}, {_extra('client_id', 'top', 'ip', 0.5)} SELECT client_id, idx, true AS real FROM top UNION ALL SELECT client_id, idx, false FROM added")
+def index_privacy(spark, sf):
+    return privacy.index_privacy(shaping.top_k(fx.dense_updates(spark, sf), K), D, 0.5, "ip")
+
+
+@query(f"WITH {S.TOP}, s AS (SELECT client_id % 20 AS round, client_id, idx FROM top) SELECT round, client_id, idx FROM s WHERE (round, idx) IN (SELECT (round, idx) FROM s GROUP BY round, idx HAVING count(*) >= 5)")
+def k_anonymize(spark, sf):
+    t = shaping.top_k(fx.dense_updates(spark, sf), K).select((F.col("client_id") % 20).alias("round"), "client_id", "idx")
+    return privacy.k_anonymous(t, 5).select("round", "client_id", "idx")
+
+
+@query(f"WITH {S.TOP} SELECT client_id, rank, idx // 8 AS idx FROM top")
+def cacheline_ids(spark, sf):
+    return privacy.cache_lines(shaping.top_k(fx.dense_updates(spark, sf), K)).select("client_id", F.col("rank").cast("long").alias("rank"), "idx")
+
+
+_LAP, _LIM = privacy.laplace_threshold(1000, 10, 5.0, 0.01)
+_LAP_SQL = Duck.laplace("lap", _LAP, "idx")
+
+
+@query(f"SELECT idx, {Duck.rounded(_LAP_SQL)} AS noise FROM (SELECT unnest(range(1000)) AS idx)")
+def laplace_noise(spark, sf):
+    return spark.range(1000).select(F.col("id").alias("idx"), rounded(laplace("lap", _LAP, "id")).alias("noise"))
+
+
+@query(f"SELECT idx, greatest(CASE WHEN abs(x) > {_LIM!r}::DOUBLE THEN ceil({_LIM!r}::DOUBLE)::BIGINT ELSE trunc({_LIM!r}::DOUBLE + ceil(x))::BIGINT END, 0)::BIGINT AS dummies FROM (SELECT idx, {_LAP_SQL} AS x FROM (SELECT unnest(range(1000)) AS idx))")
+def dummy_counts(spark, sf):
+    return privacy.dummy_counts(spark.range(1000).select(F.col("id").alias("idx")), 1000, 10, 5.0, 0.01, "lap").select("idx", "dummies")
+
+
+@query(f"""WITH {S.F1}, z AS (SELECT *, {Duck.normal('ldp', 'client_id', 'idx')} AS z FROM f1),
+s AS (SELECT client_id, sum({Duck.micro('value * value')})::BIGINT / 1e6::DOUBLE AS gg, sum({Duck.micro('z * z')})::BIGINT / 1e6::DOUBLE AS zz, sum({Duck.micro('z * value')})::BIGINT / 1e6::DOUBLE AS zg FROM z GROUP BY 1),
+t AS (SELECT client_id, sign(zg) * CASE WHEN {Duck.uniform('ldpf', 'client_id')} < 0.5::DOUBLE + least(sqrt(gg), 1.0::DOUBLE) / 2.0::DOUBLE THEN 1 ELSE -1 END * CASE WHEN {Duck.uniform('ldpl', 'client_id')} > exp(1.9::DOUBLE) / (exp(1.9::DOUBLE) + 1) THEN -1 ELSE 1 END / sqrt(zz) AS turn FROM s)
+SELECT client_id, idx, {Duck.rounded('z * turn')} AS value FROM z JOIN t USING (client_id)""")
+def ldp_perturb(spark, sf):
+    return privacy.ldp_perturbed(fx.dense_updates(spark, sf).select("client_id", "idx", "value"), 1.9, 1.0, "ldp").select("client_id", "idx", rounded("value").alias("value"))
+
+
+@query(f"WITH {S.F1}, v AS (SELECT idx, value * 10 AS value FROM f1 WHERE client_id = 2), n AS (SELECT sqrt(sum({Duck.micro('value * value')})::BIGINT / 1e6::DOUBLE) AS n FROM v) SELECT idx, {Duck.rounded('value / greatest(1.0::DOUBLE, n) * 2.5::DOUBLE')} AS value FROM v, n")
+def l2_projection(spark, sf):
+    v = fx.dense_updates(spark, sf).where("client_id = 2").select("idx", (F.col("value") * 10).alias("value"))
+    return privacy.l2_projection(v, 2.5).select("idx", rounded("value").alias("value"))
+
+
+# What index sets reveal
+
+_SCORES = (
+    S.F5
+    + """, rounds AS (SELECT DISTINCT client_id, round FROM target),
+mine AS (SELECT DISTINCT client_id, idx FROM target), seen AS (SELECT DISTINCT client_id, label, idx FROM rounds JOIN teacher USING (round)),
+n AS (SELECT client_id, count(*) AS n FROM mine GROUP BY 1), m AS (SELECT client_id, label, count(*) AS m FROM seen GROUP BY ALL),
+c AS (SELECT client_id, label, count(*) AS c FROM seen JOIN mine USING (client_id, idx) GROUP BY ALL),
+scores AS (SELECT client_id, label, coalesce(c, 0)::BIGINT AS common, (n + m - coalesce(c, 0))::BIGINT AS either, coalesce(c, 0)::DOUBLE / (n + m - coalesce(c, 0))::DOUBLE AS score FROM m JOIN n USING (client_id) LEFT JOIN c USING (client_id, label)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY score DESC, label) AS place FROM scores)"""
+)
+
+
+def _scored(spark, sf, per_round=False):
+    target, teacher, truth = fx.attack_tables(spark, sf)
+    return similarity.jaccard(target, teacher, per_round), truth
+
+
+@query(f"WITH {_SCORES} SELECT * FROM scores")
+def jaccard_scores(spark, sf):
+    return _scored(spark, sf)[0]
+
+
+@query(f"WITH {_SCORES} SELECT client_id, label, place FROM ranked WHERE place <= 3")
+def infer_top_n(spark, sf):
+    return similarity.top_labels(_scored(spark, sf)[0], 3).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {_SCORES} SELECT client_id, label FROM ranked WHERE place = 1")
+def infer_top1(spark, sf):
+    return similarity.top_labels(_scored(spark, sf)[0], 1).select("client_id", "label")
+
+
+_MEANS = """, q AS (SELECT client_id, label, floor(score * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT AS q, row_number() OVER w AS i, count(*) OVER (PARTITION BY client_id) AS n,
+  sum(floor(score * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS a, sum(floor(score * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT) OVER (PARTITION BY client_id)::BIGINT AS t,
+  lead(floor(score * 1e6::DOUBLE + 0.5::DOUBLE)::BIGINT) OVER w AS nx FROM scores WINDOW w AS (PARTITION BY client_id ORDER BY score, label)),
+g AS (SELECT *, CASE WHEN i < n AND nx > q THEN a * a / i::DOUBLE + (t - a) * (t - a) / (n - i)::DOUBLE END AS gain FROM q),
+cut AS (SELECT client_id, i AS cut FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY gain DESC, i) AS r FROM g WHERE gain IS NOT NULL) WHERE r = 1)"""
+
+
+@query(f"WITH {_SCORES}{_MEANS} SELECT g.client_id, label FROM g LEFT JOIN cut USING (client_id) WHERE i > coalesce(cut, 0)")
+def infer_two_means(spark, sf):
+    return similarity.upper_cluster(_scored(spark, sf)[0])
+
+
+def _metrics_sql(keys: str = "") -> str:
+    k = f"{keys}, " if keys else ""
+    return f"""gs AS (SELECT {k}client_id, list_sort(list(DISTINCT label)) AS guess, min(CASE WHEN place = 1 THEN label END) AS first FROM ranked WHERE place <= 2 GROUP BY {k}client_id),
+rl AS (SELECT client_id, list_sort(list(DISTINCT label)) AS labels FROM truth GROUP BY 1),
+j AS (SELECT *, len(guess) > len(labels) AS m FROM gs JOIN rl USING (client_id)),
+r AS (SELECT {k}count(*) FILTER (NOT m AND guess = labels) AS complete, count(*) FILTER (list_contains(labels, first)) AS hit, count(*) AS evaluated, count(*) FILTER (m) AS missing FROM j {f'GROUP BY {keys}' if keys else ''})
+SELECT *, complete::DOUBLE / nullif(evaluated - missing, 0)::DOUBLE AS complete_share, hit::DOUBLE / nullif(evaluated, 0)::DOUBLE AS hit_share FROM r"""
+
+
+@query(f"WITH {_SCORES}, {_metrics_sql()}")
+def attack_metrics(spark, sf):
+    scores, truth = _scored(spark, sf)
+    return similarity.attack_metrics(similarity.top_labels(scores, 2), similarity.top_labels(scores, 1), truth)
+
+
+_ROUND_SCORES = (
+    S.F5
+    + """, n AS (SELECT client_id, round, count(*) AS n FROM target GROUP BY ALL), seen AS (SELECT client_id, round, label, idx FROM n JOIN teacher USING (round)),
+m AS (SELECT client_id, round, label, count(*) AS m FROM seen GROUP BY ALL), c AS (SELECT client_id, round, label, count(*) AS c FROM seen JOIN target USING (client_id, round, idx) GROUP BY ALL),
+scores AS (SELECT client_id, round, label, coalesce(c, 0)::DOUBLE / (n + m - coalesce(c, 0))::DOUBLE AS score FROM m JOIN n USING (client_id, round) LEFT JOIN c USING (client_id, round, label)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY client_id, round ORDER BY score DESC, label) AS place FROM scores)"""
+)
+
+
+@query(f"WITH {_ROUND_SCORES}, {_metrics_sql('round')}")
+def attack_metrics_per_round(spark, sf):
+    scores, truth = _scored(spark, sf, True)
+    keys = ("client_id", "round")
+    return similarity.attack_metrics(similarity.top_labels(scores, 2, keys), similarity.top_labels(scores, 1, keys), truth, keys=("round",))
+
+
+@query(f"WITH {S.F5}, u AS (SELECT client_id, u.upto, idx FROM target t JOIN (SELECT unnest(range(3)) AS upto) u ON u.upto >= t.round) SELECT client_id, upto, count(DISTINCT idx) AS indices FROM u GROUP BY ALL")
+def cumulative_rounds(spark, sf):
+    target, _, _ = fx.attack_tables(spark, sf)
+    return similarity.cumulative(target, 3).groupBy("client_id", F.col("upto").cast("long").alias("upto")).agg(F.countDistinct("idx").alias("indices"))
+
+
+# Accounting
+
+_SETTINGS = ((0.1, 1.12, 3, 0.1), (0.1, 1.12, 10, 0.1), (0.1, 1.12, 300, 1e-5), (0.3, 1.12, 5, 1e-4), (1.0, 50.0, 500, 1e-5), (0.1, 4.0, 300, 1e-5))
+
+
+@query(f"""WITH o AS (SELECT unnest(range(2, 65)) AS a), t AS (
+  SELECT a, i, coalesce((SELECT sum(ln((a - j)::DOUBLE) - ln((j + 1)::DOUBLE)) FROM (SELECT unnest(range(64)) AS j) WHERE j < i), 0)
+    + i * ln(0.1::DOUBLE) + (a - i) * ln(0.9::DOUBLE) + (i * i - i) / (2::DOUBLE * 1.12::DOUBLE * 1.12::DOUBLE) AS x FROM o, (SELECT unnest(range(65)) AS i) WHERE i <= a),
+m AS (SELECT a, max(x) AS m FROM t GROUP BY a)
+SELECT a AS "order", {Duck.rounded('(any_value(m) + ln(sum(exp(x - m)))) / (a - 1)')} AS rdp FROM t JOIN m USING (a) GROUP BY a""")
+def rdp_integer_orders(spark, sf):
+    """The moment of integer orders with column expressions: a log-sum-exp over exploded terms."""
+    t = spark.range(2, 65).select(F.col("id").alias("order"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id"))).alias("i"))
+    steps = F.sequence(F.lit(0).cast("long"), F.col("i") - 1)
+    choose = F.when(F.col("i") == 0, 0.0).otherwise(F.aggregate(steps, F.lit(0.0), lambda a, j: a + F.log((F.col("order") - j).cast("double")) - F.log((j + 1).cast("double"))))
+    x = choose + F.col("i") * F.log(F.lit(0.1)) + (F.col("order") - F.col("i")) * F.log(F.lit(0.9)) + (F.col("i") * F.col("i") - F.col("i")) / F.lit(2 * 1.12 * 1.12)
+    t = t.withColumn("x", x)
+    top = t.groupBy("order").agg(F.max("x").alias("m"))
+    s = t.join(F.broadcast(top), "order").groupBy("order", "m").agg(F.sum(F.exp(F.col("x") - F.col("m"))).alias("s"))
+    return s.select("order", rounded((F.col("m") + F.log("s")) / (F.col("order") - 1)).alias("rdp"))
+
+
+def _table(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+@query()
+def rdp_full_grid(spark, sf):
+    rows = [(q, s, t, a, r) for q, s, t, _ in _SETTINGS for a, r in zip(accounting.ORDERS, accounting.rdp(q, s, t))]
+    return _table(spark, rows, "q double, sigma double, steps int, order double, rdp double")
+
+
+@query()
+def privacy_spent_eps(spark, sf):
+    rows = [(q, s, t, d, *accounting.epsilon(accounting.ORDERS, accounting.rdp(q, s, t), d)) for q, s, t, d in _SETTINGS]
+    return _table(spark, rows, "q double, sigma double, steps int, delta double, epsilon double, order double")
+
+
+@query()
+def privacy_spent_delta(spark, sf):
+    rows = [(q, s, t, e, *accounting.delta(accounting.ORDERS, accounting.rdp(q, s, t), e)) for q, s, t, _ in _SETTINGS for e in (0.5, 2.0)]
+    return _table(spark, rows, "q double, sigma double, steps int, epsilon double, delta double, order double")
+
+
+@query("SELECT a::DOUBLE AS \"order\", a::DOUBLE * (SELECT sum(floor(log2(s)) + 1) FROM (VALUES (1), (7), (64), (100)) t(s)) / (2 * 4.0::DOUBLE * 4.0::DOUBLE) AS rdp FROM (SELECT unnest(range(2, 33)) AS a)")
+def rdp_tree_restart(spark, sf):
+    orders = [float(a) for a in range(2, 33)]
+    return _table(spark, list(zip(orders, accounting.rdp_tree_restart(4.0, [1, 7, 64, 100], orders))), "order double, rdp double")
+
+
+@query("SELECT a::DOUBLE AS \"order\", " + Duck.rounded("a * 10 / (2 * 4.0::DOUBLE) + a * 5 / (2 * 9.0::DOUBLE)") + " AS rdp FROM (SELECT unnest(range(2, 33)) AS a)")
+def rdp_heterogeneous(spark, sf):
+    rows = [(float(a), r) for q, s, t in ((1.0, 2.0, 10), (1.0, 3.0, 5)) for a, r in zip(range(2, 33), accounting.rdp(q, s, t, range(2, 33)))]
+    return _table(spark, rows, "order double, r double").groupBy("order").agg(rounded(F.sum("r")).alias("rdp"))
+
+
+@query()
+def rdp_without_replacement(spark, sf):
+    orders = [1.5, 2.0, 2.5, 3.0, 4.0, 8.0, 16.0, 32.0, 33.5, 300.0]
+    return _table(spark, list(zip(orders, accounting.rdp_without_replacement(0.1, 1.12, 10, orders))), "order double, rdp double")
+
+
+_PARAMS = "(SELECT 0.02::DOUBLE * (i + 1) AS e, 10.0::DOUBLE * (i + 1) AS k FROM (SELECT unnest(range(20)) AS i))"
+
+
+@query(f"SELECT {Duck.rounded('e')} AS epsilon, k AS steps, {Duck.rounded(f'k * e * e / 2 + sqrt(k) * e * sqrt(2 * ln(sqrt(k * {3.141592653589793!r}::DOUBLE / 2) * e / (1e-5::DOUBLE - k * 1e-8::DOUBLE)))')} AS total FROM {_PARAMS}")
+def advanced_composition(spark, sf):
+    rows = [(0.02 * (i + 1), 10.0 * (i + 1)) for i in range(20)]
+    rows = [(e, k, accounting.advanced_composition(e, 1e-8, k, 1e-5)) for e, k in rows]
+    return _table(spark, rows, "epsilon double, steps double, total double").select(rounded("epsilon").alias("epsilon"), "steps", rounded("total").alias("total"))
+
+
+@query(f"WITH p AS (SELECT e * 5 AS e FROM {_PARAMS}), x AS (SELECT e, 8 * sqrt(exp(e) * ln(4 / 5e-6::DOUBLE) / 60000) + 8 * exp(e) / 60000 AS x FROM p) SELECT {Duck.rounded('e')} AS epsilon, {Duck.rounded('ln(1 + (1 - exp(-e)) / (1 + exp(-e) / (1 + x)) * x)')} AS shuffled FROM x")
+def closed_form_shuffle(spark, sf):
+    e = F.col("e")
+    x = 8 * F.sqrt(F.exp(e) * F.log(F.lit(4 / 5e-6)) / 60000) + 8 * F.exp(e) / 60000
+    p = spark.range(20).select((F.lit(0.02) * (F.col("id") + 1) * 5).alias("e")).withColumn("x", x)
+    return p.select(rounded("e").alias("epsilon"), rounded(F.log(1 + (1 - F.exp(-e)) / (1 + F.exp(-e) / (1 + F.col("x"))) * F.col("x"))).alias("shuffled"))
+
+
+@query(f"SELECT {Duck.rounded('e')} AS delta, {Duck.rounded('1.0::DOUBLE / 1.12::DOUBLE * sqrt(2 * ln(1.25::DOUBLE / e))')} AS epsilon FROM {_PARAMS}")
+def gaussian_eps(spark, sf):
+    d = F.lit(0.02) * (F.col("id") + 1)
+    return spark.range(20).select(rounded(d).alias("delta"), rounded(F.lit(1.0) / F.lit(1.12) * F.sqrt(2 * F.log(F.lit(1.25) / d))).alias("epsilon"))
+
+
+@query()
+def numerical_shuffle(spark, sf):
+    rows = [(n, e, accounting.numerical_shuffle(n, e, 1e-6), accounting.numerical_shuffle(n, e, 1e-6, upper=False), accounting.shuffled_composition(n, e, 1e-6, 5, 1e-5)) for n, e in ((2000, 0.5), (10_000, 1.0))]
+    return _table(spark, rows, "n int, local double, upper double, lower double, composed double")
+
+
+# Codec
+
+_CELLS = S.TOP + ", cells AS (SELECT client_id, idx, value::FLOAT::DOUBLE AS value FROM top)"
+
+
+def _payloads(spark, sf):
+    return codec.encoded(shaping.top_k(fx.dense_updates(spark, sf), K), ("client_id",), "rank")
+
+
+@query(f"WITH {S.TOP} SELECT client_id, count(*) * 8 AS bytes FROM top GROUP BY 1")
+def encode_cells(spark, sf):
+    return _payloads(spark, sf).select("client_id", F.length("payload").cast("long").alias("bytes"))
+
+
+@query(f"WITH {_CELLS} SELECT client_id, idx, value FROM cells")
+def decode_cells(spark, sf):
+    return codec.decoded(_payloads(spark, sf), ("client_id",))
+
+
+@query()
+def encrypt_ctr(spark, sf):
+    return _payloads(spark, sf).select("client_id", F.hex(codec.crypted("payload", F.col("client_id"))).alias("payload"))
+
+
+@query(f"WITH {_CELLS} SELECT client_id, idx, value FROM cells")
+def decrypt_ctr(spark, sf):
+    sent = _payloads(spark, sf).select("client_id", codec.crypted("payload", F.col("client_id")).alias("payload"))
+    return codec.decoded(sent.select("client_id", codec.crypted("payload", F.col("client_id")).alias("payload")), ("client_id",))
+
+
+# Rounds and streams
+
+
+@query(f"""WITH {S.F2}, r AS (SELECT client_id FROM (SELECT client_id, row_number() OVER (ORDER BY {Duck.order_key('v', 'client_id')}, client_id) AS q FROM (SELECT DISTINCT client_id FROM f2)) WHERE q <= 50)
+SELECT CASE WHEN client_id % 7 = 0 THEN 'late_round' WHEN client_id NOT IN (SELECT client_id FROM r) THEN 'unknown_client' WHEN idx >= 500 THEN 'index_out_of_range' ELSE 'ok' END AS status, count(*) AS cells FROM f2 GROUP BY 1""")
+def validate_uploads(spark, sf):
+    u = fx.sparse_updates(spark, sf).withColumn("round", F.when(F.col("client_id") % 7 == 0, 0).otherwise(1))
+    roster = sampling.sampled_clients(u.select("client_id").distinct(), 50, "v")
+    return checked(u, roster, 1, 500).groupBy("status").agg(F.count("*").alias("cells"))
+
+
+@query(f"WITH {S.F3} SELECT round, CASE WHEN round < 15 THEN 'late_round' WHEN round > 15 THEN 'early_round' ELSE 'ok' END AS status, count(*) AS cells FROM f3 GROUP BY ALL")
+def late_rounds_rejected(spark, sf):
+    u = fx.rounds(spark, sf)
+    return checked(u, u.select("client_id").distinct(), 15, D).groupBy(F.col("round").cast("long").alias("round"), "status").agg(F.count("*").alias("cells"))
+
+
+@query(f"WITH {S.F3} SELECT round, idx, sum({Duck.micro('value')})::BIGINT / 1e6::DOUBLE / count(*) AS value, count(*) AS cells FROM f3 GROUP BY round, idx")
+def stream_round_mean(spark, sf):
+    out = stream.run_to_end(stream.round_sums(stream.event_stream(spark, sf)))
+    day = F.datediff(F.to_date("start"), F.lit("2024-01-01").cast("date")).cast("long")
+    return out.select(day.alias("round"), "idx", (F.col("s") / F.lit(1e6) / F.col("cells")).alias("value"), "cells")
+
+
+@query()
+def stream_round_gate(spark, sf):
+    s = stream.event_stream(spark, sf)
+    u = s.select((F.col("client_id") % 4).alias("fl_id"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("round"), "client_id", "idx", "value")
+    return stream.run_to_end(stream.gated(u, 3), "append").groupBy("fl_id", "status").agg(F.count("*").alias("cells"))
+
+
+@query(_mean_sql(f"{S.F3}, u AS (SELECT * FROM f3 WHERE round = 3 AND idx % 8 <> 7)", "u", str(D), "(SELECT count(DISTINCT client_id) FROM u)"))
+def round_mean_from_events(spark, sf):
+    u = fx.rounds(spark, sf).where((F.col("round") == 3) & (F.col("idx") % 8 != 7))
+    return aggregate.mean(u, max(1, clients_of(u)), D, exact=True)
+
+
+# Learning
+
+
+@query()
+def local_update_mlp(spark, sf):
+    return learn.local_updates(fx.examples(spark, sf), None, 64, 8, 10)
+
+
+@query()
+def local_full_gradient(spark, sf):
+    return learn.full_gradients(fx.examples(spark, sf), None, 64, 8, 10)
+
+
+@query()
+def nn_inference(spark, sf):
+    base = learn.Mlp(64, 8, 10).flat.tolist()
+    return learn.quality(learn.predictions(fx.examples(spark, sf), base, 64, 8, 10))
+
+
+@query()
+def nn_attack_labels(spark, sf):
+    target, teacher, _ = fx.attack_tables(spark, sf)
+    return similarity.top_labels(learn.attack_scores(target, teacher, D, 10), 2)
+
+
+@query()
+def aggregation_times(spark, sf):
+    u = shaping.top_k(fx.dense_updates(spark, sf), K)
+    return aggregate.bench_summary(timed(u, 100, D, K, trials=2)).select("algorithm", "num_of_parameters", "trials")
+
+
+@query(f"WITH {S.F1} SELECT client_id, idx, {Duck.order_key(7, 'client_id', 'idx')} AS key FROM f1 WHERE client_id < 20")
+def seeded_order(spark, sf):
+    return fx.dense_updates(spark, sf).where("client_id < 20").select("client_id", "idx", order_key(7, "client_id", "idx").alias("key"))
