@@ -31,7 +31,9 @@ from .textcore import Words, mixed, pack, planes, unpack, unplanes
 U = np.uint64
 #: The end of a text, and what stands before its first word.
 END, START = mixed(np.array([0x656E64, 0x7374617274], U))
-CONTEXT_BITS, WORD_BITS = 24, 28
+#: Bits of a key: of the context, and of the word as seen from its context. A word's bits depend on its whole context, so
+#: an n-gram that was never seen is taken for another with a chance of (words after its context) / 2^34 at most, about.
+CONTEXT_BITS, WORD_BITS = 18, 34
 STEPS = 8  # of the quantised logarithm in an octave
 
 
@@ -177,7 +179,8 @@ class Tokens:
                 before = np.full(len(self.token), START, U)
                 before[back:] = np.where(place[back:] >= back, self.token[:-back], START)
                 context = mixed(context * U(0x9E3779B97F4A7C15) + before)
-                self.keys.append(((context >> U(64 - CONTEXT_BITS)) << U(WORD_BITS)) | (self.token >> U(64 - WORD_BITS)))
+                word = mixed(self.token + context * U(0xD6E8FEB86659FD93))
+                self.keys.append(((context >> U(64 - CONTEXT_BITS)) << U(WORD_BITS)) | (word >> U(64 - WORD_BITS)))
         self.first = place == 0
 
     def distinct(self, level: int):
