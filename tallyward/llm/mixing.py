@@ -93,7 +93,7 @@ def copies(rows: DataFrame, schedules=SCHEDULES, most: float = 2.0, whole: bool
     for p in range(int(-(-most // 1))):
         lo = f"(start + {p} * source_size)"
         words = f"(CASE WHEN 2 * {lo} + size < 2 * {goal} THEN size ELSE 0L END)" if whole else f"greatest(0L, least(size, {goal} - {lo}))"
-        y = "(" + f"least(1.0D, {lo} / target)" + " * {})"
+        y = "(" + f"least(1.0D, {lo} / nullif(target, 0.0D))" + " * {})"
         cases = " ".join(f"WHEN {k} THEN {inverse(s, y.format(repr(integrals(s)[-1]) + 'D'))}" for k, s in enumerate(schedules))
         passes.append(f"named_struct('pass', {p}, 'words', cast({words} AS BIGINT), 'position', floor(1e6D * (CASE k {cases} END) + 0.5D) / 1e6D)")
     return rows.withColumn("copies", F.expr(f"filter(array({', '.join(passes)}), c -> c.words > 0)"))
@@ -108,8 +108,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     plan = copies(placed(rows), whole=True).select(F.col("doc_id").alias("takes"), F.inline("copies"))
     plan = plan.groupBy("takes", "pass").agg(F.min("position").alias("position"))
     plan = plan.groupBy("takes").agg(F.collect_list(F.struct("pass", "position")).alias("copies"))
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("takes"))).select(*docs.columns, F.inline("copies"))
-    return out.orderBy("position", "doc_id", "pass").select(*docs.columns)
+    out = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(plan, F.col("doc_id").eqNullSafe(F.col("takes")))
+    return out.select("doc_id", "row", F.inline("copies")).orderBy("position", "doc_id", "pass").select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

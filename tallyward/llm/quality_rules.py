@@ -218,7 +218,8 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns. The texts are read twice rather than moved."""
     stats = base.written(statistics(docs, ("lang", "source")), "stats")
     cells, model = fitted(stats)
-    return judged(statistics(docs, tuple(docs.columns)), cells, model).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", "text")
+    return judged(statistics(rows, ("row", "lang", "source")), cells, model).where("kept").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

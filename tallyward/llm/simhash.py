@@ -274,7 +274,8 @@ def representatives(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame
     """The documents whose id is their component's, with all their columns; rows without an id stand or fall together."""
     stay = classes(docs.select("doc_id", "text"), words, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = stay.select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    return rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,7 +183,7 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: i
     asked = exchange.questions(exchange.joined(batches, hits=hits), _ask_windows(block, window, shards), "hits")
     windows = base.written(exchange.answered(asked, _reply_windows), "windows")
     make, arrow, fields = RESULTS[result]
-    kept = StructType([docs.schema[k] for k in keep])
+    kept = StructType([docs.schema[k] for k in keep])  # columns of docs, apart from the results
     schema = StructType(kept.fields + _parse_datatype_string(fields).fields)
 
     def run(it):
@@ -200,9 +200,11 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: i
 
 def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """The documents with repeated passages taken out of text (and n_chars set); one without a word left goes."""
-    out = deduplicated(docs, tuple(c for c in docs.columns if c not in ("text", "n_chars")), window)
-    out = out.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0)).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    out = deduplicated(docs.select("doc_id", "text", F.struct(*rest).alias("row")), ("row",), window)
+    out = out.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0))
+    made = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return out.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
