@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
+_written: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +34,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyward-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,10 +43,19 @@ def bucketed(df: DataFrame, tag: str, key: str, n: int) -> DataFrame:
     spark = df.sparkSession
     name = f"tallyward_{tag}_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").option("compression", "uncompressed").bucketBy(n, key)
-    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    writer.option("path", path := f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    _written.append(path)
     return spark.table(name)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables that this process wrote. Results read from them must be written before."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Marked for broadcast if its counted rows stay under the limit, else left to a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

@@ -254,3 +254,11 @@ def test_shared_folder_is_the_session_s(spark):
     assert base.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert os.path.isdir(base.shared_dir(spark).removeprefix("file://"))
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    base.written(spark.range(3), "gone")
+    path = base._written[-1].removeprefix("file://")
+    assert os.path.isdir(path)
+    base.clear(spark)
+    assert not os.path.exists(path) and not base._written
