@@ -640,3 +640,53 @@ def aggregation_times(spark, sf):
 @query(f"WITH {S.F1} SELECT client_id, idx, {Duck.order_key(7, 'client_id', 'idx')} AS key FROM f1 WHERE client_id < 20")
 def seeded_order(spark, sf):
     return fx.dense_updates(spark, sf).where("client_id < 20").select("client_id", "idx", order_key(7, "client_id", "idx").alias("key"))
+
+
+_CLIPPED = f"{S.F1}, q AS (SELECT *, {_SQUARE} AS q FROM f1), cl AS (SELECT idx, value * CASE WHEN q = 0 THEN 1 ELSE least(1.0::DOUBLE, 0.5::DOUBLE / sqrt(q)) END AS value FROM q)"
+
+
+@query(f"WITH m AS ({_mean_sql(_CLIPPED, 'cl', str(D), DENSE_N)}) SELECT idx, {Duck.rounded(f'value + {1.12 * 0.5 / 500!r}::DOUBLE * {_NOISE}')} AS value FROM m")
+def client_level_dp_mean(spark, sf):
+    """Clip each client, average, add noise for 500 clients."""
+    u = fx.dense_updates(spark, sf)
+    m = aggregate.mean(shaping.clipped(u, 0.5), fx.table(spark, sf, "embeddings").count(), D, exact=True)
+    return privacy.gaussian(m, 1.12, 0.5, 500, "dp").select("idx", rounded("value").alias("value"))
+
+
+@query(f"WITH {S.F1}, w AS (SELECT a.idx, a.value + b.value * (-0.1::DOUBLE * 3.0::DOUBLE) AS value FROM f1 a JOIN f1 b USING (idx) WHERE a.client_id = 0 AND b.client_id = 1), n AS (SELECT sqrt(sum({Duck.micro('value * value')})::BIGINT / 1e6::DOUBLE) AS n FROM w) SELECT idx, {Duck.rounded('value / greatest(1.0::DOUBLE, n) * 2.0::DOUBLE')} AS value FROM w, n")
+def server_step(spark, sf):
+    u = fx.dense_updates(spark, sf)
+    out = privacy.server_step(u.where("client_id = 0"), u.where("client_id = 1"), 0.1, 3.0, 2.0)
+    return out.select("idx", rounded("value").alias("value"))
+
+
+@query(f"WITH {S.F3}, o AS (SELECT client_id, round, idx FROM f3), a AS (SELECT client_id, round, idx + 1 AS idx FROM o WHERE round % 2 = 0 AND client_id % 3 = 0) SELECT * FROM a UNION ALL SELECT * FROM o WHERE (client_id, round) NOT IN (SELECT (client_id, round) FROM a)")
+def latest_observations(spark, sf):
+    o = fx.rounds(spark, sf).select("client_id", F.col("round").cast("long").alias("round"), "idx")
+    return shaping.latest(o, o.where("round % 2 = 0 AND client_id % 3 = 0").withColumn("idx", F.col("idx") + 1))
+
+
+@query(f"WITH {S.TOP}, n AS (SELECT count(*) AS n, pow(2, ceil(log2(count(*)::DOUBLE)))::BIGINT AS p FROM top) SELECT idx, value FROM top UNION ALL SELECT 4294967295, 0.0 FROM n, (SELECT unnest(range(1000000)) AS i) WHERE i < p - n")
+def pad_to_power_of_two(spark, sf):
+    return aggregate.padded(shaping.top_k(fx.dense_updates(spark, sf), K))
+
+
+@query(f"WITH {S.F1} SELECT idx, client_id FROM f1 JOIN (SELECT unnest(range(8)) AS client_id) USING (client_id) WHERE idx % 2 = 0")
+def semi_join_clients(spark, sf):
+    """The uploads of the listed clients, at the listed indices."""
+    u = fx.dense_updates(spark, sf)
+    clients = spark.range(8).select(F.col("id").alias("client_id"))
+    wanted = spark.range(0, D, 2).select(F.col("id").alias("idx"))
+    return u.join(F.broadcast(clients), "client_id", "left_semi").join(F.broadcast(wanted), "idx", "left_semi").select("idx", "client_id")
+
+
+@query(f"WITH {_SCORES}{_MEANS}, ch AS (SELECT g.client_id, label FROM g LEFT JOIN cut USING (client_id) WHERE i > coalesce(cut, 0)) SELECT c.client_id, count(*) AS labels, any_value(t.label) AS top FROM ch c JOIN (SELECT client_id, label FROM ranked WHERE place = 1) t USING (client_id) GROUP BY 1")
+def class_label_inference(spark, sf):
+    target, teacher, _ = fx.attack_tables(spark, sf)
+    chosen, top = similarity.infer(target, teacher)
+    return chosen.groupBy("client_id").agg(F.count("*").alias("labels")).join(top.withColumnRenamed("label", "top"), "client_id")
+
+
+@query("SELECT i AS steps, (0.02::DOUBLE * i > 0.5::DOUBLE OR 1e-6::DOUBLE * i > 4e-5::DOUBLE) AS over FROM (SELECT unnest(range(60)) AS i)")
+def budget_alarm(spark, sf):
+    return _table(spark, [(i, accounting.over_budget(0.02 * i, 1e-6 * i, 0.5, 4e-5)) for i in range(60)], "steps long, over boolean")

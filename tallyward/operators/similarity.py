@@ -72,3 +72,20 @@ def attack_metrics(inferred: DataFrame, top: DataFrame, truth: DataFrame, fixed:
 def cumulative(observations: DataFrame, rounds: int) -> DataFrame:
     """Adds upto: each observation counts for its own round and all later ones."""
     return observations.withColumn("upto", F.explode(F.sequence(F.col("round").cast("int"), F.lit(rounds - 1))))
+
+
+def infer(target: DataFrame, teacher: DataFrame, method: str = "jaccard", labels: int | None = None, d: int = 0, classes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(labels, top label) of each client that has observations.
+
+    method: jaccard, or nn for a network trained on each round; labels: how many, or None for the upper of two clusters.
+    """
+    if method == "jaccard":
+        scores = jaccard(target, teacher)
+    elif method == "nn":
+        from .learn import attack_scores
+
+        scores = attack_scores(target, teacher, d, classes)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    chosen = top_labels(scores, labels).select("client_id", "label") if labels else upper_cluster(scores)
+    return chosen, top_labels(scores, 1).select("client_id", "label")
