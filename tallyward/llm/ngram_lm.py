@@ -42,8 +42,9 @@ class EliasFano:
 
     FIELDS = ("low", "high", "rank")
 
-    def __init__(self, n: int, bits: int, low, high, rank):
-        self.n, self.bits, self.low, self.high, self.rank = n, bits, low, high, rank
+    def __init__(self, n: int, bits: int, top: int, low, high, rank):
+        """top: the upper part of the last member."""
+        self.n, self.bits, self.top, self.low, self.high, self.rank = n, bits, top, low, high, rank
 
     @classmethod
     def of(cls, x: np.ndarray) -> EliasFano:
@@ -64,19 +65,12 @@ class EliasFano:
         if n:
             np.bitwise_or.at(high, (ones >> U(6)).astype(np.int64), U(1) << (ones & U(63)))
         rank = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
-        return cls(n, bits, low, high, rank)
+        return cls(n, bits, int(x[-1]) >> bits if n else 0, low, high, rank)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """The i-th members."""
         word = np.searchsorted(self.rank, i, "right") - 1
-        r, x = i - self.rank[word], self.high[word]
-        place = np.zeros(len(i), np.int64)
-        for w in (32, 16, 8, 4, 2, 1):  # the r-th set bit of x
-            c = np.bitwise_count(x & U((1 << w) - 1)).astype(np.int64)
-            up = r >= c
-            r = np.where(up, r - c, r)
-            place += w * up
-            x = np.where(up, x >> U(w), x)
+        place = _selected(self.high[word], i - self.rank[word])
         high = (word * 64 + place - i).astype(U) << U(self.bits)
         if not self.bits:
             return high
@@ -87,19 +81,51 @@ class EliasFano:
         low = np.where(over, low | (self.low[word + 1] << ((U(64) - off) & U(63))), low)
         return high | (low & U((1 << self.bits) - 1))
 
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Where the k-th zero of the high bits stands."""
+        zeros = np.arange(len(self.rank)) * 64 - self.rank
+        word = np.searchsorted(zeros, k, "right") - 1
+        r, x = k - zeros[word], ~self.high[np.minimum(word, len(self.high) - 1)]
+        return word * 64 + _selected(x, r)
+
     def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """For each value, the first place in lo..hi whose member is no less; hi if there is none."""
-        lo, hi = lo.copy(), hi.copy()
-        open_ = np.flatnonzero(lo < hi)
+        """For each value, the first place in lo..hi whose member is no less; hi if there is none.
+
+        The high bits say which few members share the value's upper part; only those are compared.
+        """
+        if not self.n:
+            return hi.copy()
+        top = (value >> U(self.bits)).astype(np.int64)
+        most = int(self.top)
+        inside = np.minimum(top, most)
+        first = np.where(inside > 0, self._zero(np.maximum(inside - 1, 0)) - np.maximum(inside - 1, 0), 0)
+        last = np.where(top > most, first, np.where(inside < most, self._zero(np.minimum(inside, most - 1)) - inside, self.n))
+        first = np.where(top > most, self.n, first)
+        last = np.where(top > most, self.n, last)
+        lo = np.minimum(np.maximum(lo, first), hi)
+        hi_ = np.maximum(np.minimum(hi, last), lo)
+        open_ = np.flatnonzero(lo < hi_)
         while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
+            mid = (lo[open_] + hi_[open_]) >> 1
             less = self[mid] < value[open_]
             lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
+            hi_[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi_[open_]]
         return lo
 
 
+def _selected(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The place of the r-th set bit of each word."""
+    place = np.zeros(len(x), np.int64)
+    for w in (32, 16, 8, 4, 2, 1):
+        c = np.bitwise_count(x & U((1 << w) - 1)).astype(np.int64)
+        up = r >= c
+        r = np.where(up, r - c, r)
+        place += w * up
+        x = np.where(up, x >> U(w), x)
+    return place
+
+
 class Trie:
     """n-grams of one order: contexts, pointers to their words, words relative to their contexts, quantised values."""
 
@@ -130,23 +156,28 @@ class Trie:
                 spots.append((owner, name, a.dtype, a.shape, f.tell()))
                 f.write(a.tobytes())
         for owner, name, kind, shape, at in spots:
-            setattr(owner, name, np.memmap(path, kind, "r", at, shape) if shape[0] else np.zeros(0, kind))
+            setattr(owner, name, np.asarray(np.memmap(path, kind, "r", at, shape)) if shape[0] else np.zeros(0, kind))
         return self
 
     def find(self, key: np.ndarray) -> np.ndarray:
-        """The code of each key, 0 where there is none."""
+        """The code of each key (ascending), 0 where there is none."""
         out = np.zeros(len(key), np.uint8)
         if not self.contexts.n or not len(key):
             return out
         context = key >> U(WORD_BITS)
-        start = np.zeros(len(key), np.int64)
-        c = self.contexts.successor(context, start, start + self.contexts.n)
-        at = np.flatnonzero(c < self.contexts.n)
-        at = at[self.contexts[c[at]] == context[at]]
-        c = c[at]
-        lo, hi = self.pointers[c].astype(np.int64), self.pointers[c + 1].astype(np.int64)
-        value = (c.astype(U) << U(WORD_BITS)) | (key[at] & U((1 << WORD_BITS) - 1))
-        w = self.words.successor(value, lo, hi)
+        new = np.concatenate([[True], context[1:] != context[:-1]])
+        asked = context[new]  # each context is searched for once
+        start = np.zeros(len(asked), np.int64)
+        c = self.contexts.successor(asked, start, start + self.contexts.n)
+        there = c < self.contexts.n
+        there[there] = self.contexts[c[there]] == asked[there]
+        lo, hi = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        lo[there], hi[there] = self.pointers[c[there]].astype(np.int64), self.pointers[c[there] + 1].astype(np.int64)
+        of = np.cumsum(new) - 1
+        at = np.flatnonzero(there[of])
+        value = (c[of[at]].astype(U) << U(WORD_BITS)) | (key[at] & U((1 << WORD_BITS) - 1))
+        hi = hi[of[at]]
+        w = self.words.successor(value, lo[of[at]], hi)
         ok = w < hi
         ok[ok] = self.words[w[ok]] == value[ok]
         out[at[ok]] = self.codes[w[ok]]
