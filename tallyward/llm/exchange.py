@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
+from .textcore import planes, unplanes
 
 #: Bytes of text in a batch; one longer text stands alone.
 BATCH_BYTES = 3 << 20
@@ -34,7 +35,7 @@ def packed(docs: DataFrame, keep: tuple[str, ...], batch_bytes: int = BATCH_BYTE
             t = pa.Table.from_batches(held)
             t = t.take(pa.compute.sort_indices(t, [("doc_id", "ascending")])).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
                 out.write_table(t)
             made += 1
             row = [[first + made], [t.num_rows], [size], [sink.getvalue().to_pybytes()]]
@@ -74,9 +75,17 @@ def sliced(key: np.ndarray, shards: int):
 
 
 def spread(key: np.ndarray, shards: int) -> np.ndarray:
-    from .textcore import mixed
+    """The shard of each key: the remainder of its (hashed) bits, which the shard needn't be told again."""
+    return (key % np.uint64(shards)).astype(np.int64)
 
-    return (mixed(key) % np.uint64(shards)).astype(np.int64)
+
+def shortened(key: np.ndarray, shards: int) -> np.ndarray:
+    """Ascending keys of one shard as packed differences, without what the shard's number says."""
+    return planes(key // np.uint64(shards))
+
+
+def restored(packed: np.ndarray, shard: int, shards: int) -> np.ndarray:
+    return unplanes(packed) * np.uint64(shards) + np.uint64(shard)
 
 
 def questions(batches: DataFrame, ask, *answers: str) -> DataFrame:
@@ -99,13 +108,13 @@ def _answer(cell) -> dict[int, bytes]:
 
 
 def answered(asked: DataFrame, reply) -> DataFrame:
-    """(batch, shard, block): reply(blocks of all batches, in the order of the batches) gives their answers."""
+    """(batch, shard, block): reply(shard, blocks of all batches in the order of the batches) gives their answers."""
 
     def run(t):
         order = np.argsort(t.column("batch").to_numpy())
         blocks = t.column("block").take(pa.array(order)).to_pylist()
         batch = t.column("batch").take(pa.array(order))
-        return pa.Table.from_arrays([batch, t.column("shard").take(pa.array(order)), pa.chunked_array([pa.array(reply(blocks), pa.binary())])], ["batch", "shard", "block"])
+        return pa.Table.from_arrays([batch, t.column("shard").take(pa.array(order)), pa.chunked_array([pa.array(reply(t.column("shard")[0].as_py(), blocks), pa.binary())])], ["batch", "shard", "block"])
 
     return asked.groupBy("shard").applyInArrow(run, "batch long, shard long, block binary")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base, exchange
-from .textcore import Words, mixed, pack, planes, unpack, unplanes
+from .textcore import Words, mixed, pack, unpack
 
 U = np.uint64
 #: The end of a text, and what stands before its first word.
@@ -228,7 +228,7 @@ def _ask(order: int, shards: int):
             count = np.bincount(inverse, learned, len(key)).astype(np.int64)
             for shard, part in exchange.sliced(key, shards):
                 c = count[part]
-                out.setdefault(shard, {})[f"k{level}"] = planes(key[part])
+                out.setdefault(shard, {})[f"k{level}"] = exchange.shortened(key[part], shards)
                 out[shard][f"c{level}"] = c.astype(np.min_scalar_type(int(c.max())))
         for shard, arrays in out.items():
             yield shard, pack(**arrays)
@@ -236,8 +236,8 @@ def _ask(order: int, shards: int):
     return ask
 
 
-def _reply(order: int):
-    def reply(blocks):
+def _reply(order: int, shards: int):
+    def reply(shard, blocks):
         """Level by level: the exact counts of words, the trie's codes of longer n-grams; last V and N of the shard."""
         got = [unpack(b) for b in blocks]
         out: list[dict] = [{} for _ in got]
@@ -247,7 +247,7 @@ def _reply(order: int):
                 which = [i for i, g in enumerate(got) if f"k{level}" in g]
                 if not which:
                     continue
-                parts = [unplanes(got[i][f"k{level}"]) for i in which]
+                parts = [exchange.restored(got[i][f"k{level}"], shard, shards) for i in which]
                 each, inverse = np.unique(np.concatenate(parts), return_inverse=True)
                 count = np.bincount(inverse, np.concatenate([got[i][f"c{level}"] for i in which]), len(each)).astype(np.int64)
                 if level:
@@ -302,11 +302,11 @@ def _scores(t: pa.Table, answers: dict[int, bytes], order: int, shards: int, v:
     return k.n, known, scored[0], scored[1]
 
 
-def scored(docs: DataFrame, order: int = 3, weight: float = 200.0, batch_bytes: int = exchange.BATCH_BYTES, shard_bytes: int = 10 << 20) -> DataFrame:
+def scored(docs: DataFrame, order: int = 3, weight: float = 200.0, batch_bytes: int = exchange.BATCH_BYTES, shard_bytes: int = 8 << 20) -> DataFrame:
     """docs has doc_id, text and held_out; learns from the others, scores all: see op1_ngram_lm for the columns."""
     batches = exchange.packed(docs, ("doc_id", "held_out"), batch_bytes)
     shards = exchange.shards_for(batches, shard_bytes)
-    answers = base.written(exchange.answered(exchange.questions(batches, _ask(order, shards)), _reply(order)), "ngrams")
+    answers = base.written(exchange.answered(exchange.questions(batches, _ask(order, shards)), _reply(order, shards)), "ngrams")
     v, n = _totals(answers)
 
     def run(it):

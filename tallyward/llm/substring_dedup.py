@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base, exchange
-from .textcore import Words, pack, planes, unpack, unplanes
+from .textcore import Words, pack, unpack
 
 LAST = np.iinfo(np.int64).max
 
@@ -53,7 +53,7 @@ def _ask_blocks(block: int, shards: int):
         indexed[inverse[anchor]] = True
         twice = np.bincount(inverse, minlength=len(key)) > 1
         for shard, part in exchange.sliced(key, shards):
-            yield shard, pack(key=planes(key[part]), n=np.array([len(part)]), indexed=np.packbits(indexed[part]), twice=np.packbits(twice[part]))
+            yield shard, pack(key=exchange.shortened(key[part], shards), n=np.array([len(part)]), indexed=np.packbits(indexed[part]), twice=np.packbits(twice[part]))
 
     return ask
 
@@ -67,15 +67,18 @@ def _merged(parts: list[np.ndarray]):
     return np.unique(key, return_inverse=True)
 
 
-def _reply_blocks(blocks: list[bytes]) -> list[bytes]:
-    """For each key of each batch: is it an anchor somewhere, and there more than once?"""
-    got = [unpack(b) for b in blocks]
-    each, inverse = _merged([unplanes(g["key"]) for g in got])
-    flags = lambda name: np.concatenate([np.unpackbits(g[name], count=int(g["n"][0])) for g in got])
-    indexed = np.bincount(inverse, flags("indexed"), len(each)) > 0
-    count = np.bincount(inverse, 1 + flags("twice"), len(each))
-    hit = (indexed & (count > 1))[inverse]
-    return [pack(hit=np.packbits(x)) for x in np.split(hit, np.cumsum([int(g["n"][0]) for g in got])[:-1])]
+def _reply_blocks(shards: int):
+    def reply(shard: int, blocks: list[bytes]) -> list[bytes]:
+        """For each key of each batch: is it an anchor somewhere, and there more than once?"""
+        got = [unpack(b) for b in blocks]
+        each, inverse = _merged([exchange.restored(g["key"], shard, shards) for g in got])
+        flags = lambda name: np.concatenate([np.unpackbits(g[name], count=int(g["n"][0])) for g in got])
+        indexed = np.bincount(inverse, flags("indexed"), len(each)) > 0
+        count = np.bincount(inverse, 1 + flags("twice"), len(each))
+        hit = (indexed & (count > 1))[inverse]
+        return [pack(hit=np.packbits(x)) for x in np.split(hit, np.cumsum([int(g["n"][0]) for g in got])[:-1])]
+
+    return reply
 
 
 def _candidates(w: Words, ids: np.ndarray, block: int, window: int, shards: int, hits: dict[int, bytes]):
@@ -99,21 +102,24 @@ def _ask_windows(block: int, window: int, shards: int):
         _, key, _, least = _candidates(_texts(t), _ids(t), block, window, shards, hits)
         for shard, part in exchange.sliced(key, shards):
             ids, which = np.unique(least[part], return_inverse=True)
-            yield shard, pack(key=planes(key[part]), ids=ids, which=which.astype(np.min_scalar_type(len(ids))))
+            yield shard, pack(key=exchange.shortened(key[part], shards), ids=ids, which=which.astype(np.min_scalar_type(len(ids))))
 
     return ask
 
 
-def _reply_windows(blocks: list[bytes]) -> list[bytes]:
-    """For each window of each batch: does it start in a document with a smaller doc_id than any of the batch?"""
-    got = [unpack(b) for b in blocks]
-    parts = [unplanes(g["key"]) for g in got]
-    each, inverse = _merged(parts)
-    mine = np.concatenate([g["ids"][g["which"]] for g in got])
-    least = np.full(len(each), LAST)
-    np.minimum.at(least, inverse, mine)
-    smaller = least[inverse] < mine
-    return [pack(smaller=np.packbits(x)) for x in np.split(smaller, np.cumsum([len(p) for p in parts])[:-1])]
+def _reply_windows(shards: int):
+    def reply(shard: int, blocks: list[bytes]) -> list[bytes]:
+        """For each window of each batch: does it start in a document with a smaller doc_id than any of the batch?"""
+        got = [unpack(b) for b in blocks]
+        parts = [exchange.restored(g["key"], shard, shards) for g in got]
+        each, inverse = _merged(parts)
+        mine = np.concatenate([g["ids"][g["which"]] for g in got])
+        least = np.full(len(each), LAST)
+        np.minimum.at(least, inverse, mine)
+        smaller = least[inverse] < mine
+        return [pack(smaller=np.packbits(x)) for x in np.split(smaller, np.cumsum([len(p) for p in parts])[:-1])]
+
+    return reply
 
 
 def _removed(t: pa.Table, block: int, window: int, shards: int, hits, answers) -> tuple[Words, np.ndarray]:
@@ -179,9 +185,9 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: i
     columns = tuple(dict.fromkeys((*keep, "doc_id")))
     batches = exchange.packed(docs, columns, batch_bytes)
     shards = exchange.shards_for(batches, shard_bytes)
-    hits = base.written(exchange.answered(exchange.questions(batches, _ask_blocks(block, shards)), _reply_blocks), "hits")
+    hits = base.written(exchange.answered(exchange.questions(batches, _ask_blocks(block, shards)), _reply_blocks(shards)), "hits")
     asked = exchange.questions(exchange.joined(batches, hits=hits), _ask_windows(block, window, shards), "hits")
-    windows = base.written(exchange.answered(asked, _reply_windows), "windows")
+    windows = base.written(exchange.answered(asked, _reply_windows(shards)), "windows")
     make, arrow, fields = RESULTS[result]
     kept = StructType([docs.schema[k] for k in keep])  # columns of docs, apart from the results
     schema = StructType(kept.fields + _parse_datatype_string(fields).fields)
