@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates by five-word SimHash, the document with the smallest id stays."""
+    """Of each group of documents whose five-word shingles are similar to 0.8, by SimHash, the one with the smallest id stays."""
     return simhash.representatives(docs.select(*COLUMNS))
 
 

@@ -16,6 +16,7 @@ becomes a component's id unless all its ids are null; an empty table gives no ro
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base
+from .textcore import Words, mixed
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
@@ -270,10 +272,158 @@ def classes(docs: DataFrame, words: int = 3, bits: int = 3, keep: tuple[str, ...
     return rows.join(known, F.col("fp") == F.col("fp0")).drop("fp0")
 
 
-def representatives(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame:
-    """The documents whose id is their component's, with all their columns; rows without an id stand or fall together."""
-    stay = classes(docs.select("doc_id", "text"), words, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("stays")).distinct()
+LANES = 4
+
+
+def signatures(texts, words: int = 5, seed: int = 42) -> np.ndarray:
+    """LANES * 64 sign bits of each text's shingles, as 64-bit lanes: bits enough to estimate a similarity.
+
+    The lanes come from one hash of a shingle by scrambling.
+    """
+    w = Words([None if t is None else t.lower() for t in texts])
+    size = np.minimum(w.n, words)
+    h, ok = w.windows(words)
+    at = np.flatnonzero(ok)
+    doc, h = w.doc[at], h[at]
+    for k in range(1, words):  # texts with fewer words are one shingle
+        few, inside = w.windows(k)
+        one = np.flatnonzero(inside & (size[w.doc[: len(few)]] == k) & (w.n[w.doc[: len(few)]] == k))
+        doc, h = np.concatenate([doc, w.doc[one]]), np.concatenate([h, few[one]])
+    count = np.bincount(doc, minlength=len(w.raw))
+    out = np.zeros((len(w.raw), LANES), np.uint64)
+    for lane in range(LANES):
+        with np.errstate(over="ignore"):
+            bytes_ = mixed(h + np.uint64(seed + lane) * np.uint64(0x9E3779B97F4A7C15)).astype(">u8").view(np.uint8).reshape(-1, 8)
+        bits = np.zeros((len(w.raw), 64), bool)
+        for j in range(8):
+            hist = np.bincount(doc * 256 + bytes_[:, j], minlength=256 * len(w.raw)).reshape(-1, 256)
+            bits[:, 8 * j : 8 * j + 8] = hist @ _BITS * 2 > count[:, None]
+        out[:, lane] = np.packbits(bits, axis=1).view(">u8").ravel()
+    return out
+
+
+def allowed(similarity: float) -> int:
+    """Signature bits that may differ at a Jaccard similarity: as the angle says, and one standard deviation more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * LANES
+    return int(n * p + math.sqrt(n * p * (1 - p)))
+
+
+def similar_links(rows: DataFrame, bits: int, differ: int, plan: str | None = None, block: int = 4_000) -> DataFrame:
+    """(a, b): links between ids of rows (id, fp, s0..) whose fp are within bits and whose signatures differ in no more
+    than ``differ`` bits, enough to join all that such pairs join. id: distinct."""
+    import pyarrow as pa
+
+    plan = plan or plan_for(rows.count())
+    lanes = [f"s{i}" for i in range(LANES)]
+
+    def visit(reach: int):
+        def run(batches):
+            cover = Covering(plan, reach)
+            for b in batches:
+                fp = b.column("fp").to_numpy().view(np.uint64)
+                for lo in range(0, len(fp), 4096):
+                    row, anchor, home = cover.anchors(fp[lo : lo + 4096])
+                    rest = b.slice(lo, 4096).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(home), *rest.columns], ["anchor", "home", *rest.schema.names])
+
+        fields = "anchor long, home boolean, id long, fp long, " + ", ".join(f"{x} long" for x in lanes)
+        return rows.select("id", "fp", *lanes).mapInArrow(run, fields)
+
+    hot = visit(0).groupBy("anchor").count().where(F.col("count") > block)
+    hot = base.written(hot.select(F.col("anchor").alias("a0"), F.ceil(F.col("count") / block).cast("int").alias("parts")), "hot")
+    seen = visit(bits)
+    if n := hot.count():
+        seen = seen.join(base.small(hot, n, 100_000), F.col("anchor") == F.col("a0"), "left").withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
+        seen = seen.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).withColumn("home", F.col("home") & (F.col("own") == F.col("part")))
+    else:
+        seen = seen.withColumn("part", F.lit(0))
+    seen = seen.select("anchor", "part", "home", "id", "fp", *lanes).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+
+    def cell(home, ids, fp, sign):
+        """A spanning forest of the links of the rows at home with all that are there."""
+        label = np.arange(len(ids))
+        for h in np.flatnonzero(home):
+            near = np.flatnonzero(np.bitwise_count(fp ^ fp[h]) <= bits)
+            if len(near) > 1:
+                near = near[np.bitwise_count(sign[near] ^ sign[h]).sum(axis=1, dtype=np.int64) <= differ]
+            if len(near) > 1 and (label[near] != label[near[0]]).any():
+                old = np.unique(label[near])
+                to = np.arange(len(ids))
+                to[old] = old[0]
+                label = to[label]
+        at = np.flatnonzero(label != np.arange(len(ids)))
+        return ids[at], ids[label[at]]
+
+    def compare(batches):
+        held: list = []
+
+        def columns(bs):
+            return [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in bs]) for i in range(5 + LANES)]
+
+        def out(c, last):
+            key = np.flatnonzero((np.diff(c[0]) != 0) | (np.diff(c[1]) != 0)) + 1
+            cuts = [0, *key.tolist()] + ([len(c[0])] if last else [])
+            found = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi - lo > 1 and c[2][lo:hi].any():
+                    sign = np.stack([x[lo:hi] for x in c[5:]], axis=1).view(np.uint64)
+                    found.append(cell(c[2][lo:hi], c[3][lo:hi], c[4][lo:hi].view(np.uint64), sign))
+            return found, cuts[-1]
+
+        rest, size = None, 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= 100_000:
+                c = columns(held)
+                c = c if rest is None else [np.concatenate(x) for x in zip(rest, c)]
+                found, done = out(c, False)
+                rest, held, size = [x[done:] for x in c], [], 0
+                for x, y in found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        if held or rest is not None:
+            c = columns(held) if held else rest
+            c = c if rest is None or not held else [np.concatenate(x) for x in zip(rest, c)]
+            for x, y in out(c, True)[0] if len(c[0]) else []:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return seen.mapInArrow(compare, "a long, b long").distinct()
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep and component_id of each document, joined where shingles of so many words are so similar.
+
+    Candidates are texts whose fingerprints of single words are within ``bits`` (found at their anchors; such bits
+    change least with a few edits), and a signature of LANES * 64 bits over the shingles decides.
+    """
+    lanes = [f"s{i}" for i in range(LANES)]
+
+    def make():
+        def run(texts):
+            sign = signatures(texts, words).view(np.int64)
+            return {"fp": fingerprints(texts, 1).view(np.int64)} | {x: sign[:, i] for i, x in enumerate(lanes)}
+
+        return run
+
+    rows = base.map_texts(docs, make, "fp long, " + ", ".join(f"{x} long" for x in lanes), tuple(dict.fromkeys((*keep, "doc_id"))))
+    rows = base.written(rows.withColumn("id", F.xxhash64("fp", *lanes)), "signed")
+    each = base.written(rows.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.first(x).alias(x) for x in ("fp", *lanes)]), "distinct")
+    roots = components(similar_links(each, bits, allowed(similarity)))
+    known = each.join(roots, each["id"] == roots["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    known = base.written(known, "roots")
+    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    known = known.join(least, "root").select(F.col("id").alias("id0"), "component_id")
+    return rows.join(known, F.col("id") == F.col("id0")).select(*keep, "component_id")
+
+
+def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of each group of similar documents the one whose id is the component's, with all columns.
+
+    Rows without an id stand or fall together, and so do rows that share an id.
+    """
+    found = similar_classes(docs.select("doc_id", "text"), words, similarity)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
     rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
     return rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")
 

@@ -81,11 +81,54 @@ def test_simhash_on_odd_rows(odd, empty):
     assert simhash.classes(empty).count() == 0
     kept = simhash.representatives(odd)
     assert kept.columns == odd.columns
-    want = Counter(d for (d, _), (_, c) in zip(rows, brute.components(rows, 5)) if d == c)
+    want = Counter(d for (d, _), c in zip(rows, brute.similar(rows)) if d == c)
     assert Counter(r.doc_id for r in kept.collect()) == want
     assert simhash.representatives(empty).count() == 0
 
 
+def test_similar_documents_are_found(spark):
+    """Copies with a few words changed (five-word similarity of 0.85) are joined; other texts with the same common words aren't."""
+    rng = np.random.default_rng(11)
+    common = np.array([f"c{i}" for i in range(20)])
+    rows = []
+    for i in range(40):
+        words = [str(rng.choice(common, p=np.arange(20, 0, -1) / 210)) if rng.random() < 0.5 else f"w{rng.integers(5000)}" for _ in range(600)]
+        other = list(words)
+        for at in range(40, 600, 64):
+            other[at] = f"new{rng.integers(5000)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] == 2 * i for i in range(40))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(40)) >= 32
+    assert all(got[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(40))
+
+
+@pytest.mark.parametrize("block", [4000, 3])
+def test_blocks_of_an_anchor_join_the_same(spark, block):
+    rng = np.random.default_rng(12)
+    rows = [(i, int(i // 20 * 7919 * 2**33) ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 4), replace=False)), *(int(i // 20),) * simhash.LANES) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, fp long, " + ", ".join(f"s{k} long" for k in range(simhash.LANES)))
+    got = {r.node: r.root for r in simhash.components(simhash.similar_links(df, 4, 0, "coarse", block)).collect()}
+    parent = list(range(80))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(80):
+        for j in range(i):
+            if bin(rows[i][1] ^ rows[j][1]).count("1") <= 4 and rows[i][2] == rows[j][2]:
+                p, q = find(i), find(j)
+                parent[max(p, q)] = min(p, q)
+    assert {i: got.get(i, i) for i in range(80)} == {i: find(i) for i in range(80)}
+
+
+def test_signature_lanes_follow_shingles():
+    a = simhash.signatures([b"a b c d e f", b"A B C D E F", b"a b", b"", None, b"f e d c b a"])
+    assert (a[0] == a[1]).all() and (a[3] == a[4]).all() and not a[3].any() and a[2].any() and (a[0] != a[5]).any()
+
+
 # Repeated passages
 
 
@@ -331,7 +374,7 @@ def test_pipeline_stages(spark, sf, documents):
         assert r in before and n >= 50 and again <= n / 2
     one = stages[1](spark, keep, sf).cache()
     pairs = [(r[0], r[1]) for r in rows(keep)]
-    assert sorted(r[0] for r in rows(one)) == sorted(d for (d, _), (_, c) in zip(pairs, brute.components(pairs, 5)) if d == c)
+    assert sorted(r[0] for r in rows(one)) == sorted(d for (d, _), c in zip(pairs, brute.similar(pairs)) if d == c)
     clean = stages[2](spark, one, sf).cache()
     pairs = [(r[0], r[1]) for r in rows(one)]
     want = {d: brute.without(t, g) for (d, t), g in zip(pairs, brute.removed(pairs)) if len(g) < len(brute.words(t))}
