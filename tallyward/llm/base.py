@@ -66,13 +66,34 @@ def crc_mod(id_column: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % m
 
 
+def modest_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches between the JVM and Python of about this many bytes at most, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > most:
+        spark.conf.set(key, str(most))
+
+
+def runs(texts, most: int):
+    """(first, end) of runs of an Arrow column of texts with at most this many bytes each; a longer text stands alone."""
+    import pyarrow.compute as pc
+
+    lo = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > lo and size + n > most:
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 _UTF8 = "_text_as_utf8"
 
 
-def map_texts(docs: DataFrame, make, fields: str, keep: tuple[str, ...] = ("doc_id",), slice_bytes: int = 4 << 20) -> DataFrame:
+def map_texts(docs: DataFrame, make, fields: str, keep: tuple[str, ...] = ("doc_id",), slice_bytes: int = 2 << 20) -> DataFrame:
     """One output row for each row: the kept columns, then what ``make()(list of UTF-8 bytes or None)`` returns by name.
 
-    Whole texts go through in slices of about slice_bytes; ``make`` runs once for each task.
+    Whole texts go through in slices of at most slice_bytes, a longer one alone; ``make`` runs once for each task.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -87,15 +108,15 @@ def map_texts(docs: DataFrame, make, fields: str, keep: tuple[str, ...] = ("doc_
     def run(batches):
         f = make()
         for batch in batches:
-            sizes = batch.column(_UTF8).nbytes // max(1, batch.num_rows)
-            step = max(1, min(batch.num_rows, slice_bytes // max(1, sizes)))
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
+            for lo, hi in runs(batch.column(_UTF8), slice_bytes):
+                part = batch.slice(lo, hi - lo)
                 got = f(part.column(_UTF8).to_pylist())
                 columns = [part.column(i) for i in range(n_kept)]
                 columns += [got[x.name] if isinstance(got[x.name], pa.Array) else pa.array(got[x.name], x.type) for x in list(arrow)[n_kept:]]
                 yield pa.RecordBatch.from_arrays([c.cast(x.type) for c, x in zip(columns, arrow)], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
+    modest_batches(docs.sparkSession)
     return source.mapInArrow(run, schema)
 
 

@@ -56,7 +56,9 @@ def packed(docs: DataFrame, keep: tuple[str, ...], batch_bytes: int = BATCH_BYTE
                 held.append(b.slice(lo))
         if held:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
+    base.modest_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return base.bucketed(source.mapInArrow(run, "batch long, rows long, bytes long, block binary"), "batches", "batch", n)
 
@@ -99,6 +101,7 @@ def questions(batches: DataFrame, ask, *answers: str) -> DataFrame:
                 shards = pa.array([s for s, _ in got], pa.int64())
                 blocks = pa.array([x for _, x in got], pa.binary())
                 yield pa.RecordBatch.from_arrays([shards, pa.array([b.column("batch")[i].as_py()] * len(got), pa.int64()), blocks], ["shard", "batch", "block"])
+        pa.default_memory_pool().release_unused()
 
     return batches.select("batch", "block", *answers).mapInArrow(run, "shard long, batch long, block binary")
 

@@ -33,10 +33,20 @@ FAR = np.uint64(0xD6E8FEB86659FD93)
 STEP = np.uint64(0x9E3779B97F4A7C17)
 
 
-def run_hash(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """64 bits for each run of bytes from one start to the next: random numbers by byte and place, summed and scrambled."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
+def run_hash(buf: np.ndarray, start: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """64 bits for each run of bytes from one start to the next: random numbers by byte and place, summed and scrambled.
+
+    Runs go through in parts of about ``most`` bytes, whose intermediate arrays are small.
+    """
+    out = np.empty(len(start), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(buf), most)), len(start))).tolist()
+    for lo, hi in zip(cuts, cuts[1:]):
+        part = buf[start[lo] : start[hi] if hi < len(start) else len(buf)]
+        out[lo:hi] = _run_hash(part, start[lo:hi] - start[lo])
+    return out
+
+
+def _run_hash(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
     size = np.diff(start, append=len(buf))
     place = np.arange(len(buf)) - np.repeat(start, size)
     with np.errstate(over="ignore"):
