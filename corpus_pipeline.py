@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL can't express the stages; tests/llm/test_pipeline.py has a brute-force version of the whole.
+#: SQL can't express the stages; tests/llm/test_corpus_operators.py compares them with plain versions (of the first, its base rules).
 ORACLE_SQL = None

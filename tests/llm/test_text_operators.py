@@ -262,3 +262,36 @@ def test_intermediate_tables_can_be_cleared(spark):
     assert os.path.isdir(path)
     base.clear(spark)
     assert not os.path.exists(path) and not base._written
+
+
+def test_slices_hold_whole_texts_by_bytes():
+    import pyarrow as pa
+
+    texts = pa.array([b"ab", None, b"", b"x" * 50, b"abc", b"abcd", b"abcde"], pa.binary())
+    assert list(base.runs(texts, 8)) == [(0, 3), (3, 4), (4, 6), (6, 7)]
+    assert list(base.runs(texts, 1000)) == [(0, 7)]
+    assert list(base.runs(texts[:0], 8)) == []
+
+
+def test_hashes_of_parts_are_those_of_the_whole():
+    from tallyward.llm.textcore import run_hash
+
+    buf = np.random.default_rng(3).integers(33, 255, 5000, dtype=np.uint8)
+    for start in ([0], [0, 1, 40, 41, 900, 4999], list(range(0, 5000, 7))):
+        start = np.array(start)
+        whole = run_hash(buf, start, 10_000)
+        for most in (1, 64, 1000):
+            assert (run_hash(buf, start, most) == whole).all()
+    assert len(run_hash(buf[:0], np.zeros(0, np.int64))) == 0
+
+
+def test_arrow_batches_stay_modest(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, then in (("64m", str(8 << 20)), ("1m", "1m")):
+            spark.conf.set(key, given)
+            base.modest_batches(spark)
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, before)
