@@ -391,30 +391,146 @@ def similar_links(rows: DataFrame, bits: int, differ: int, plan: str | None = No
     return seen.mapInArrow(compare, "a long, b long").distinct()
 
 
+#: Bands of a sketch and minima in each: two sets at a similarity of 0.8 have none in common with a chance of 3e-6.
+BANDS, MINIMA = 24, 4
+_TURNS = mixed(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def names(texts) -> np.ndarray:
+    """64 bits for the words of each text in their order, in small letters."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split())) for t in texts], np.uint64)
+
+
+def sketches(texts, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """How many different shingles each text has, and BANDS keys of them.
+
+    A key is a hash of MINIMA least values of the shingles under as many scramblings, so two texts share one with a
+    chance of their similarity to the power of MINIMA, independently for each band. Texts without words share all.
+    """
+    w = Words([None if t is None else t.lower() for t in texts])
+    d, n = len(w.raw), w.n
+    h, ok = w.windows(words)
+    at = np.flatnonzero(ok)
+    doc, h = w.doc[at], h[at]
+    for k in range(1, words):  # texts with fewer words are one shingle
+        few, inside = w.windows(k)
+        one = np.flatnonzero(inside & (n[w.doc[: len(few)]] == k))
+        doc, h = np.concatenate([doc, w.doc[one]]), np.concatenate([h, few[one]])
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    doc, h = doc[new], h[new]
+    size = np.bincount(doc, minlength=d)
+    some = size > 0
+    start = (np.cumsum(size) - size)[some]
+    keys = np.zeros((d, BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        if len(h):
+            for i, turn in enumerate(_TURNS):
+                keys[some, i // MINIMA] = mixed(keys[some, i // MINIMA] ^ np.minimum.reduceat(h * turn, start))
+        keys = mixed(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return size, keys
+
+
+def shingles(text: bytes | None, words: int) -> set:
+    """The different shingles themselves; with fewer words than one has, the whole sequence is the one."""
+    w = (text or b"").lower().split()
+    return set(zip(*(w[i:] for i in range(words)))) if len(w) >= words else {tuple(w)} if w else set()
+
+
+def as_similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of ids whose texts' shingles have a Jaccard similarity of at least so much, counted exactly.
+
+    texts: (id, text) with distinct ids.
+    """
+    from fractions import Fraction
+
+    import pyarrow as pa
+
+    least = Fraction(str(similarity))
+
+    def run(batches):
+        known: tuple = (None, None)
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            at = []
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
+                if known[0] != b[i]:  # rows come sorted by b
+                    known = (b[i], shingles(y.as_py(), words))
+                one, two = shingles(x.as_py(), words), known[1]
+                common = len(one & two)
+                if common * least.denominator >= least.numerator * (len(one) + len(two) - common):
+                    at.append(i)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in at], pa.int64()), "b": pa.array([b[i] for i in at], pa.int64())})
+
+    base.modest_batches(pairs.sparkSession)
+    binary = F.col("text").cast("binary")
+    one = pairs.join(texts.select(F.col("id").alias("a"), binary.alias("x")), "a")
+    both = one.join(texts.select(F.col("id").alias("b"), binary.alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def met_links(each: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links that join all pairs of ids that share a key and are as similar. each: (id, size, keys), id distinct;
+    docs: (id, text).
+
+    First every id of a key is compared with the least one there; then those at a key that are still apart, each with
+    each. So every pair that meets is either compared or joined by others already, and copies of one text never all
+    with each other.
+    """
+    near = lambda x, y: F.least(x, y) >= F.floor(similarity * F.greatest(x, y))
+    at = each.select("id", "size", F.explode("keys").alias("key"))
+    hubs = at.groupBy("key").agg(F.min(F.struct("id", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = base.written(at.join(hubs, "key"), "met")
+    ids = met.select("id").distinct()
+    texts = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    texts = base.written(texts, "texts")
+    star = met.where((F.col("id") != F.col("hub.id")) & near(F.col("size"), F.col("hub.size"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    first = base.written(as_similar(star, texts, words, similarity), "links")
+    roots = base.written(components(first), "joined")
+    rows = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
+    apart = rows.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("key")
+    rows = base.written(rows.join(apart, "key", "left_semi"), "apart")
+    other = rows.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    rest = rows.withColumnRenamed("id", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & near(F.col("size"), F.col("size_b")))
+    rest = base.written(rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    return first.union(as_similar(rest, texts, words, similarity))
+
+
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and component_id of each document, joined where shingles of so many words are so similar.
 
-    Candidates are texts whose fingerprints of single words are within ``bits`` (found at their anchors; such bits
-    change least with a few edits), and a signature of LANES * 64 bits over the shingles decides.
+    Candidates are texts whose fingerprints of single words are within ``bits`` (found at their anchors) and whose
+    signatures of LANES * 64 bits over the shingles are close, and, since such bits miss pairs, all that share a key.
     """
     lanes = [f"s{i}" for i in range(LANES)]
 
     def make():
+        import pyarrow as pa
+
         def run(texts):
+            size, keys = sketches(texts, words)
             sign = signatures(texts, words).view(np.int64)
-            return {"fp": fingerprints(texts, 1).view(np.int64)} | {x: sign[:, i] for i, x in enumerate(lanes)}
+            listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.view(np.int64).ravel())
+            return {"id": names(texts).view(np.int64), "fp": fingerprints(texts, 1).view(np.int64)} | {x: sign[:, i] for i, x in enumerate(lanes)} | {"size": size, "keys": listed}
 
         return run
 
-    rows = base.map_texts(docs, make, "fp long, " + ", ".join(f"{x} long" for x in lanes), tuple(dict.fromkeys((*keep, "doc_id"))))
-    rows = base.written(rows.withColumn("id", F.xxhash64("fp", *lanes)), "signed")
-    each = base.written(rows.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.first(x).alias(x) for x in ("fp", *lanes)]), "distinct")
-    roots = components(similar_links(each, bits, allowed(similarity)))
+    fields = "id long, fp long, " + ", ".join(f"{x} long" for x in lanes) + ", size long, keys array<long>"
+    source = docs.select(F.struct(*dict.fromkeys((*keep, "doc_id"))).alias("row"), "text")
+    rows = base.written(base.map_texts(source, make, fields, ("row",)), "signed")
+    each = base.written(rows.groupBy("id").agg(F.min("row.doc_id").alias("first"), *[F.first(x).alias(x) for x in ("fp", *lanes, "size", "keys")]), "distinct")
+    named = base.map_texts(docs, lambda: lambda texts: {"id": names(texts).view(np.int64)}, "id long", ("text",))
+    close = similar_links(each, bits, allowed(similarity))
+    roots = components(met_links(each, named, words, similarity).union(close))
     known = each.join(roots, each["id"] == roots["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     known = base.written(known, "roots")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     known = known.join(least, "root").select(F.col("id").alias("id0"), "component_id")
-    return rows.join(known, F.col("id") == F.col("id0")).select(*keep, "component_id")
+    return rows.join(known, F.col("id") == F.col("id0")).select(*[F.col("row").getField(k).alias(k) for k in keep], "component_id")
 
 
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

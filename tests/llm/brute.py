@@ -127,3 +127,29 @@ def nearest(vectors, k=5):
         order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
         out[i] = [(ids[j], s[j]) for j in order]
     return out
+
+
+def shingle_set(text, k=5):
+    w = [x.lower() for x in words(text)]
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)}
+
+
+def alike(rows):
+    """The component of each (doc_id, text) row, from the exact five-word Jaccard similarity of all pairs: 0.8 or more."""
+    sets = [shingle_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and find(i) != find(j):
+                label[find(i)] = find(j)
+    ids = {}
+    for i, (d, _) in enumerate(rows):
+        ids.setdefault(find(i), []).append(d)
+    least = {r: min((d for d in x if d is not None), default=None) for r, x in ids.items()}
+    return [least[find(i)] for i in range(len(rows))]
