@@ -473,11 +473,11 @@ def as_similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def met_links(each: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def met_links(each: DataFrame, docs: DataFrame, close: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): links that join all pairs of ids that share a key and are as similar. each: (id, size, keys), id distinct;
-    docs: (id, text).
+    docs: (id, text); close: pairs (a, b) that are proposed otherwise.
 
-    First every id of a key is compared with the least one there; then those at a key that are still apart, each with
+    First every id of a key is compared with the least one there, and pairs of close; then those at a key that are still apart, each with
     each. So every pair that meets is either compared or joined by others already, and copies of one text never all
     with each other.
     """
@@ -485,10 +485,12 @@ def met_links(each: DataFrame, docs: DataFrame, words: int, similarity: float) -
     at = each.select("id", "size", F.explode("keys").alias("key"))
     hubs = at.groupBy("key").agg(F.min(F.struct("id", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = base.written(at.join(hubs, "key"), "met")
-    ids = met.select("id").distinct()
+    close = base.written(close, "close")
+    ids = met.select("id").union(close.select("a")).union(close.select("b")).distinct()
     texts = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     texts = base.written(texts, "texts")
-    star = met.where((F.col("id") != F.col("hub.id")) & near(F.col("size"), F.col("hub.size"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    star = met.where((F.col("id") != F.col("hub.id")) & near(F.col("size"), F.col("hub.size"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+    star = base.written(star.union(close).distinct(), "star")
     first = base.written(as_similar(star, texts, words, similarity), "links")
     roots = base.written(components(first), "joined")
     rows = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
@@ -505,6 +507,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
 
     Candidates are texts whose fingerprints of single words are within ``bits`` (found at their anchors) and whose
     signatures of LANES * 64 bits over the shingles are close, and, since such bits miss pairs, all that share a key.
+    A link is kept only if the shingles' exact Jaccard similarity is high enough.
     """
     lanes = [f"s{i}" for i in range(LANES)]
 
@@ -525,7 +528,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, bi
     each = base.written(rows.groupBy("id").agg(F.min("row.doc_id").alias("first"), *[F.first(x).alias(x) for x in ("fp", *lanes, "size", "keys")]), "distinct")
     named = base.map_texts(docs, lambda: lambda texts: {"id": names(texts).view(np.int64)}, "id long", ("text",))
     close = similar_links(each, bits, allowed(similarity))
-    roots = components(met_links(each, named, words, similarity).union(close))
+    roots = components(met_links(each, named, close, words, similarity))
     known = each.join(roots, each["id"] == roots["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     known = base.written(known, "roots")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))

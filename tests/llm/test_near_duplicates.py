@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from tallyward.llm import simhash
 
@@ -32,3 +31,15 @@ def test_pairs_at_the_threshold_are_met(spark):
     high = [i for i in range(120) if similarity(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.8]
     assert len(high) > 40
     assert [i for i in high if got[2 * i + 1] != 2 * i] == []
+
+
+def test_pairs_below_the_threshold_stay(spark):
+    """Nothing under 0.8 is joined, however close to it."""
+    rng = np.random.default_rng(22)
+    rows = []
+    while len(rows) < 160:
+        a, b = edited(rng, 200, int(rng.integers(5, 9)))
+        if 0.7 <= similarity(a, b) < 0.8:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = joined(spark, rows)
+    assert [i for i, _ in rows if got[i] != i] == []
