@@ -8,8 +8,8 @@ All of it is distributed: a concentration step is one aggregation of moments by
 partial sums in each task, and a small update for each group. Rows of a hot source are never gathered.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources are values of their
-own; groups of under ``min_rows`` rows are pooled by language, then together, and with under ``min_rows`` rows
-even so only the base rules decide; repeated rows count as often as they are there; an empty table gives none.
+own; a group of under ``min_rows`` rows is measured by the model of all rows of its language, and where that has as
+few, of all rows of the table; only in a table with under ``min_rows`` rows do the base rules alone decide; repeated rows count as often as they are there; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -151,19 +151,18 @@ def _bin() -> Column:
 
 
 def cells_of(stats: DataFrame, min_rows: int) -> DataFrame:
-    """(l, s, grp): the group of each language and source: itself, or the pool that too small ones share."""
+    """(l, s, grp, fits): the group whose model measures each language and source, itself, its language or all, and the
+    groups whose models its rows make: its own and those of its language and of all that a smaller one needs."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    cells = stats.where(~base_failed()).groupBy("lang", "source").agg(F.count("*").alias("n"))
-    cells = cells.withColumn("own", F.col("n") >= min_rows)
-    by_lang = cells.where("not own").groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    cells = cells.join(by_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-    cells = cells.withColumn(
-        "grp",
-        F.when(F.col("own"), F.concat(name("lang"), F.lit("\x1f"), name("source")))
-        .when(F.col("n_lang") >= min_rows, F.concat(name("lang"), F.lit("\x1f*")))
-        .otherwise(F.lit("*")),
-    )
-    return base.written(cells.select(F.col("lang").alias("l"), F.col("source").alias("s"), "grp"), "cells")
+    cells = base.written(stats.where(~base_failed()).groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
+    by_lang = cells.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("n_lang"), (F.min("n") < min_rows).alias("some_small"))
+    pooled = by_lang.agg((F.coalesce(F.min("n_lang"), F.lit(0)) < min_rows).alias("some_lang_small"))
+    own, whole = F.concat(name("lang"), F.lit("\x1f"), name("source")), F.concat(name("lang"), F.lit("\x1f*"))
+    large, large_lang = F.col("n") >= min_rows, F.col("n_lang") >= min_rows
+    cells = cells.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l").join(F.broadcast(pooled))  # one row
+    cells = cells.withColumn("grp", F.when(large, own).when(large_lang, whole).otherwise(F.lit("*")))
+    fits = F.array_compact(F.array(F.when(large, own), F.when(large_lang & F.col("some_small"), whole), F.when(F.col("some_lang_small"), F.lit("*"))))
+    return base.written(cells.select(F.col("lang").alias("l"), F.col("source").alias("s"), "grp", fits.alias("fits")), "cells")
 
 
 def grouped(stats: DataFrame, cells: DataFrame) -> DataFrame:
@@ -194,7 +193,8 @@ def fitted(stats: DataFrame, share: float = 0.65, steps: int = 4, min_rows: int
     share: of a group's rows that a concentration step looks at.
     """
     cells = cells_of(stats, min_rows)
-    return cells, estimate(grouped(stats, cells), share, steps, min_rows)
+    rows = grouped(stats, cells.drop("grp")).withColumn("grp", F.explode("fits")).drop("fits")
+    return cells.drop("fits"), estimate(rows, share, steps, min_rows)
 
 
 def judged(stats: DataFrame, cells: DataFrame, model: DataFrame, tail: float = 1e-5) -> DataFrame:
