@@ -214,6 +214,12 @@ def flatten_layers(spark, sf):
     return shaping.flattened(shaping.recovered(u, fx.layout(spark)), fx.layout(spark))
 
 
+@query(f"WITH {S.F1} SELECT client_id, idx, value FROM f1")
+def flatten_layers_all(spark, sf):
+    lay = fx.layout(spark)
+    return shaping.flattened(shaping.recovered(fx.dense_updates(spark, sf), lay, ("client_id",)), lay, ("client_id",))
+
+
 @query(f'WITH {S.LAYOUT} SELECT layer_pos, name, start, stop AS "end" FROM layout WHERE NOT is_buffer')
 def index_ranges(spark, sf):
     return shaping.ranges(fx.layout(spark)).select("layer_pos", "name", "start", "end")
@@ -365,6 +371,12 @@ def l2_projection(spark, sf):
     return privacy.l2_projection(v, 2.5).select("idx", rounded("value").alias("value"))
 
 
+@query(f"WITH {S.F1}, v AS (SELECT client_id, idx, value * 10 AS value FROM f1), n AS (SELECT client_id, sqrt(sum({Duck.micro('value * value')})::BIGINT / 1e6::DOUBLE) AS n FROM v GROUP BY 1) SELECT client_id, idx, {Duck.rounded('value / greatest(1.0::DOUBLE, n) * 2.5::DOUBLE')} AS value FROM v JOIN n USING (client_id)")
+def l2_projection_all(spark, sf):
+    v = fx.dense_updates(spark, sf).select("client_id", "idx", (F.col("value") * 10).alias("value"))
+    return privacy.l2_projection(v, 2.5, ("client_id",)).select("client_id", "idx", rounded("value").alias("value"))
+
+
 # What index sets reveal
 
 _SCORES = (
@@ -606,6 +618,12 @@ def round_mean_from_events(spark, sf):
     return aggregate.mean(u, max(1, clients_of(u)), D, exact=True)
 
 
+@query(f"""WITH {S.F3}, n AS (SELECT round, count(DISTINCT client_id) AS n FROM f3 GROUP BY 1), s AS (SELECT round, n, i AS idx FROM n, (SELECT unnest(range({D})) AS i))
+SELECT s.round, s.idx, coalesce(sum({Duck.micro('u.value')}), 0)::BIGINT * (1.0::DOUBLE / s.n) / 1e6::DOUBLE AS value FROM s LEFT JOIN f3 u ON u.round = s.round AND u.idx = s.idx GROUP BY s.round, s.idx, s.n""")
+def round_means_from_events_all(spark, sf):
+    return aggregate.round_means(fx.rounds(spark, sf), D, exact=True)
+
+
 # Learning
 
 
@@ -642,6 +660,11 @@ def seeded_order(spark, sf):
     return fx.dense_updates(spark, sf).where("client_id < 20").select("client_id", "idx", order_key(7, "client_id", "idx").alias("key"))
 
 
+@query(f"WITH {S.F1} SELECT client_id, idx, {Duck.order_key(7, 'client_id', 'idx')} AS key FROM f1")
+def seeded_order_all(spark, sf):
+    return fx.dense_updates(spark, sf).select("client_id", "idx", order_key(7, "client_id", "idx").alias("key"))
+
+
 _CLIPPED = f"{S.F1}, q AS (SELECT *, {_SQUARE} AS q FROM f1), cl AS (SELECT idx, value * CASE WHEN q = 0 THEN 1 ELSE least(1.0::DOUBLE, 0.5::DOUBLE / sqrt(q)) END AS value FROM q)"
 
 

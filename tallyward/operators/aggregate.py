@@ -97,6 +97,14 @@ def mean(updates: DataFrame, n: int, d: int, hint: str = "non_oblivious", batch:
     return s.select("idx", (F.col("s") * F.lit(1.0 / n) / F.lit(_unit(exact))).alias("value"))
 
 
+def round_means(updates: DataFrame, d: int, exact: bool = False) -> DataFrame:
+    """(round, idx, value): the dense mean of each round over the clients that sent anything in it."""
+    n = updates.groupBy("round").agg(F.count_distinct("client_id").alias("n"))
+    zeros = n.select("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(d - 1).cast("long"))).alias("idx"), F.lit(0).cast("long" if exact else "double").alias("s"))
+    s = in_range(updates, d).select("round", "idx", _value(exact).alias("s")).unionByName(zeros).groupBy("round", "idx").agg(F.sum("s").alias("s"))
+    return s.join(n, "round").select("round", "idx", (F.col("s") * (F.lit(1.0) / F.col("n")) / F.lit(_unit(exact))).alias("value"))
+
+
 def dense_mean(updates: DataFrame, exact: bool = False) -> DataFrame:
     """The mean of dense updates by index: over those who sent it."""
     s = updates.groupBy("idx").agg(F.sum(_value(exact)).alias("s"), F.count("*").alias("n"))

@@ -86,10 +86,11 @@ def ldp_perturbed(gradients: DataFrame, epsilon: float, bound: float, seed) -> D
     return z.join(sums, "client_id").select("client_id", "idx", (F.col("z") * F.col("turn")).alias("value"))
 
 
-def l2_projection(vector: DataFrame, radius: float) -> DataFrame:
-    """w / max(1, norm) * radius: onto the ball, and scaled by the radius inside it as well."""
-    norm = vector.agg(F.sqrt(F.sum(micro(F.col("value") * F.col("value"))) / 1e6).alias("norm"))
-    return vector.join(F.broadcast(norm)).select("idx", (F.col("value") / F.greatest(F.lit(1.0), F.col("norm")) * F.lit(radius)).alias("value"))
+def l2_projection(vector: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """w / max(1, norm) * radius, by keys: onto the ball, and scaled by the radius inside it as well."""
+    norm = vector.groupBy(*keys).agg(F.sqrt(F.sum(micro(F.col("value") * F.col("value"))) / 1e6).alias("norm"))
+    both = vector.join(norm, list(keys)) if keys else vector.join(F.broadcast(norm))
+    return both.select(*keys, "idx", (F.col("value") / F.greatest(F.lit(1.0), F.col("norm")) * F.lit(radius)).alias("value"))
 
 
 def ldp_constants(d: int, epsilon: float, users: int, bound: float = 1.0) -> dict[str, float]:

@@ -62,10 +62,10 @@ def ranges(layout: DataFrame) -> DataFrame:
     return sized.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
 
 
-def flattened(layers: DataFrame, layout: DataFrame) -> DataFrame:
-    """Layer values (name, values) as one vector (idx, value)."""
+def flattened(layers: DataFrame, layout: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Layer values (keys, name, values) as one vector (keys, idx, value) for each key."""
     spots = F.broadcast(learnable(layout).select("name", "start"))
-    return layers.join(spots, "name").select("start", F.posexplode("values").alias("p", "value")).select((F.col("start") + F.col("p")).alias("idx"), "value")
+    return layers.join(spots, "name").select(*keys, "start", F.posexplode("values").alias("p", "value")).select(*keys, (F.col("start") + F.col("p")).alias("idx"), "value")
 
 
 def by_layer(vector: DataFrame, layout: DataFrame) -> DataFrame:
