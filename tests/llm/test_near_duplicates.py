@@ -43,3 +43,11 @@ def test_pairs_below_the_threshold_stay(spark):
             rows += [(len(rows), a), (len(rows) + 1, b)]
     got = joined(spark, rows)
     assert [i for i, _ in rows if got[i] != i] == []
+
+
+def test_stage_against_all_pairs(spark, documents):
+    """The components of exact similarity over all pairs, of documents and of texts without frequent words."""
+    rng = np.random.default_rng(23)
+    rows = [(int(d), t) for d, t in zip(documents.doc_id, documents.text)]
+    rows += [(10_000 + 2 * i + k, t) for i in range(40) for k, t in enumerate(edited(rng, 200, int(rng.integers(1, 9))))]
+    assert joined(spark, rows) == dict(zip([d for d, _ in rows], brute.alike(rows)))
