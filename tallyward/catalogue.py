@@ -197,7 +197,7 @@ def gradient_norm_clip(spark, sf):
     return shaping.clipped(fx.dense_updates(spark, sf), 0.5, slack=1e-6).select("client_id", "idx", rounded("value").alias("value"))
 
 
-@query(f"WITH {S.F1} SELECT a.client_id, a.idx, a.value - b.value AS value FROM f1 a JOIN f1 b ON a.idx = b.idx AND b.client_id = 0")
+@query(f"WITH {S.F1}, base AS MATERIALIZED (SELECT i AS idx, embedding[i + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range({D})) AS i) WHERE vec_id = 0) SELECT a.client_id, a.idx, a.value - b.value AS value FROM f1 a JOIN base b USING (idx)")
 def diff_from_global(spark, sf):
     u = fx.dense_updates(spark, sf)
     return shaping.difference(u, u.where("client_id = 0")).select("client_id", "idx", "value")
@@ -208,14 +208,8 @@ def recover_layers(spark, sf):
     return shaping.recovered(fx.dense_updates(spark, sf), fx.layout(spark), ("client_id",))
 
 
-@query(f"WITH {S.F1}, {S.LAYOUT} SELECT idx, value FROM f1 WHERE client_id = 1")
-def flatten_layers(spark, sf):
-    u = fx.dense_updates(spark, sf).where("client_id = 1")
-    return shaping.flattened(shaping.recovered(u, fx.layout(spark)), fx.layout(spark))
-
-
 @query(f"WITH {S.F1} SELECT client_id, idx, value FROM f1")
-def flatten_layers_all(spark, sf):
+def flatten_layers(spark, sf):
     lay = fx.layout(spark)
     return shaping.flattened(shaping.recovered(fx.dense_updates(spark, sf), lay, ("client_id",)), lay, ("client_id",))
 
@@ -365,14 +359,8 @@ def ldp_perturb(spark, sf):
     return privacy.ldp_perturbed(fx.dense_updates(spark, sf).select("client_id", "idx", "value"), 1.9, 1.0, "ldp").select("client_id", "idx", rounded("value").alias("value"))
 
 
-@query(f"WITH {S.F1}, v AS (SELECT idx, value * 10 AS value FROM f1 WHERE client_id = 2), n AS (SELECT sqrt(sum({Duck.micro('value * value')})::BIGINT / 1e6::DOUBLE) AS n FROM v) SELECT idx, {Duck.rounded('value / greatest(1.0::DOUBLE, n) * 2.5::DOUBLE')} AS value FROM v, n")
-def l2_projection(spark, sf):
-    v = fx.dense_updates(spark, sf).where("client_id = 2").select("idx", (F.col("value") * 10).alias("value"))
-    return privacy.l2_projection(v, 2.5).select("idx", rounded("value").alias("value"))
-
-
 @query(f"WITH {S.F1}, v AS (SELECT client_id, idx, value * 10 AS value FROM f1), n AS (SELECT client_id, sqrt(sum({Duck.micro('value * value')})::BIGINT / 1e6::DOUBLE) AS n FROM v GROUP BY 1) SELECT client_id, idx, {Duck.rounded('value / greatest(1.0::DOUBLE, n) * 2.5::DOUBLE')} AS value FROM v JOIN n USING (client_id)")
-def l2_projection_all(spark, sf):
+def l2_projection(spark, sf):
     v = fx.dense_updates(spark, sf).select("client_id", "idx", (F.col("value") * 10).alias("value"))
     return privacy.l2_projection(v, 2.5, ("client_id",)).select("client_id", "idx", rounded("value").alias("value"))
 
@@ -612,15 +600,9 @@ def stream_round_gate(spark, sf):
     return stream.run_to_end(stream.gated(u, 3), "append").groupBy("fl_id", "status").agg(F.count("*").alias("cells"))
 
 
-@query(_mean_sql(f"{S.F3}, u AS (SELECT * FROM f3 WHERE round = 3 AND idx % 8 <> 7)", "u", str(D), "(SELECT count(DISTINCT client_id) FROM u)"))
-def round_mean_from_events(spark, sf):
-    u = fx.rounds(spark, sf).where((F.col("round") == 3) & (F.col("idx") % 8 != 7))
-    return aggregate.mean(u, max(1, clients_of(u)), D, exact=True)
-
-
 @query(f"""WITH {S.F3}, n AS (SELECT round, count(DISTINCT client_id) AS n FROM f3 GROUP BY 1), s AS (SELECT round, n, i AS idx FROM n, (SELECT unnest(range({D})) AS i))
 SELECT s.round, s.idx, coalesce(sum({Duck.micro('u.value')}), 0)::BIGINT * (1.0::DOUBLE / s.n) / 1e6::DOUBLE AS value FROM s LEFT JOIN f3 u ON u.round = s.round AND u.idx = s.idx GROUP BY s.round, s.idx, s.n""")
-def round_means_from_events_all(spark, sf):
+def round_mean_from_events(spark, sf):
     return aggregate.round_means(fx.rounds(spark, sf), D, exact=True)
 
 
@@ -655,13 +637,8 @@ def aggregation_times(spark, sf):
     return aggregate.bench_summary(timed(u, 100, D, K, trials=2)).select("algorithm", "num_of_parameters", "trials")
 
 
-@query(f"WITH {S.F1} SELECT client_id, idx, {Duck.order_key(7, 'client_id', 'idx')} AS key FROM f1 WHERE client_id < 20")
-def seeded_order(spark, sf):
-    return fx.dense_updates(spark, sf).where("client_id < 20").select("client_id", "idx", order_key(7, "client_id", "idx").alias("key"))
-
-
 @query(f"WITH {S.F1} SELECT client_id, idx, {Duck.order_key(7, 'client_id', 'idx')} AS key FROM f1")
-def seeded_order_all(spark, sf):
+def seeded_order(spark, sf):
     return fx.dense_updates(spark, sf).select("client_id", "idx", order_key(7, "client_id", "idx").alias("key"))
 
 
