@@ -4,10 +4,15 @@ A text is the average of the embeddings of its hashed byte n-grams that lie with
 a linear layer and a softmax give the language. A temperature fitted on rows kept out of the fit calibrates the
 probabilities, and a threshold fitted on the same rows says which predictions to accept.
 
-The fit uses a bounded sample (``sample_rows`` texts in all, of at most ``sample_bytes`` each, shared evenly by the
-languages); prediction runs over every whole text. Defined cases: a text that is null or has no letter is ``und``
-with score 0 and not accepted; so is every text where no language can be learned. Repeated rows are predicted each
-by itself; an empty table gives no rows.
+The fit uses a bounded sample: ``sample_rows`` texts in all, shared evenly by the languages and chosen by a hash of
+the row, and of each a window of at most ``window_bytes`` whole words from a place that the hash decides, so a text of
+any length can be learned from and the driver holds at most sample_rows * window_bytes. Prediction runs over every whole text, and each is predicted by
+itself: what stands beside it in a batch has no part in it.
+
+Defined cases: a text that is null or has no letter is ``und`` with score 0 and not accepted; so is every text where
+no language can be learned. A null doc_id is one like any other; repeated rows and ids count as often as they are
+there, up to the bound of the sample; of equally likely languages the first in code-point order is given; huge texts are read in
+one piece; columns beside doc_id, text and lang are ignored whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,8 +39,12 @@ def has_letter(text: bytes | None) -> bool:
     return text is not None and _LETTER.search(text.decode("utf-8", "replace")) is not None
 
 
-def ngrams(buf: np.ndarray, k: int) -> np.ndarray:
-    """The bucket of the k bytes from each place; BUCKETS where white space stands inside them or the end is near."""
+def ngrams(buf: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+    """The bucket of the k bytes from each place; BUCKETS where white space stands inside them or the text ends.
+
+    at: where each text begins in buf and, last, where buf ends. A text's first byte must be white space of its own,
+    as its last is, so that its words have both edges wherever it stands.
+    """
     a = _LOWER[buf]
     n = len(a) - k + 1
     out = np.full(len(a), BUCKETS, np.int32)
@@ -53,9 +62,16 @@ def ngrams(buf: np.ndarray, k: int) -> np.ndarray:
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
     out[:n] = np.where(bad, BUCKETS, h >> np.uint32(17))
+    for back in range(1, k):  # what begins so near the end of its text would reach into the next one
+        out[np.maximum(at[1:] - back, at[:-1])] = BUCKETS
     return out
 
 
+def edged(texts) -> Words:
+    """The texts with a line feed before each; Words adds one after."""
+    return Words([b"\n" + (t if isinstance(t, bytes) else (t or "").encode()) for t in texts])
+
+
 class Model:
     """labels; table: a row of scores (or of embeddings, with ``weights``) for each bucket, the last one empty."""
 
@@ -64,18 +80,18 @@ class Model:
         self.temperature, self.accept = temperature, accept
 
     def logits(self, texts) -> np.ndarray:
-        w = Words(texts)
+        w = edged([b"" if t is None else t for t in texts])
         if not len(w.raw):
             return np.zeros((0, len(self.labels)))
         direct = len(self.labels) <= SIZE
         table = np.vstack([self.embedding @ self.weights if direct else self.embedding, np.zeros((1, len(self.labels) if direct else SIZE))])
-        table = np.ascontiguousarray(table.T.astype(np.float32))
+        table = np.ascontiguousarray(table.T.astype(np.float32)).astype(np.float64)  # no casting within sums: parts would depend on the batch
         total, count = np.zeros((len(w.raw), table.shape[0])), np.zeros(len(w.raw))
         for k in ORDERS:
-            at = ngrams(w.buf, k)
+            at = ngrams(w.buf, k, w.at)
             count += per_text((at < BUCKETS).view(np.uint8), w.at)
             for c in range(table.shape[0]):
-                total[:, c] += np.add.reduceat(table[c][at], w.at[:-1], dtype=np.float64)
+                total[:, c] += np.add.reduceat(table[c][at], w.at[:-1])
         mean = total / np.maximum(count, 1)[:, None]
         return (mean if direct else mean @ self.weights) + self.bias
 
@@ -89,8 +105,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _sparse(text: bytes):
-    w = Words([text])
-    at = np.concatenate([ngrams(w.buf, k) for k in ORDERS])
+    w = edged([text])
+    at = np.concatenate([ngrams(w.buf, k, w.at) for k in ORDERS])
     index, count = np.unique(at[at < BUCKETS], return_counts=True)
     return index, (count / max(1, count.sum())).astype(np.float32)
 
@@ -148,19 +164,48 @@ def fit(texts: list[bytes], labels: list[str], epochs: int = 6, rate: float = 20
     return model
 
 
-def sample(rows: DataFrame, sample_rows: int, sample_bytes: int):
-    """Up to about sample_rows (text, lang), evenly by language, the first in the order of a hash of the id."""
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes))
-    short = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    sizes = base.written(short.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l"), "langs")
+def window(text: bytes, turn: int, most: int) -> bytes:
+    """A run of whole words of at most so many bytes; turn, a hash, decides where it begins in a longer text."""
+    if len(text) <= most:
+        return text
+    lo = turn % (len(text) - most + 1)
+    part = text[lo : lo + most]
+    words = part.split()
+    cut_left, cut_right = lo > 0 and not SPACE[text[lo - 1]], lo + most < len(text) and not SPACE[text[lo + most]]
+    inner = words[int(cut_left and not SPACE[part[0]]) : len(words) - int(cut_right and not SPACE[part[-1]])]
+    return b" ".join(inner) if inner else part.decode("utf-8", "ignore").encode()
+
+
+def sample(rows: DataFrame, sample_rows: int, window_bytes: int):
+    """Up to about sample_rows (window of a text, lang), evenly by language, the first in the order of a hash of the row.
+
+    Only hashes are ranked; the texts that they stand for are read again and cut in the executors.
+    """
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1 << 62)))
+    short = rows.select("lang", "h")
+    sizes = base.written(short.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("first")).withColumnRenamed("lang", "l"), "langs")
     langs = sizes.count()
-    each = max(20, sample_rows // max(1, langs))
-    # A hash decides who comes into question, about twice as many as are asked for, so that no task ranks a whole language.
-    near = short.join(base.small(sizes, langs, 10_000), F.col("lang") == F.col("l")).where(F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n") < 2 * each + 50)
-    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "doc_id"))).where(F.col("k") <= each)
-    got = rows.join(F.broadcast(first.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("h")).toArrow()
-    got = got.sort_by([("h", "ascending"), ("lang", "ascending")])
-    return got.column("text").to_pylist(), got.column("lang").to_pylist()
+    each = max(1, sample_rows // max(1, langs))
+    # A hash decides who comes into question, about twice as many as are asked for, so that no task ranks a whole language;
+    # the least hash always does, so that a language of a few rows with many copies isn't lost.
+    share = F.col("h") / F.lit(float(1 << 62))
+    near = short.join(base.small(sizes, langs, 10_000), F.col("lang") == F.col("l")).where((share * F.col("n") < 2 * each + 50) | (F.col("h") == F.col("first")))
+    near = near.groupBy("lang", "h").agg(F.count("*").alias("times"))  # equal rows share a hash and are one candidate
+    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each)
+    chosen = base.written(first.select(F.col("lang").alias("l"), F.col("h").alias("g"), F.least("times", F.lit(each)).alias("times")), "chosen")
+    hit = rows.join(base.small(chosen, chosen.count(), 100_000), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("g")))
+    cut = F.udf(window, "binary", useArrow=False)
+    one = hit.groupBy("lang", "h", "times").agg(F.min(F.struct("doc_id", "text")).alias("row"))
+    one = one.select("lang", "h", "times", cut(F.col("row.text").cast("binary"), F.col("h"), F.lit(window_bytes)).alias("text"))
+    got = one.toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    texts, langs_, left = [], [], {}
+    for t, x, n in zip(got.column("text").to_pylist(), got.column("lang").to_pylist(), got.column("times").to_pylist()):
+        n = min(n, left.setdefault(x, each))  # a text that is there many times counts so often, within its language's share
+        left[x] -= n
+        texts += [t] * n
+        langs_ += [x] * n
+    return texts, langs_
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -185,8 +230,9 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     return base.map_texts(docs, make, "lang_pred string, score double, accepted boolean", keep)
 
 
-def op10_language_id(spark: SparkSession, sf_dir: str, sample_rows: int = 4000, sample_bytes: int = 20_000) -> DataFrame:
+def op10_language_id(spark: SparkSession, sf_dir: str, sample_rows: int = 4000, window_bytes: int = 20_000) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and accepted of each document; see the top of the module for odd rows."""
     docs = base.read(spark, sf_dir, "documents")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", (base.crc_mod("doc_id", 5) == 0).alias("held_out"))
-    model = fit(*sample(docs.where(~F.col("held_out")), sample_rows, sample_bytes))
+    model = fit(*sample(docs.where(~F.col("held_out")), sample_rows, window_bytes))
     return predict(docs, model, ("doc_id", "held_out"))
