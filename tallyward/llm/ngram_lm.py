@@ -1,24 +1,35 @@
 """Scoring texts by an n-gram model in Elias-Fano tries.
 
-Training n-grams are counted, and every text is scored, by questions of document batches to shards of n-grams (see
-exchange.py). A shard builds a trie of its n-grams: for each order, the contexts in order, monotone pointers to where
-each context's words begin, and the words, all as Elias-Fano sequences, with the joint probability of each n-gram
-quantised to eighths of an octave. Its levels are memory-mapped, and an n-gram is looked up by a successor search for
-the context and then, within the range that the pointers give, one for the word relative to its context.
-
-A token's probability interpolates the orders: P_n = (c(context, word) + K P_(n-1)) / (c(context) + K), with P_1 the
-additive unigram probability. What is gathered is all n-grams of the corpus; nothing is pruned or capped. Shards take
-n-grams by a hash of the whole n-gram, and a batch asks for each once, so frequent contexts don't gather anywhere.
-
-Defined cases: a null or empty text is its end token alone; a null id hashes as the empty text; repeated rows are
-learned and scored each by itself; without training documents every token is unknown (N = V = 0, the base terms are
-log10 of 1, and the model's as well); an empty table gives no rows.
+Order by order, batches of documents ask shards about their n-grams (see exchange.py), with how often they have each
+in training texts. For words the shards answer exact counts. For a longer n-gram a batch also says how often its context
+was seen and how likely the word is by the order below, both learned from the answers before; so the shard has all
+that the smoothed probability takes. It builds a trie of the n-grams seen in training: contexts in order, monotone
+pointers to where each context's words begin, and the words, all as Elias-Fano sequences, with the smoothed
+probability of each n-gram quantised to sixteenths of an octave, however small it is. The levels are memory-mapped,
+and an n-gram is looked up by a successor search for the context and then, within the range that the pointers give, one for the word
+relative to its context. An n-gram that the trie lacks backs off: the weight that its context leaves, times the
+probability of the order below.
+
+The smoothing is Witten and Bell's interpolation, P(w | c) = (count(c w) + T(c) P(w | c')) / (count(c) + T(c)), T being how many different
+words follow a context. That number isn't gathered (a frequent context would have all words in one place) but taken
+from Heaps' law of the corpus itself: T(c) = count(c) ^ (ln V / ln N). Over all words, the unknown one included, the
+probabilities of a context add up to 1 but for the quantisation. P of order 1 is the additive unigram probability.
+
+What is gathered is all n-grams of the corpus; nothing is pruned or capped. Words go by 64 bits of hash, longer n-grams
+by as many as keep the chance that an unseen one is taken for a seen one under 2^-18 at any size of the corpus. Shards
+take n-grams by a hash of the whole n-gram, and a batch asks for each once, so frequent contexts don't gather anywhere.
+
+Defined cases: a null or empty text is its end token alone; a huge text is a batch by itself; a null id hashes as the
+empty text; rows that share an id or a text are learned and scored each by itself; without training documents every token is unknown (N = V = 0, the
+base terms are log10 of 1, and the model's as well); columns beside those named are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base, exchange
-from .textcore import Words, mixed, pack, unpack
+from .textcore import Words, mixed
 
 U = np.uint64
 #: The end of a text, and what stands before its first word.
 END, START = mixed(np.array([0x656E64, 0x7374617274], U))
-#: Bits of a key: of the context, and of the word as seen from its context. A word's bits depend on its whole context, so
-#: an n-gram that was never seen is taken for another with a chance of (words after its context) / 2^34 at most, about.
-CONTEXT_BITS, WORD_BITS = 18, 34
-STEPS = 8  # of the quantised logarithm in an octave
+#: Of a key's bits, those of the context; the others are of the word as seen from its whole context.
+CONTEXT_BITS = 18
+STEPS = 16  # of the quantised logarithm in an octave
 
 
 class EliasFano:
@@ -127,19 +137,19 @@ def _selected(x: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """n-grams of one order: contexts, pointers to their words, words relative to their contexts, quantised values."""
+    """n-grams of one order: contexts, pointers to their words, words relative to their contexts, quantised probabilities."""
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, words: EliasFano, codes: np.ndarray):
-        self.contexts, self.pointers, self.words, self.codes = contexts, pointers, words, codes
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, words: EliasFano, codes: np.ndarray, word_bits: int):
+        self.contexts, self.pointers, self.words, self.codes, self.word_bits = contexts, pointers, words, codes, word_bits
 
     @classmethod
-    def of(cls, key: np.ndarray, count: np.ndarray) -> Trie:
-        """key: ascending, a context's bits above a word's."""
-        context, word = key >> U(WORD_BITS), key & U((1 << WORD_BITS) - 1)
+    def of(cls, key: np.ndarray, codes: np.ndarray, word_bits: int) -> Trie:
+        """key: ascending, a context's bits above a word's; codes: quantised probabilities."""
+        context, word = key >> U(word_bits), key & U((1 << word_bits) - 1)
         new = np.flatnonzero(np.diff(context, prepend=~context[:1]) != 0) if len(key) else np.zeros(0, np.int64)
         place = np.zeros(len(key), U)
         place[new[1:]] = 1
-        return cls(EliasFano.of(context[new]), EliasFano.of(np.append(new, len(key)).astype(U)), EliasFano.of((np.cumsum(place, dtype=U) << U(WORD_BITS)) | word), quantised(count))
+        return cls(EliasFano.of(context[new]), EliasFano.of(np.append(new, len(key)).astype(U)), EliasFano.of((np.cumsum(place, dtype=U) << U(word_bits)) | word), codes, word_bits)
 
     def arrays(self):
         for part in (self.contexts, self.pointers, self.words):
@@ -161,10 +171,10 @@ class Trie:
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """The code of each key (ascending), 0 where there is none."""
-        out = np.zeros(len(key), np.uint8)
+        out = np.zeros(len(key), np.uint16)
         if not self.contexts.n or not len(key):
             return out
-        context = key >> U(WORD_BITS)
+        context = key >> U(self.word_bits)
         new = np.concatenate([[True], context[1:] != context[:-1]])
         asked = context[new]  # each context is searched for once
         start = np.zeros(len(asked), np.int64)
@@ -175,7 +185,7 @@ class Trie:
         lo[there], hi[there] = self.pointers[c[there]].astype(np.int64), self.pointers[c[there] + 1].astype(np.int64)
         of = np.cumsum(new) - 1
         at = np.flatnonzero(there[of])
-        value = (c[of[at]].astype(U) << U(WORD_BITS)) | (key[at] & U((1 << WORD_BITS) - 1))
+        value = (c[of[at]].astype(U) << U(self.word_bits)) | (key[at] & U((1 << self.word_bits) - 1))
         hi = hi[of[at]]
         w = self.words.successor(value, lo[of[at]], hi)
         ok = w < hi
@@ -184,144 +194,201 @@ class Trie:
         return out
 
 
-def quantised(count: np.ndarray) -> np.ndarray:
-    """The logarithm of a count in 8 bits; 0 is kept for none."""
-    return np.minimum(1 + np.rint(STEPS * np.log2(np.maximum(count, 1))), 255).astype(np.uint8)
+def quantised(p: np.ndarray) -> np.ndarray:
+    """A probability's logarithm in steps of 1 / STEPS of an octave, from 1 up; 0 is kept for none."""
+    return (1 + np.rint(-STEPS * np.log2(p))).astype(np.uint16)
 
 
 def restored(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, np.exp2((code.astype(float) - 1) / STEPS), 0.0)
+    return np.exp2((1.0 - code) / STEPS)
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """Of the training texts: V different tokens, N tokens, and how many texts there are."""
+
+    v: int
+    n: int
+    texts: int
+
+    def unigram(self, count: np.ndarray) -> np.ndarray:
+        return (count + 0.1) / (self.n + 0.1 * (self.v + 1))
+
+    def types(self, count: np.ndarray) -> np.ndarray:
+        """How many different words follow a context that was seen so often, by Heaps' law."""
+        power = math.log(self.v) / math.log(self.n) if self.v > 1 else 0.5
+        return np.power(count.astype(float), power)
+
+    def backoff(self, count: np.ndarray) -> np.ndarray:
+        """The weight that a context leaves to the order below; 1 where it was never seen."""
+        t = self.types(count)
+        return np.where(count > 0, t / np.maximum(count + t, 1e-300), 1.0)
+
+    def smoothed(self, count: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """P of n-grams seen count times, after contexts seen so often, with the probability of the order below."""
+        t = self.types(seen)
+        return (count + t * lower) / (seen + t)
 
 
 class Tokens:
     """The tokens of a batch, an end after each text, with the keys of the n-grams that end at them."""
 
-    def __init__(self, t: pa.Table, order: int):
+    def __init__(self, t: pa.Table, bits: int):
         w = Words([None if x is None else x.lower() for x in t.column("text").to_pylist()])
-        self.n = w.n + 1
+        self.bits, self.n = bits, w.n + 1
         self.token = np.insert(w.hash, w.first[1:], END)
         self.doc = np.repeat(np.arange(len(w.raw)), self.n)
-        self.start = np.cumsum(self.n) - self.n
-        place = np.arange(len(self.token)) - self.start[self.doc]
-        self.keys = [self.token >> U(64 - CONTEXT_BITS - WORD_BITS)]
+        self.place = np.arange(len(self.token)) - (np.cumsum(self.n) - self.n)[self.doc]
+
+    def key(self, level: int) -> np.ndarray:
+        """Of the n-gram of level + 1 tokens that ends at each token."""
+        if not level:
+            return self.token
         context = np.zeros(len(self.token), U)
         with np.errstate(over="ignore"):
-            for back in range(1, order):
+            for back in range(1, level + 1):
                 before = np.full(len(self.token), START, U)
-                before[back:] = np.where(place[back:] >= back, self.token[:-back], START)
+                before[back:] = np.where(self.place[back:] >= back, self.token[:-back], START)
                 context = mixed(context * U(0x9E3779B97F4A7C15) + before)
-                word = mixed(self.token + context * U(0xD6E8FEB86659FD93))
-                self.keys.append(((context >> U(64 - CONTEXT_BITS)) << U(WORD_BITS)) | (word >> U(64 - WORD_BITS)))
-        self.first = place == 0
+            word = mixed(self.token + context * U(0xD6E8FEB86659FD93))
+        word_bits = self.bits - CONTEXT_BITS
+        return ((context >> U(64 - CONTEXT_BITS)) << U(word_bits)) | (word >> U(64 - word_bits))
 
     def distinct(self, level: int):
-        return np.unique(self.keys[level], return_inverse=True)
+        """The distinct keys, where each is first, and which one each token has."""
+        key = self.key(level)
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(key), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        which = np.empty(len(key), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return key[order[new]], order[new], which
+
+    def context(self, count: np.ndarray, texts: int) -> np.ndarray:
+        """How often each token's context was seen, from how often the n-grams of the order below were."""
+        out = np.full(len(count), texts, np.int64)
+        out[1:] = np.where(self.place[1:] == 0, texts, count[:-1])
+        return out
+
+
+class Unigrams(exchange.Rule):
+    """Words: exact counts; totals are V, N and how many texts there are."""
+
+    fields, gives = {"count": exchange.COUNT}, {"count": exchange.COUNT}
+
+    def combine(self, group, n, own):
+        return {"count": np.bincount(group, own["count"], n).astype(np.int64)}
+
+    def answer(self, key, held):
+        return {"count": held["count"]}
+
+    def totals(self, key, held):
+        return np.array([(held["count"] > 0).sum(), held["count"].sum(), held["count"][key == END].sum()])
+
+
+class Ngrams(exchange.Rule):
+    """Longer n-grams: codes of the trie's smoothed probabilities, and exact counts where they are contexts of another order."""
+
+    fields = {"count": exchange.COUNT, "seen": exchange.COUNT, "lower": exchange.COUNT}
 
+    def __init__(self, corpus: Corpus, word_bits: int, last: bool):
+        self.corpus, self.word_bits = corpus, word_bits
+        self.gives = {"code": exchange.COUNT} | ({} if last else {"count": exchange.COUNT})
 
-def _ask(order: int, shards: int):
+    def combine(self, group, n, own):
+        out = {"count": np.bincount(group, own["count"], n).astype(np.int64)}
+        for f in ("seen", "lower"):  # alike wherever they are known
+            out[f] = np.zeros(n, np.int64)
+            np.maximum.at(out[f], group, own[f])
+        return out
+
+    def answer(self, key, held):
+        known = held["count"] > 0
+        codes = quantised(self.corpus.smoothed(held["count"][known], held["seen"][known], restored(held["lower"][known])))
+        with tempfile.TemporaryDirectory() as folder:
+            code = Trie.of(key[known], codes, self.word_bits).mapped(os.path.join(folder, "level")).find(key)
+        return {"code": code.astype(np.int64), "count": held["count"]}
+
+
+def _known(k: Tokens, level: int, answers: dict[int, bytes], rule: exchange.Rule, fan: int) -> dict[str, np.ndarray]:
+    """What was answered, of each token."""
+    key, _, which = k.distinct(level)
+    return {f: x[which] for f, x in exchange.collected(key, answers, rule, fan).items()}
+
+
+def _learned(t: pa.Table, k: Tokens) -> np.ndarray:
+    return (~np.array(t.column("held_out").to_pylist(), bool))[k.doc]
+
+
+def _ask_words(bits: int):
     def ask(t):
-        k = Tokens(t, order)
-        learned = (~np.array(t.column("held_out").to_pylist(), bool))[k.doc]
-        out: dict[int, dict] = {}
-        for level in range(order):
-            key, inverse = k.distinct(level)
-            count = np.bincount(inverse, learned, len(key)).astype(np.int64)
-            for shard, part in exchange.sliced(key, shards):
-                c = count[part]
-                out.setdefault(shard, {})[f"k{level}"] = exchange.shortened(key[part], shards)
-                out[shard][f"c{level}"] = c.astype(np.min_scalar_type(int(c.max())))
-        for shard, arrays in out.items():
-            yield shard, pack(**arrays)
+        k = Tokens(t, bits)
+        key, _, which = k.distinct(0)
+        return key, {"count": np.bincount(which, _learned(t, k), len(key)).astype(np.int64)}
 
     return ask
 
 
-def _reply(order: int, shards: int):
-    def reply(shard, blocks):
-        """Level by level: the exact counts of words, the trie's codes of longer n-grams; last V and N of the shard."""
-        got = [unpack(b) for b in blocks]
-        out: list[dict] = [{} for _ in got]
-        totals = np.zeros(2, np.int64)
-        with tempfile.TemporaryDirectory() as folder:
-            for level in range(order):
-                which = [i for i, g in enumerate(got) if f"k{level}" in g]
-                if not which:
-                    continue
-                parts = [exchange.restored(got[i][f"k{level}"], shard, shards) for i in which]
-                each, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-                count = np.bincount(inverse, np.concatenate([got[i][f"c{level}"] for i in which]), len(each)).astype(np.int64)
-                if level:
-                    known = count > 0
-                    path = os.path.join(folder, str(level))
-                    value = Trie.of(each[known], count[known]).mapped(path).find(each)
-                else:
-                    totals += [int((count > 0).sum()), int(count.sum())]
-                    value = count
-                value = value[inverse]
-                for i, x in zip(which, np.split(value, np.cumsum([len(p) for p in parts])[:-1])):
-                    out[i][f"v{level}"] = x.astype(np.min_scalar_type(int(x.max())))
-        return [pack(totals=totals, **x) for x in out]
-
-    return reply
-
-
-def _totals(answers: DataFrame) -> tuple[int, int]:
-    """V and N, from one answer of each shard."""
+def _ask_ngrams(level: int, bits: int, corpus: Corpus, below: exchange.Rule, fan: int):
+    """Asks about the n-grams of an order, given what was answered about the one below."""
 
-    def run(it):
-        for b in it:
-            t = np.array([unpack(x)["totals"] for x in b.column("block").to_pylist()]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(t[:, 0]), pa.array(t[:, 1])], ["v", "n"])
-
-    one = answers.groupBy("shard").agg(F.min("batch").alias("batch"))
-    row = answers.join(one, ["shard", "batch"]).select("block").mapInArrow(run, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
-    return row[0] or 0, row[1] or 0
-
-
-def _scores(t: pa.Table, answers: dict[int, bytes], order: int, shards: int, v: int, n: int, weight: float):
-    k = Tokens(t, order)
-    got = {s: unpack(b) for s, b in answers.items()}
-    counts = []
-    for level in range(order):
-        key, inverse = k.distinct(level)
-        value = np.zeros(len(key), np.int64)
-        for shard, part in exchange.sliced(key, shards):
-            value[part] = got[shard][f"v{level}"]
-        value = value if level == 0 else restored(value)
-        counts.append(value[inverse])
-    docs = len(k.n)
-    texts = float(counts[0][np.cumsum(k.n)[0] - 1]) if docs else 0.0  # training texts: how often the end was seen
-    p = (counts[0] + 0.1) / (n + 0.1 * (v + 1))
-    scored = [np.bincount(k.doc, np.log10(p), docs)]
-    for level in range(1, order):
-        context = np.full(len(p), texts)
-        context[1:] = np.where(k.first[1:], texts, counts[level - 1][:-1])
-        p = (np.minimum(counts[level], context) + weight * p) / (context + weight)
-    scored.append(np.bincount(k.doc, np.log10(p), docs))
-    known = np.bincount(k.doc, counts[0] > 0, docs).astype(np.int64)
-    return k.n, known, scored[0], scored[1]
+    def ask(t, answers):
+        k = Tokens(t, bits)
+        got = _known(k, level - 1, answers, below, fan)
+        lower = quantised(corpus.unigram(got["count"])) if level == 1 else got["code"]
+        seen = k.context(got["count"], corpus.texts)
+        key, first, which = k.distinct(level)
+        count = np.bincount(which, _learned(t, k), len(key)).astype(np.int64)
+        # Only n-grams of training texts have all this; of equal ones, one that is learned would say the same.
+        tell = lambda x: np.where(count > 0, x[first].astype(np.int64), 0)
+        return key, {"count": count, "seen": tell(seen), "lower": tell(lower)}
+
+    return ask
 
 
-def scored(docs: DataFrame, order: int = 3, weight: float = 200.0, batch_bytes: int = exchange.BATCH_BYTES, shard_bytes: int = 8 << 20) -> DataFrame:
+def _scores(t: pa.Table, answers: list[dict[int, bytes]], bits: int, corpus: Corpus, rules: list, fans: list[int]):
+    k = Tokens(t, bits)
+    docs = len(k.n)
+    got = _known(k, 0, answers[0], rules[0], fans[0])
+    known = np.bincount(k.doc, got["count"] > 0, docs).astype(np.int64)
+    p = corpus.unigram(got["count"])
+    low = np.bincount(k.doc, np.log10(p), docs)
+    for level in range(1, len(rules)):
+        back = corpus.backoff(k.context(got["count"], corpus.texts))
+        got = _known(k, level, answers[level], rules[level], fans[level])
+        p = np.where(got["code"] > 0, restored(got["code"]), back * p)
+    return k.n, known, low, np.bincount(k.doc, np.log10(p), docs)
+
+
+def scored(docs: DataFrame, order: int = 3, batch_bytes: int = 6 << 20, shard_bytes: int = 16 << 20, fanout: int = exchange.FANOUT) -> DataFrame:
     """docs has doc_id, text and held_out; learns from the others, scores all: see op1_ngram_lm for the columns."""
     batches = exchange.packed(docs, ("doc_id", "held_out"), batch_bytes)
-    shards = exchange.shards_for(batches, shard_bytes)
-    answers = base.written(exchange.answered(exchange.questions(batches, _ask(order, shards)), _reply(order, shards)), "ngrams")
-    v, n = _totals(answers)
+    bits, shards = batches.key_bits, exchange.shards_for(batches, shard_bytes)
+    fan = exchange.fans(shards, fanout)[0]
+    rules: list[exchange.Rule] = [Unigrams()]
+    answers = [exchange.exchanged(batches, _ask_words(bits), rules[0], shards, "words", fanout=fanout)]
+    corpus = Corpus(*exchange.totals(answers[0], 3))
+    for level in range(1, order):
+        ask = _ask_ngrams(level, bits, corpus, rules[-1], fan)
+        rules.append(Ngrams(corpus, bits - CONTEXT_BITS, level == order - 1))
+        asking = exchange.joined(batches.rows, told=answers[-1])
+        answers.append(exchange.exchanged(batches, ask, rules[-1], shards, f"ngrams{level + 1}", asking, ("told",), fanout))
+    names = [f"a{i}" for i in range(order)]
 
     def run(it):
         for b in it:
             for i in range(b.num_rows):
                 t = exchange.opened(b.column("block")[i].as_py())
-                tokens, known, low, high = _scores(t, exchange._answer(b.column("answers")[i]), order, shards, v, n, weight)
-                columns = [t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks(), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(np.full(len(tokens), n)), pa.array(low), pa.array(high)]
+                tokens, known, low, high = _scores(t, [exchange.answer_of(b.column(a)[i]) for a in names], bits, corpus, rules, [fan] * order)
+                columns = [t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks(), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(np.full(len(tokens), corpus.n)), pa.array(low), pa.array(high)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return exchange.joined(batches, answers=answers).select("block", "answers").mapInArrow(run, fields)
+    return exchange.joined(batches.rows, **dict(zip(names, answers))).select("block", *names).mapInArrow(run, fields)
 
 
 def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
     docs = base.read(spark, sf_dir, "documents")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (base.crc_mod("doc_id", 10) == 0).alias("held_out"))
     return scored(docs)

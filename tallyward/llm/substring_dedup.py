@@ -3,20 +3,22 @@
 Every document is cut into non-overlapping blocks of ``block`` words, the index; any window of ``window`` words holds a
 whole block if 2 * block - 1 <= window. All rolling windows of block length probe the index; a block that is met
 anywhere else than at itself is a hit. Around hits, windows of full length are compared by a 64-bit hash of theirs, which
-extends the hits: overlapping windows that repeat add up to the maximal exact repeat. The words of a window that also
-starts in a document with a smaller doc_id go.
+extends the hits (and by 32 bits of a second hash, since at 10^13 windows some millions of unequal pairs would share
+the first): overlapping windows that repeat add up to the maximal exact repeat. The words of a window that also starts
+in a document with a smaller doc_id go.
 
 Probes and windows travel as sorted, packed keys, each once for a batch of documents, with one-bit answers (see
 exchange.py); texts stay in place. A passage that is in every document costs a key for each batch.
 
 Defined cases: a null or empty text has no words; a null doc_id is larger than all others and equal to itself; rows
-with the same doc_id don't count as smaller than each other; documents under ``window`` words are left alone; an empty
-table gives no rows.
+with the same doc_id don't count as smaller than each other, nor do repeats within one document; documents under
+``window`` words are left alone; a huge text is a batch by itself; other columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base, exchange
-from .textcore import Words, pack, unpack
+from .textcore import Words
 
 LAST = np.iinfo(np.int64).max
 
@@ -37,102 +39,105 @@ def _ids(t: pa.Table) -> np.ndarray:
     return t.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
 
 
-def _probes(w: Words, block: int):
-    """The distinct keys of 48 bits of all rolling blocks, which key each place has, and which places are whole anchors."""
+def _probes(w: Words, block: int, bits: int):
+    """The distinct keys of all rolling blocks, which key each place has, and which places are whole anchors."""
     h, ok = w.windows(block)
     at = np.flatnonzero(ok)
-    key, inverse = np.unique(h[at] >> np.uint64(16), return_inverse=True)
+    key, inverse = np.unique(h[at] >> np.uint64(64 - bits), return_inverse=True)
     anchor = (at - w.first[w.doc[at]]) % block == 0
     return at, key, inverse, anchor
 
 
-def _ask_blocks(block: int, shards: int):
-    def ask(t):
-        at, key, inverse, anchor = _probes(_texts(t), block)
-        indexed = np.zeros(len(key), bool)
-        indexed[inverse[anchor]] = True
-        twice = np.bincount(inverse, minlength=len(key)) > 1
-        for shard, part in exchange.sliced(key, shards):
-            yield shard, pack(key=exchange.shortened(key[part], shards), n=np.array([len(part)]), indexed=np.packbits(indexed[part]), twice=np.packbits(twice[part]))
+class Blocks(exchange.Rule):
+    """Is a block an anchor somewhere, and there more than once?"""
 
-    return ask
+    fields, gives = {"indexed": exchange.FLAG, "twice": exchange.FLAG}, {"hit": exchange.FLAG}
 
+    def combine(self, group, n, own):
+        return {"indexed": np.bincount(group, own["indexed"], n) > 0, "twice": np.bincount(group, 1 + own["twice"], n) > 1}
 
-def _bits(block: bytes | None, name: str, n: int) -> np.ndarray:
-    return np.unpackbits(unpack(block)[name], count=n).astype(bool)
+    def answer(self, key, held):
+        return {"hit": held["indexed"] & held["twice"]}
 
 
-def _merged(parts: list[np.ndarray]):
-    key = np.concatenate(parts)
-    return np.unique(key, return_inverse=True)
+class Windows(exchange.Rule):
+    """Does a window start in a document with a smaller doc_id than any that the asker knows of? Alike are only windows
+    with the same key of 64 bits and the same check of 32 more."""
 
+    fields, same, gives = {"check": exchange.COUNT, "least": exchange.ID}, ("check",), {"smaller": exchange.FLAG}
 
-def _reply_blocks(shards: int):
-    def reply(shard: int, blocks: list[bytes]) -> list[bytes]:
-        """For each key of each batch: is it an anchor somewhere, and there more than once?"""
-        got = [unpack(b) for b in blocks]
-        each, inverse = _merged([exchange.restored(g["key"], shard, shards) for g in got])
-        flags = lambda name: np.concatenate([np.unpackbits(g[name], count=int(g["n"][0])) for g in got])
-        indexed = np.bincount(inverse, flags("indexed"), len(each)) > 0
-        count = np.bincount(inverse, 1 + flags("twice"), len(each))
-        hit = (indexed & (count > 1))[inverse]
-        return [pack(hit=np.packbits(x)) for x in np.split(hit, np.cumsum([int(g["n"][0]) for g in got])[:-1])]
+    def combine(self, group, n, own):
+        least = np.full(n, LAST)
+        np.minimum.at(least, group, own["least"])
+        check = np.zeros(n, np.int64)
+        check[group] = own["check"]
+        return {"check": check, "least": least}
 
-    return reply
+    def answer(self, key, held):
+        return {"smaller": np.zeros(len(key), bool)}
 
+    def give(self, got, own, held):
+        return {"smaller": got["smaller"] | (held["least"] < own["least"])}
 
-def _candidates(w: Words, ids: np.ndarray, block: int, window: int, shards: int, hits: dict[int, bytes]):
-    """The places of the windows that hold a hit, their distinct keys, which key each has, and each key's least doc_id."""
-    at, key, inverse, _ = _probes(w, block)
-    hit = np.zeros(len(key), bool)
-    for shard, part in exchange.sliced(key, shards):
-        hit[part] = _bits(hits[shard], "hit", len(part))
-    mark = np.zeros(len(w.doc) + 1, np.int64)
-    mark[at[hit[inverse]] + 1] = 1
-    mark = np.cumsum(mark)
-    h, ok = w.windows(window)
-    s = np.flatnonzero(ok)
-    s = s[mark[s + window - block + 1] > mark[s]]
-    key, first, inverse = np.unique(h[s], return_index=True, return_inverse=True)
-    return s, key, inverse, ids[w.doc[s[first]]]  # documents stand in the order of doc_id, so the first is the least
 
+@dataclass(frozen=True)
+class Plan:
+    """Words of a block and of a window, bits of a block's key, and how far a batch fans out."""
+
+    block: int
+    window: int
+    bits: int
+    fan: int
 
-def _ask_windows(block: int, window: int, shards: int):
-    def ask(t, hits):
-        _, key, _, least = _candidates(_texts(t), _ids(t), block, window, shards, hits)
-        for shard, part in exchange.sliced(key, shards):
-            ids, which = np.unique(least[part], return_inverse=True)
-            yield shard, pack(key=exchange.shortened(key[part], shards), ids=ids, which=which.astype(np.min_scalar_type(len(ids))))
+
+def _ask_blocks(plan: Plan):
+    def ask(t):
+        _, key, inverse, anchor = _probes(_texts(t), plan.block, plan.bits)
+        indexed = np.zeros(len(key), bool)
+        indexed[inverse[anchor]] = True
+        return key, {"indexed": indexed, "twice": np.bincount(inverse, minlength=len(key)) > 1}
 
     return ask
 
 
-def _reply_windows(shards: int):
-    def reply(shard: int, blocks: list[bytes]) -> list[bytes]:
-        """For each window of each batch: does it start in a document with a smaller doc_id than any of the batch?"""
-        got = [unpack(b) for b in blocks]
-        parts = [exchange.restored(g["key"], shard, shards) for g in got]
-        each, inverse = _merged(parts)
-        mine = np.concatenate([g["ids"][g["which"]] for g in got])
-        least = np.full(len(each), LAST)
-        np.minimum.at(least, inverse, mine)
-        smaller = least[inverse] < mine
-        return [pack(smaller=np.packbits(x)) for x in np.split(smaller, np.cumsum([len(p) for p in parts])[:-1])]
+def _candidates(w: Words, ids: np.ndarray, plan: Plan, hits: dict[int, bytes]):
+    """The places of the windows that hold a hit, the distinct ones among them by key and check, which one each place
+    has, and the least doc_id of each."""
+    at, key, inverse, _ = _probes(w, plan.block, plan.bits)
+    hit = exchange.collected(key, hits, Blocks(), plan.fan)["hit"]
+    mark = np.zeros(len(w.doc) + 1, np.int64)
+    mark[at[hit[inverse]] + 1] = 1
+    mark = np.cumsum(mark)
+    h, ok = w.windows(plan.window)
+    s = np.flatnonzero(ok)
+    s = s[mark[s + plan.window - plan.block + 1] > mark[s]]
+    check = (w.windows(plan.window, again=True)[0][s] >> np.uint64(32)).astype(np.int64) if len(s) else np.zeros(0, np.int64)
+    order = np.lexsort((s, check, h[s]))  # documents stand in the order of doc_id, so the first place is of the least
+    key, check = h[s][order], check[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+    which = np.empty(len(s), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return s, key[new], check[new], which, ids[w.doc[s[order[new]]]]
+
+
+def _ask_windows(plan: Plan):
+    def ask(t, hits):
+        _, key, check, _, least = _candidates(_texts(t), _ids(t), plan, hits)
+        return key, {"check": check, "least": least}
 
-    return reply
+    return ask
 
 
-def _removed(t: pa.Table, block: int, window: int, shards: int, hits, answers) -> tuple[Words, np.ndarray]:
+def _removed(t: pa.Table, plan: Plan, hits, answers) -> tuple[Words, np.ndarray]:
     """Marks the words of the batch that go."""
     w, ids = _texts(t), _ids(t)
-    s, key, inverse, least = _candidates(w, ids, block, window, shards, hits)
-    smaller = np.zeros(len(key), bool)
-    for shard, part in exchange.sliced(key, shards):
-        smaller[part] = _bits(answers[shard], "smaller", len(part))
-    gone = s[smaller[inverse] | (ids[w.doc[s]] > least[inverse])]
+    s, key, _, which, least = _candidates(w, ids, plan, hits)
+    smaller = exchange.collected(key, answers, Windows(), plan.fan)["smaller"]
+    gone = s[smaller[which] | (ids[w.doc[s]] > least[which])]
     edge = np.zeros(len(w.doc) + 1, np.int64)
     np.add.at(edge, gone, 1)
-    np.add.at(edge, gone + window, -1)
+    np.add.at(edge, gone + plan.window, -1)
     return w, np.cumsum(edge)[:-1] > 0
 
 
@@ -177,17 +182,17 @@ RESULTS = {
 }
 
 
-def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = 13, result: str = "text", batch_bytes: int = exchange.BATCH_BYTES, shard_bytes: int = 10 << 20) -> DataFrame:
+def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = 13, result: str = "text", batch_bytes: int = exchange.BATCH_BYTES, shard_bytes: int = 16 << 20, fanout: int = exchange.FANOUT) -> DataFrame:
     """keep and, for each document, n_words, n_removed and the cleaned text with the removed spans (or its digest)."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    block = (window + 1) // 2
     columns = tuple(dict.fromkeys((*keep, "doc_id")))
     batches = exchange.packed(docs, columns, batch_bytes)
     shards = exchange.shards_for(batches, shard_bytes)
-    hits = base.written(exchange.answered(exchange.questions(batches, _ask_blocks(block, shards)), _reply_blocks(shards)), "hits")
-    asked = exchange.questions(exchange.joined(batches, hits=hits), _ask_windows(block, window, shards), "hits")
-    windows = base.written(exchange.answered(asked, _reply_windows(shards)), "windows")
+    plan = Plan((window + 1) // 2, window, batches.key_bits, exchange.fans(shards, fanout)[0])
+    hits = exchange.exchanged(batches, _ask_blocks(plan), Blocks(), shards, "hits", fanout=fanout)
+    asking = exchange.joined(batches.rows, hits=hits)
+    windows = exchange.exchanged(batches, _ask_windows(plan), Windows(), shards, "windows", asking, ("hits",), fanout)
     make, arrow, fields = RESULTS[result]
     kept = StructType([docs.schema[k] for k in keep])  # columns of docs, apart from the results
     schema = StructType(kept.fields + _parse_datatype_string(fields).fields)
@@ -196,12 +201,12 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: i
         for b in it:
             for i in range(b.num_rows):
                 t = exchange.opened(b.column("block")[i].as_py())
-                w, gone = _removed(t, block, window, shards, exchange._answer(b.column("hits")[i]), exchange._answer(b.column("windows")[i]))
+                w, gone = _removed(t, plan, exchange.answer_of(b.column("hits")[i]), exchange.answer_of(b.column("windows")[i]))
                 got = make(w, gone)
                 columns = [t.column(k).combine_chunks() for k in keep] + [pa.array(got[n], kind) for n, kind in arrow]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *[n for n, _ in arrow]])
 
-    return exchange.joined(batches, hits=hits, windows=windows).select("block", "hits", "windows").mapInArrow(run, schema)
+    return exchange.joined(batches.rows, hits=hits, windows=windows).select("block", "hits", "windows").mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Vectorised numpy work on whole batches of texts: words, hashes, statistics, packed arrays.
+"""Vectorised numpy work on whole batches of texts: words, hashes, statistics.
 
 A text is handled as UTF-8 bytes. Words are runs of bytes other than space and 0x09-0x0D, which is what
 ``bytes.split()`` gives. A null text counts as empty.
@@ -6,10 +6,7 @@ A text is handled as UTF-8 bytes. Words are runs of bytes other than space and 0
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
-import zstandard
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -91,14 +88,17 @@ class Words:
             self._hash = run_hash(self.buf[self.solid], np.cumsum(size) - size)
         return self._hash
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of each k consecutive words, by first word, and whether they lie in one text (a rolling polynomial)."""
+    def windows(self, k: int, again: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each k consecutive words, by first word, and whether they lie in one text (a rolling polynomial).
+
+        again: a second hash, of the words' hashes scrambled once more.
+        """
         n = max(0, len(self.doc) - k + 1)
         if not n:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         up, down = _powers(len(self.doc))
         with np.errstate(over="ignore"):
-            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hash * up, dtype=np.uint64)])
+            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mixed(self.hash ^ FAR) if again else self.hash) * up, dtype=np.uint64)])
             h = _mixed((run[k:] - run[:-k]) * down[:n])
         return h, self.doc[:n] == self.doc[k - 1 :]
 
@@ -198,38 +198,3 @@ def slices(texts, ids, most: int = 4 << 20):
         size += n
     if at < len(texts):
         yield texts[at:], ids[at:]
-
-
-def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed block."""
-    head, body = [], []
-    for k, a in arrays.items():
-        a = np.ascontiguousarray(a)
-        head.append((k, a.dtype.str, list(a.shape)))
-        body.append(a.tobytes())
-    h = json.dumps(head).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(h).to_bytes(4, "little") + h + b"".join(body))
-
-
-def unpack(block: bytes) -> dict[str, np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(block)
-    n = int.from_bytes(data[:4], "little")
-    out, at = {}, 4 + n
-    for k, kind, shape in json.loads(data[4 : 4 + n]):
-        size = int(np.prod(shape)) * np.dtype(kind).itemsize
-        out[k] = np.frombuffer(data, np.dtype(kind), int(np.prod(shape)), at).reshape(shape)
-        at += size
-    return out
-
-
-def planes(x: np.ndarray) -> np.ndarray:
-    """Sorted integers as differences, byte plane by byte plane, so that the compressor sees the empty high bytes."""
-    d = np.diff(x.astype(np.uint64), prepend=np.uint64(0)) if len(x) else np.zeros(0, np.uint64)
-    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    return np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-
-
-def unplanes(p: np.ndarray) -> np.ndarray:
-    d = np.zeros((p.shape[1], 8), np.uint8)
-    d[:, : p.shape[0]] = p.T
-    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)

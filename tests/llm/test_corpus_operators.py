@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyward.llm import learned_partitions, mixing, ngram_lm, registry, sentencepiece_codec, simhash, substring_dedup
+from tallyward.llm import exchange, learned_partitions, mixing, ngram_lm, registry, sentencepiece_codec, simhash, substring_dedup
 
 from . import brute
 
@@ -149,6 +149,8 @@ def test_substring_dedup_in_small_batches(odd, empty):
     out = substring_dedup.deduplicated(odd, result="digest", batch_bytes=2000, shard_bytes=5000).collect()
     assert len(out) == len(rows)
     check_removal(rows, {tuple(r) for r in out})
+    far = substring_dedup.deduplicated(odd, result="digest", batch_bytes=2000, shard_bytes=2000, fanout=2).collect()
+    assert Counter(map(tuple, far)) == Counter(map(tuple, out))
     assert substring_dedup.deduplicated(empty).count() == 0
 
 
@@ -166,53 +168,85 @@ def test_cleaned_texts_and_spans(odd):
 # n-grams
 
 
-def lm_rows(rows, order, weight):
-    """Scores with counts quantised as the tries do, by dictionaries."""
+def lm_rows(rows, order):
+    """Counts, base scores and exact scores (without quantised probabilities), by dictionaries of n-grams."""
     tokens = [[w.lower() for w in brute.words(t)] + [None] for _, t in rows]
     held = [zlib.crc32(str("" if d is None else d).encode()) % 10 == 0 for d, _ in rows]
-    counts = [Counter() for _ in range(order)]
+    counts, after = [Counter() for _ in range(order)], [Counter() for _ in range(order)]
+    gram = lambda seq, n, k: tuple(seq[j] if j >= 0 else "start" for j in range(k - n, k + 1))
     for seq, h in zip(tokens, held):
         for i in range(len(seq) if not h else 0):
             for n in range(order):
-                counts[n][tuple(seq[j] if j >= 0 else "start" for j in range(i - n, i + 1))] += 1
-    size, kinds, texts = sum(counts[0].values()), len(counts[0]), counts[0][(None,)]
-    soft = lambda n, g: float(counts[n][g]) if n == 0 else float(ngram_lm.restored(ngram_lm.quantised(np.array([counts[n][g]])) if counts[n][g] else np.array([0]))[0])
+                counts[n][gram(seq, n, i)] += 1
+                after[n][gram(seq, n, i)[:-1]] += 1
+    size, kinds = sum(counts[0].values()), len(counts[0])
+    power = math.log(kinds) / math.log(size) if kinds > 1 else 0.5
     for (d, _), seq, h in zip(rows, tokens, held):
         base = high = 0.0
         for i in range(len(seq)):
-            gram = lambda n, k: tuple(seq[j] if j >= 0 else "start" for j in range(k - n, k + 1))  # noqa: B023, E731
             p = (counts[0][(seq[i],)] + 0.1) / (size + 0.1 * (kinds + 1))
             base += math.log10(p)
             for n in range(1, order):
-                context = soft(n - 1, gram(n - 1, i - 1)) if i else float(texts)
-                p = (min(soft(n, gram(n, i)), context) + weight * p) / (context + weight)
+                c = after[n][gram(seq, n, i)[:-1]]
+                p = (counts[n][gram(seq, n, i)] + c**power * p) / (c + c**power) if c else p
             high += math.log10(p)
         yield d, h, len(seq), sum(counts[0][(w,)] > 0 for w in seq), size, base, high
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_scores(spark, documents, order):
+def check_scores(got, want, order):
+    """A stored probability is within half a step of its exact value, and so is the one below that it was made from."""
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5])
+        assert abs(a[6] - b[6]) <= a[2] * (order - 1) * math.log10(2) / ngram_lm.STEPS / 2 + 1e-9
+
+
+@pytest.mark.parametrize(("order", "fanout"), [(2, 1024), (3, 1024), (3, 2)])
+def test_scores(spark, documents, order, fanout):
     rows = list(zip(documents.doc_id.tolist()[:120], documents.text[:120]))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
-    got = {r.doc_id: r for r in ngram_lm.scored(df, order, 50.0, batch_bytes=40_000, shard_bytes=100_000).collect()}
-    for d, h, n, known, size, base, high in lm_rows(rows, order, 50.0):
-        r = got[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, n, known, size)
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(high)
+    got = ngram_lm.scored(df, order, batch_bytes=40_000, shard_bytes=100_000, fanout=fanout).collect()
+    check_scores(got, lm_rows(rows, order), order)
 
 
 def test_scores_of_odd_rows(spark, odd, empty, folder):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
-    got = ngram_lm.op1_ngram_lm(spark, folder(documents=odd)).collect()
-    want = list(lm_rows(rows, 3, 200.0))
-    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
-    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+    check_scores(ngram_lm.op1_ngram_lm(spark, folder(documents=odd)).collect(), lm_rows(rows, 3), 3)
     assert ngram_lm.scored(empty.withColumn("held_out", F.lit(True))).count() == 0
     only = ngram_lm.scored(odd.withColumn("held_out", F.lit(True))).collect()
     assert len(only) == len(rows) and {(r.n_known, r.train_tokens, r.score) for r in only} == {(0, 0, 0.0)}
 
 
+def test_probabilities_of_a_context_add_up(documents):
+    """What a trie and its back-off say of all words after a context, the unknown one included."""
+    words = [w.lower() for t in documents.text[:60] for w in t.split()]
+    one, two = Counter(words), Counter(zip(words, words[1:]))
+    corpus = ngram_lm.Corpus(len(one), len(words), 60)
+    lower = {w: float(corpus.unigram(np.array([c]))[0]) for w, c in [*one.items(), ("unknown", 0)]}
+    assert sum(lower.values()) == pytest.approx(1)
+    for context in [w for w, _ in one.most_common(5)] + [w for w, c in one.items() if c == 1][:5]:
+        after = {w: c for (v, w), c in two.items() if v == context}
+        n = np.array([sum(after.values())])
+        stored = {w: float(ngram_lm.restored(ngram_lm.quantised(corpus.smoothed(np.array([c]), n, ngram_lm.restored(ngram_lm.quantised(np.array([lower[w]]))))))[0]) for w, c in after.items()}
+        total = sum(stored.get(w, float(corpus.backoff(n)[0]) * p) for w, p in lower.items())
+        assert 2 ** (-1.0 / ngram_lm.STEPS) <= total <= 2 ** (1.0 / ngram_lm.STEPS)
+
+
+def test_small_and_large_probabilities_are_kept():
+    p = 10.0 ** -np.arange(0, 300, 7)
+    assert (abs(np.log2(ngram_lm.restored(ngram_lm.quantised(p)) / p)) <= 0.5 / ngram_lm.STEPS + 1e-9).all()
+
+
+def test_tries_find_what_they_hold():
+    rng = np.random.default_rng(3)
+    for bits in (46, 64):
+        key = np.unique(rng.integers(0, 2**62, 3000).astype(np.uint64) * np.uint64(4) >> np.uint64(64 - bits))
+        codes = rng.integers(1, 900, len(key)).astype(np.uint16)
+        half = rng.random(len(key)) < 0.5
+        found = ngram_lm.Trie.of(key[half], codes[half], bits - ngram_lm.CONTEXT_BITS).find(key)
+        assert (found == np.where(half, codes, 0)).all()
+
+
 def test_held_out_texts_score_above_the_base(spark):
     got = ngram_lm.op1_ngram_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]

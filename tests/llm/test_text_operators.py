@@ -30,12 +30,6 @@ def test_statistics_of_any_batch(texts):
     assert [tuple(r[:5]) for r in got] == [brute.statistics(t) for t in texts]
 
 
-def test_packing():
-    x = np.sort(np.random.default_rng(1).integers(0, 2**60, 500).astype(np.uint64))
-    assert (textcore.unplanes(textcore.unpack(textcore.pack(x=textcore.planes(x)))["x"]) == x).all()
-    assert len(textcore.unplanes(textcore.planes(x[:0]))) == 0
-
-
 # Quality rules
 
 
