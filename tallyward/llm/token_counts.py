@@ -1,16 +1,16 @@
 """Token counts of whole texts, huge ones through overlapping chunks that are spliced where both agree.
 
-A text over ``chunk_bytes`` is cut into chunks that overlap. Each is encoded by itself with offsets; its first and
-last unit may be torn, so only ends of units that have white space on both sides inside the chunk are stable. Two
-neighbours are joined at the first end that is stable in both; where there is none, the overlap is doubled until
-there is one or the text ends.
-
-A tokenizer that never reads past ASCII white space gives a unit between such white space the same tokens anywhere;
-so units are encoded once and their number of tokens remembered within a bounded memory. That property is checked
-when the tokenizer is loaded; without it whole texts go to the library.
+A text over ``chunk_chars`` is cut into chunks that overlap, and the tokenizer encodes each by itself, with the offsets
+of its tokens and the words (units of its pre-tokenizer) that they belong to. Near a torn edge a chunk's tokens may be
+wrong, so two neighbours are spliced at a boundary that both of them prove: a word that begins at the same
+place of the text, ends at the same place and has the same tokens in both, away from either edge, between two ASCII
+characters. Up to there the left chunk is right, since what follows can't reach back over the words in between; from there on the right one
+is, since a pre-tokenizer goes from left to right and a word is encoded by itself. Where no boundary is proven the overlap is doubled, and
+then the left chunk itself grows, up to the whole rest of the text; so a tokenizer without words of its own gets the
+text in one piece, as do shorter texts.
 
 Defined cases: a null or empty text has no bytes and no tokens; bytes that aren't UTF-8 count as U+FFFD; repeated
-rows are counted each by itself; an empty table gives no rows.
+rows and ids are counted each by itself; columns beside those named are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,90 +20,98 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base
-from .textcore import Words
 
-#: Joined by each kind of ASCII white space, these must give what they give apart.
-_PROBES = ("word", "Word's", "'s", "1", "12a", ".", "...!", "́", "é", "가", "Σ", "<|endoftext|>", "a<|startoftext|>b", "ßİ", "‍", "　x", "\x1c", "\x85y")
+#: Characters next to a torn edge that no boundary may lie in, and words whose ends another could still change.
+EDGE_CHARS, EDGE_WORDS = 16, 2
+
+
+class Chunk:
+    """text[start:end], encoded: where its words begin and end in the text, and which tokens they have."""
+
+    def __init__(self, tokenizer, text: str, start: int, end: int):
+        e = tokenizer.encode(text[start:end], add_special_tokens=False)
+        self.start, self.end, self.tokens = start, end, len(e.ids)
+        self.ids = np.array(e.ids, np.int64)
+        word = np.array([-1 - i if w is None else w for i, w in enumerate(e.word_ids)], np.int64)
+        self.first = np.flatnonzero(np.diff(word, prepend=word[:1] - 1) != 0) if len(word) else np.zeros(0, np.int64)
+        spans = np.array(e.offsets, np.int64).reshape(-1, 2) + start
+        self.begin = spans[self.first, 0]
+        self.last = np.append(self.first, len(word))[1:]
+        self.finish = spans[self.last - 1, 1]
+
+    def stable(self, text: str) -> np.ndarray:
+        """Which words neither edge can have changed; at the ends of the text nothing is torn."""
+        ok = np.ones(len(self.first), bool)
+        if self.start > 0:
+            ok &= self.begin >= self.start + EDGE_CHARS
+        if self.end < len(text):
+            ok &= self.finish <= self.end - EDGE_CHARS
+            ok[max(0, len(ok) - EDGE_WORDS) :] = False
+        return ok
+
+    def token_at(self, place: int) -> int | None:
+        """The number of tokens before the word that begins at a place of the text."""
+        at = np.flatnonzero(self.begin == place)
+        return int(self.first[at[0]]) if len(at) == 1 else None
+
+
+def common(left: Chunk, right: Chunk, text: str, after: int) -> int | None:
+    """A place after another where a word begins that both chunks prove; of several, the one in the middle."""
+    ours, theirs = np.flatnonzero(left.stable(text) & (left.begin > after)), np.flatnonzero(right.stable(text))
+    places, i, j = np.intersect1d(left.begin[ours], right.begin[theirs], return_indices=True)
+    found = []
+    for place, a, b in zip(places.tolist(), ours[i].tolist(), theirs[j].tolist()):
+        alike = left.finish[a] == right.finish[b] and np.array_equal(left.ids[left.first[a] : left.last[a]], right.ids[right.first[b] : right.last[b]])
+        if alike and text[place - 1 : place + 1].isascii() and left.token_at(place) is not None and right.token_at(place) is not None:
+            found.append(place)
+    return found[len(found) // 2] if found else None
 
 
 class Counter:
     """Counts the tokens of texts as a tokenizer file of the tokenizers library gives them."""
 
-    def __init__(self, path: str, chunk_bytes: int = 1 << 16, overlap_bytes: int = 1 << 11, memory: int = 500_000):
+    def __init__(self, path: str, chunk_chars: int = 1 << 16, overlap_chars: int = 1 << 10):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunk, self.overlap, self.limit = chunk_bytes, overlap_bytes, memory
-        self.seen: dict[bytes, int] = {}
-        self.apart = all(self.whole(a + gap + b) == self.whole(a) + self.whole(b) for a in _PROBES for b in _PROBES for gap in (" ", "\n", "\t\r", "\x0b\x0c"))
-
-    def whole(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False))
-
-    def learn(self, units: set[bytes]) -> None:
-        """Encodes those of the units that aren't remembered."""
-        if len(self.seen) + len(units) > self.limit:
-            self.seen.clear()
-        new = [u for u in units if u not in self.seen]
-        got = self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in new], add_special_tokens=False)
-        self.seen.update(zip(new, map(len, got)))
-
-    def encoded(self, text: bytes, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the units of text[start:end]: where they end in the text, the tokens up to there, whether that is stable."""
-        w = Words([text[start:end]])
-        units = [w.data[a:b] for a, b in zip(w.start.tolist(), w.end.tolist())]
-        self.learn(set(units))
-        tokens = np.cumsum([self.seen[u] for u in units], dtype=np.int64)
-        stable = np.ones(len(units), bool)
-        if len(units):
-            stable[0] &= start == 0 or w.start[0] > 0
-            stable[-1] &= end >= len(text) or w.end[-1] < end - start
-        return start + w.end, tokens, stable
-
-    def huge(self, text: bytes) -> int:
+        self.chunk, self.overlap = chunk_chars, overlap_chars
+
+    def huge(self, text: str) -> int:
         """The tokens of a long text, from overlapping chunks."""
-        start, end = 0, min(len(text), self.chunk)
-        ends, tokens, stable = self.encoded(text, start, end)
-        before, total = 0, 0  # of this chunk: tokens up to the last splice; of all: tokens taken so far
-        while end < len(text):
-            overlap = self.overlap
-            while True:
-                lo = max(start, end - overlap)
-                hi = min(len(text), lo + max(self.chunk, 2 * overlap))
-                ends2, tokens2, stable2 = self.encoded(text, lo, hi)
-                common = np.intersect1d(ends[stable], ends2[stable2])
-                common = common[common > (0 if not total and not before else self.spliced)]
-                if len(common):
-                    at = int(common[0])
-                    i, j = np.searchsorted(ends, at), np.searchsorted(ends2, at)
-                    total += int(tokens[i]) - before
-                    before, self.spliced = int(tokens2[j]), at
-                    start, end, ends, tokens, stable = lo, hi, ends2, tokens2, stable2
+        n = len(text)
+        left = Chunk(self.tokenizer, text, 0, min(n, self.chunk))
+        total, splice, taken = 0, 0, 0  # tokens counted; where the last splice is; tokens of this chunk before it
+        while left.end < n:
+            overlap, place = self.overlap, None
+            while place is None:
+                lo = max(left.start + 1, left.end - overlap)
+                right = Chunk(self.tokenizer, text, lo, min(n, left.end + self.chunk - min(overlap, self.chunk // 2)))
+                place = common(left, right, text, splice)
+                if place is None and lo == left.start + 1:
                     break
-                if lo == start:  # no agreement within this chunk: take more text into it
-                    end = min(len(text), end + max(self.chunk, 2 * overlap))
-                    ends, tokens, stable = self.encoded(text, start, end)
-                    if end >= len(text):
-                        break
                 overlap *= 2
-        return total + (int(tokens[-1]) - before if len(tokens) else 0)
+            if place is None:  # nothing is proven within this chunk: take more text into it
+                left = Chunk(self.tokenizer, text, left.start, min(n, left.end + max(self.chunk, left.end - left.start)))
+                taken = left.token_at(splice) if splice else 0
+                if taken is None:  # not even the last splice stands
+                    return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                continue
+            total += left.token_at(place) - taken
+            left, splice, taken = right, place, right.token_at(place)
+        return total + left.tokens - taken
 
     def counts(self, texts) -> list[int]:
-        if not self.apart:
-            got = self.tokenizer.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-            return [len(e.ids) for e in got]
-        w = Words([t if t is not None and len(t) <= self.chunk else b"" for t in texts])
-        first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)[1:]
-        units = [w.data[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist())]
-        self.learn(set(units))
-        each = np.fromiter(map(self.seen.__getitem__, units), np.int64, len(units))
-        out = np.bincount(w.doc, each[inverse], len(texts)).astype(np.int64)
-        for i, t in enumerate(texts):
-            if t is not None and len(t) > self.chunk:
+        whole = [(t or b"").decode("utf-8", "replace") for t in texts]
+        short = [i for i, t in enumerate(whole) if len(t) <= self.chunk]
+        out = [0] * len(whole)
+        for i, e in zip(short, self.tokenizer.encode_batch_fast([whole[i] for i in short], add_special_tokens=False)):
+            out[i] = len(e.ids)
+        for i, t in enumerate(whole):
+            if len(t) > self.chunk:
                 out[i] = self.huge(t)
-        return out.tolist()
+        return out
 
 
 _counters: dict[tuple, Counter] = {}
@@ -116,20 +124,21 @@ def counter(path: str, *sizes: int) -> Counter:
     return _counters[(path, *sizes)]
 
 
-def counted(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), chunk_bytes: int = 1 << 16, overlap_bytes: int = 1 << 11) -> DataFrame:
+def counted(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), chunk_chars: int = 1 << 16, overlap_chars: int = 1 << 10) -> DataFrame:
     """keep, n_bytes and n_tokens of each document."""
 
     def make():
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        c = counter(path, chunk_bytes, overlap_bytes)
+        c = counter(path, chunk_chars, overlap_chars)
         return lambda texts: {"n_bytes": [len(t or b"") for t in texts], "n_tokens": c.counts(texts)}
 
     return base.map_texts(docs, make, "n_bytes long, n_tokens long", keep)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None, limit: int = 2048) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of each document."""
     if path is None:
         import public_tokenizers
 

@@ -229,19 +229,58 @@ def test_token_counts(spark, odd, empty, counting, folder):
     assert token_counts.counted(empty, counting[0]).count() == 0
 
 
+TOKENIZERS = ("word_bpe_49k.json", "byte_bpe_50k.json")  # of the second, a unit's tokens depend on the space before it
+
+
+def long_texts(documents):
+    rng = np.random.default_rng(8)
+    mixed = "".join(rng.choice(list("ab  \n\t'sé语12.!\u0301<|>"), 4000))
+    return [t for t in odd_texts() if t and len(t) < 50_000] + list(documents.text[:30]) + [
+        "x" * 3000, "y" * 700 + " " + "z" * 900, " " * 2000 + "a", "a" + " " * 2000, "a" + "\n \t" * 900 + "b", "语" * 2000, "e\u0301" * 1500, "<|endoftext|>" * 300, "it's don't we'll " * 200, mixed,
+    ]
+
+
+@pytest.mark.parametrize("file", TOKENIZERS)
 @pytest.mark.parametrize(("chunk", "overlap"), [(64, 4), (300, 16), (1000, 100)])
-def test_chunks_are_spliced(counting, chunk, overlap, documents):
-    path, tok = counting
-    c = token_counts.Counter(path, chunk, overlap)
-    texts = [t for t in odd_texts() if t and len(t) < 50_000] + list(documents.text[:30]) + ["x" * 3000, "y" * 700 + " " + "z" * 900, " " * 2000 + "a", "a" + " " * 2000]
-    for t in texts:
-        assert c.counts([t.encode()]) == [len(tok.encode(t, add_special_tokens=False).ids)]
-
-
-def test_whole_texts_without_the_property(counting):
-    c = token_counts.Counter(counting[0])
-    c.apart = False
-    assert c.counts([b"it's here", None]) == [len(counting[1].encode("it's here", add_special_tokens=False).ids), 0]
+def test_chunks_are_spliced(file, chunk, overlap, documents):
+    c = token_counts.Counter(public_tokenizers.path(file), chunk, overlap)
+    for t in long_texts(documents):
+        assert c.counts([t.encode()]) == [len(c.tokenizer.encode(t, add_special_tokens=False).ids)]
+
+
+@pytest.mark.parametrize("file", TOKENIZERS)
+@given(st.text(alphabet=st.sampled_from("ab  \n'sé语1.\u0301<|>"), min_size=60, max_size=300))
+@settings(max_examples=60, deadline=None)
+def test_chunks_of_any_text(file, text):
+    c = token_counts.counter(public_tokenizers.path(file), 50, 12)
+    assert c.counts([text.encode()]) == [len(c.tokenizer.encode(text, add_special_tokens=False).ids)]
+
+
+def test_long_texts_are_not_encoded_whole(documents):
+    """Chunks stay of their size where words let them be spliced."""
+    c = token_counts.Counter(public_tokenizers.path(TOKENIZERS[1]), 1000, 100)
+    text, seen = " ".join(documents.text[:40]), []
+    inner = c.tokenizer
+
+    class Watched:
+        def encode(self, part, **kw):
+            seen.append(len(part))
+            return inner.encode(part, **kw)
+
+    c.tokenizer = Watched()
+    assert c.huge(text) == len(inner.encode(text, add_special_tokens=False).ids)
+    assert max(seen) <= 1000 and sum(seen) < 1.5 * len(text)
+
+
+def test_without_words_the_text_is_one_piece():
+    """A tokenizer that joins across spaces proves no boundary, and is right all the same."""
+    from tokenizers import Tokenizer, models
+
+    model = models.BPE({"a": 0, " ": 1, "a ": 2, "a a ": 3}, [("a", " "), ("a ", "a ")])
+    c = token_counts.Counter(public_tokenizers.path(TOKENIZERS[0]), 64, 8)
+    c.tokenizer = Tokenizer(model)
+    text = "a " * 301
+    assert c.counts([text.encode()]) == [len(c.tokenizer.encode(text).ids)]
 
 
 def test_shared_folder_is_the_session_s(spark):
