@@ -1,20 +1,29 @@
 """Quality rules: robust multivariate outliers among documents.
 
-Every document becomes a vector of transformed statistics. For each language and source a minimum covariance
-determinant estimate (location and scatter of the most concentrated part of the rows, found by concentration
-steps) gives Mahalanobis distances; a document too far out is rejected.
+Every document becomes a vector of transformed statistics, in whole units of 1 / UNIT. For each language and source a
+regularised minimum covariance determinant estimate (location and scatter of the share of the rows whose scatter has the least
+determinant) gives Mahalanobis distances; a document too far out is rejected.
 
-All of it is distributed: a concentration step is one aggregation of moments by group and distance bin, with
-partial sums in each task, and a small update for each group. Rows of a hot source are never gathered.
+A group of up to ``exact_rows`` rows is searched in one task: every part where those are few, else from hundreds of
+small random parts (seeded, rows in the order of their values). In larger groups the minimum is sought from several deterministic starts: spreads along the axes, the correlations of squashed
+coordinates, and those of directions only. Concentration steps from each never raise the determinant; after two the
+start with the least is followed until no determinant falls any more, and the least model of each group is kept.
+
+That search is distributed: a concentration step is one aggregation of moments by group, start and distance bin, with
+partial sums in each task, and a small update for each group; rows of a hot source are never gathered. Of the bin in which
+the h-th nearest row lies, the share that is needed counts. All sums are of whole numbers, so reruns agree to the last bit.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources are values of their
 own; a group of under ``min_rows`` rows is measured by the model of all rows of its language, and where that has as
-few, of all rows of the table; only in a table with under ``min_rows`` rows do the base rules alone decide; repeated rows count as often as they are there; an empty table gives none.
+few, of all rows of the table, whose least spreads are widened by min_rows / rows where these are fewer still; so every document that
+passes the base rules is measured. Repeated rows count as often as they are there; rows at equal distances share their bin; a
+coordinate beyond 16 counts as 16; huge texts are measured whole; columns beside those named may have any names; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +37,10 @@ DIMENSIONS = (("word_length", 0.04), ("symbols", 0.05), ("capitals", 0.04), ("di
 P = len(DIMENSIONS)
 FLOOR = np.array([x for _, x in DIMENSIONS])
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Distances are binned at eighths of an octave to find the h nearest rows of a group without sorting them.
-BINS_PER_OCTAVE = 8
+#: Coordinates are whole numbers of 1 / UNIT, up to LIMIT: sums of their products over 10^10 rows fit 64 bits.
+UNIT, LIMIT = 1024, 16
+#: Distances are binned at parts of an octave to find the h nearest rows of a group without sorting them.
+BINS_PER_OCTAVE = 16
 
 
 def _vectors():
@@ -46,14 +57,14 @@ def _vectors():
             np.log(np.maximum(s["n_distinct"], 1)) / np.log(n + 1),
             s["n_stops"] / n,
         )
-        return {k: s[k].astype(np.int64) for k in COUNTS} | {f"x{i}": v for i, v in enumerate(x)}
+        return {k: s[k].astype(np.int64) for k in COUNTS} | {f"x{i}": np.rint(np.clip(v, -LIMIT, LIMIT) * UNIT).astype(np.int64) for i, v in enumerate(x)}
 
     return run
 
 
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """The exact counts and the vector x0.. of each document."""
-    fields = ", ".join([f"{k} long" for k in COUNTS] + [f"x{i} double" for i in range(P)])
+    fields = ", ".join([f"{k} long" for k in COUNTS] + [f"x{i} long" for i in range(P)])
     return base.map_texts(docs, _vectors, fields, keep)
 
 
@@ -87,62 +98,143 @@ def _pairs():
     return [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def _model_fields() -> str:
-    return ", ".join(["grp string", "rows long"] + [f"m{i} double" for i in range(P)] + [f"p{i}_{j} double" for i, j in _pairs()])
+#: log_det: of the scatter that a model was made from.
+_MODEL = ", ".join(["grp string", "start long", "rows long", "log_det double"] + [f"m{i} double" for i in range(P)] + [f"p{i}_{j} double" for i, j in _pairs()])
 
 
-def _model_row(group, rows, mean, cov):
-    inv = np.linalg.inv(cov + np.diag(FLOOR**2))
-    out = {"grp": [group], "rows": [int(rows)]}
+def _model_row(group, start, rows, mean, cov, min_rows, factor=1.0):
+    """factor: what makes the scatter of a part that of the whole; the determinant is of the scatter before it."""
+    least = np.diag(FLOOR**2) * max(1.0, min_rows / max(rows, 1))
+    inv = np.linalg.inv(factor * cov + least)
+    out = {"grp": [group], "start": [start], "rows": [int(rows)], "log_det": [float(np.linalg.slogdet(cov + least)[1])]}
     out |= {f"m{i}": [float(mean[i])] for i in range(P)}
     return out | {f"p{i}_{j}": [float(inv[i, j] * (1 if i == j else 2))] for i, j in _pairs()}
 
 
-def _start(table):
-    """The first model of a group from counts of its coordinates' bins: medians, and spreads from the middle half."""
+def _table(rows):
     import pyarrow as pa
 
+    return pa.table({k: [v for r in rows for v in r[k]] for k in rows[0]})
+
+
+def _centre(table):
+    """Of a group, from counts of its coordinates: medians, and spreads from the middle half, no less than the least."""
     t = table.to_pandas()
-    mean, cov = np.zeros(P), np.zeros((P, P))
+    out = {"g": [t["grp"].iloc[0]], "n": [int(t.loc[t["dim"] == 0, "n"].sum())]}
     for d, part in t.groupby("dim"):
-        part = part.sort_values("bin")
+        part = part.sort_values("value")
         share = part["n"].cumsum().to_numpy() / part["n"].sum()
-        at = lambda q: float(part["bin"].to_numpy()[np.searchsorted(share, q)]) / 200  # noqa: B023, E731
-        mean[d], cov[d, d] = at(0.5), ((at(0.75) - at(0.25)) / 1.349) ** 2
-    return pa.table(_model_row(t["grp"].iloc[0], t.loc[t["dim"] == 0, "n"].sum(), mean, cov))
+        at = lambda q: float(part["value"].to_numpy()[np.searchsorted(share, q)]) / UNIT  # noqa: B023, E731
+        out |= {f"c{d}": [at(0.5)], f"w{d}": [max((at(0.75) - at(0.25)) / 1.349, FLOOR[d])]}
+    return _table([out])
 
 
-def _concentrate(share: float | None, cut: float | None):
-    """One step: the moments of the h nearest rows (or of those within the cut) make the next model."""
+def _starts(min_rows: int):
+    """Three models of a group: its spreads alone, and with the correlations of squashed coordinates and of directions."""
 
     def run(table):
-        import pyarrow as pa
+        t = table.to_pandas()
+        r = t.iloc[0]
+        mean, width = np.array([r[f"c{i}"] for i in range(P)]), np.array([r[f"w{i}"] for i in range(P)])
+        rows = [_model_row(r["g"], 0, r["n"], mean, np.diag(width**2), min_rows)]
+        for start, kind in ((1, "t"), (2, "d")):
+            s = np.zeros((P, P))
+            for i, j in _pairs():
+                s[i, j] = s[j, i] = float(r[f"{kind}{i}_{j}"])
+            scale = np.sqrt(np.maximum(np.diag(s), 1.0))
+            near = 0.95 * s / np.outer(scale, scale)
+            near[np.arange(P), np.arange(P)] = 1.0
+            rows.append(_model_row(r["g"], start, r["n"], mean, np.outer(width, width) * near, min_rows))
+        for row in rows:
+            row["log_det"] = [float("inf")]  # not of any part of the rows
+        return _table(rows)
+
+    return run
 
+
+def _concentrate(share: float | None, cut: float | None, min_rows: int):
+    """One step: the moments of the h nearest rows (or of those within the cut) make the next model."""
+
+    def run(table):
         t = table.to_pandas().sort_values("bin")
         n = t["n"].to_numpy().astype(float)
         total = n.sum()
         if cut is None:
-            last = int(np.searchsorted(np.cumsum(n), share * total))
+            h = math.ceil(share * total)
+            weight = np.clip(h - (np.cumsum(n) - n), 0, n) / n  # the last bin counts in part
         else:
-            last = int(np.searchsorted(t["bin"].to_numpy(), math.floor(BINS_PER_OCTAVE * math.log2(cut + 2**-10)), "right")) - 1
-        t = t.iloc[: max(last, 0) + 1]
-        m = float(t["n"].sum())
-        mean = np.array([t[f"s{i}"].sum() / m for i in range(P)])
+            weight = (t["bin"].to_numpy() <= math.floor(BINS_PER_OCTAVE * math.log2(cut + 2**-10))).astype(float)
+            if not weight.any():
+                weight[0] = 1.0
+        m = float((weight * n).sum())
+        part = lambda c: float((weight * t[c].to_numpy().astype(float)).sum()) / m
+        mean = np.array([part(f"s{i}") for i in range(P)]) / UNIT
         cov = np.zeros((P, P))
         for i, j in _pairs():
-            cov[i, j] = cov[j, i] = t[f"s{i}_{j}"].sum() / m - mean[i] * mean[j]
-        part = min(m / total, 0.999)
-        cov *= part / max(chi2_cdf(chi2_quantile(part, P), P + 2), 1e-9)  # consistent under a normal law
-        return pa.table(_model_row(t["grp"].iloc[0], total, mean, cov))
+            cov[i, j] = cov[j, i] = part(f"s{i}_{j}") / UNIT**2 - mean[i] * mean[j]
+        kept = min(m / total, 0.999)
+        factor = kept / max(chi2_cdf(chi2_quantile(kept, P), P + 2), 1e-9)  # consistent under a normal law
+        return _table([_model_row(t["grp"].iloc[0], int(t["start"].iloc[0]), total, mean, cov, min_rows, factor)])
+
+    return run
+
+
+def least_part(x: np.ndarray, h: int, least: np.ndarray, starts: int = 300, every: int = 5000, seed: int = 11) -> tuple[np.ndarray, float]:
+    """The h rows whose regularised scatter has the least determinant, and its logarithm."""
+    n = len(x)
+
+    def log_det(at):
+        return np.linalg.slogdet(np.cov(x[at].T, bias=True).reshape(P, P) + least)[1]
+
+    if math.comb(n, h) <= every:
+        best = min((list(c) for c in combinations(range(n), h)), key=log_det)
+        return np.array(best), log_det(best)
+
+    def nearest(at):
+        d = x - x[at].mean(0)
+        return np.sort(np.argsort(((d @ np.linalg.inv(np.cov(x[at].T, bias=True) + least)) * d).sum(1), kind="stable")[:h])
+
+    rng = np.random.default_rng(seed)
+    width = np.maximum((np.quantile(x, 0.75, axis=0) - np.quantile(x, 0.25, axis=0)) / 1.349, FLOOR)
+    z = (x - np.median(x, axis=0)) / width
+    parts = [np.argsort((z * z).sum(1), kind="stable")[:h]] + [nearest(nearest(rng.choice(n, P + 1, replace=False))) for _ in range(starts)]
+    found = []
+    for at in sorted(parts, key=log_det)[:10]:
+        was = log_det(at)
+        while (now := log_det(then := nearest(at))) < was - 1e-12:
+            at, was = then, now
+        found.append((was, at))
+    was, at = min(found, key=lambda f: f[0])
+    return at, was
+
+
+def _searched(share: float, cut: float, min_rows: int):
+    """The reweighted model of a small group from its rows."""
+
+    def run(table):
+        x = np.stack([table.column(f"x{i}").to_numpy() for i in range(P)], axis=1)
+        x = x[np.lexsort(x.T)] / UNIT
+        n = len(x)
+        h = math.ceil(share * n)
+        wide = np.diag(FLOOR**2) * max(1.0, min_rows / n)
+        at, _ = least_part(x, h, wide)
+        part = min(h / n, 0.999)
+        cov = np.cov(x[at].T, bias=True) * part / max(chi2_cdf(chi2_quantile(part, P), P + 2), 1e-9)
+        d = x - x[at].mean(0)
+        inside = ((d @ np.linalg.inv(cov + wide)) * d).sum(1) <= cut
+        inside[at] |= not inside.any()
+        part = min(inside.mean(), 0.999)
+        factor = part / max(chi2_cdf(chi2_quantile(part, P), P + 2), 1e-9)
+        return _table([_model_row(table.column("grp")[0].as_py(), 0, n, x[inside].mean(0), np.cov(x[inside].T, bias=True), min_rows, factor)])
 
     return run
 
 
 def _distance() -> Column:
-    terms = [F.col(f"p{i}_{j}") * (F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}")) for i, j in _pairs()]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
+    x = [F.col(f"x{i}") / F.lit(float(UNIT)) - F.col(f"m{i}") for i in range(P)]
+    out = F.lit(0.0)
+    for i, j in _pairs():
+        out = out + F.col(f"p{i}_{j}") * x[i] * x[j]
     return F.greatest(out, F.lit(0.0))
 
 
@@ -170,39 +262,79 @@ def grouped(stats: DataFrame, cells: DataFrame) -> DataFrame:
     return stats.join(cells, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
 
 
-def estimate(rows: DataFrame, share: float, steps: int, min_rows: int) -> DataFrame:
-    """The model of each group with at least min_rows rows."""
-    used = rows.where(~base_failed())
-    long = used.select("grp", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * 200).cast("long") for i in range(P)])).alias("dim", "bin"))
-    counts = long.groupBy("grp", "dim", "bin").agg(F.count("*").alias("n"))
-    model = base.written(counts.groupBy("grp").applyInArrow(_start, _model_fields()).where(F.col("rows") >= min_rows), "model")
-    groups = model.count()
+def _start_models(used: DataFrame, min_rows: int) -> DataFrame:
+    """The models that concentration starts from."""
+    long = used.select("grp", F.posexplode(F.array(*[f"x{i}" for i in range(P)])).alias("dim", "value"))
+    counts = long.groupBy("grp", "dim", "value").agg(F.count("*").alias("n"))
+    fields = "g string, n long, " + ", ".join(f"c{i} double, w{i} double" for i in range(P))
+    centre = base.written(counts.groupBy("grp").applyInArrow(_centre, fields), "centre")
+    z = used.join(base.small(centre, centre.count(), 5_000), F.col("grp") == F.col("g"))
+    z = z.select("g", "n", *[f"c{i}" for i in range(P)], *[f"w{i}" for i in range(P)], *[((F.col(f"x{i}") / F.lit(float(UNIT)) - F.col(f"c{i}")) / F.col(f"w{i}")).alias(f"z{i}") for i in range(P)])
+    length = z["z0"] * z["z0"]
+    for i in range(1, P):
+        length = length + z[f"z{i}"] * z[f"z{i}"]
+    z = z.withColumn("length", F.greatest(F.sqrt(length), F.lit(1e-9)))
+    whole = lambda x: F.sum(F.floor(x * F.lit(float(UNIT**2))))
+    sums = [whole(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in _pairs()]
+    sums += [whole(F.col(f"z{i}") / F.col("length") * F.col(f"z{j}") / F.col("length")).alias(f"d{i}_{j}") for i, j in _pairs()]
+    moments = z.groupBy("g").agg(*[F.first(c).alias(c) for c in ("n", *[f"c{i}" for i in range(P)], *[f"w{i}" for i in range(P)])], *sums)
+    return base.written(moments.groupBy("g").applyInArrow(_starts(min_rows), _MODEL), "starts")
+
+
+def estimate(rows: DataFrame, share: float, most: int, min_rows: int, exact_rows: int = 2000) -> DataFrame:
+    """The model of each group; most: concentration steps at most, should a determinant still fall."""
+    used = rows.where(~base_failed()).select("grp", *[f"x{i}" for i in range(P)])
+    sizes = base.written(used.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("size")), "group_sizes")
+    count, large = sizes.agg(F.count("*"), F.count_if(F.col("size") > exact_rows)).first()
+    used = used.join(base.small(sizes, count, 5_000), F.col("grp") == F.col("g")).drop("g")
+    cut = chi2_quantile(0.975, P)
+    found = used.where(F.col("size") <= exact_rows).drop("size").groupBy("grp").applyInArrow(_searched(share, cut, min_rows), _MODEL)
+    if not large:
+        return base.written(found, "model")
+    return base.written(found.unionByName(_concentrated(used.where(F.col("size") > exact_rows).drop("size"), share, most, min_rows, cut)), "model")
+
+
+def _concentrated(used: DataFrame, share: float, most: int, min_rows: int, cut: float) -> DataFrame:
+    """The models of large groups by distributed concentration steps."""
+    model = _start_models(used, min_rows)
+    groups = model.select("grp").distinct().count()
     sums = [F.count("*").alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _pairs()]
-    for step in range(steps + 1):
-        near = used.join(base.small(model, groups, 5_000), "grp").withColumn("d2", _distance())
-        moments = near.groupBy("grp", _bin().alias("bin")).agg(*sums)
-        last = step == steps  # the usual reweighting: all rows within the 97.5 % ellipsoid
-        update = _concentrate(None, chi2_quantile(0.975, P)) if last else _concentrate(share, None)
-        model = base.written(moments.groupBy("grp").applyInArrow(update, _model_fields()), "model")
-    return model
-
 
-def fitted(stats: DataFrame, share: float = 0.65, steps: int = 4, min_rows: int = 100) -> tuple[DataFrame, DataFrame]:
+    def step(model: DataFrame, *how) -> DataFrame:
+        near = used.join(base.small(model.drop("rows", "log_det"), groups, 5_000), "grp").withColumn("d2", _distance())
+        moments = near.groupBy("grp", "start", _bin().alias("bin")).agg(*sums)
+        return base.written(moments.groupBy("grp", "start").applyInArrow(_concentrate(*how, min_rows), _MODEL), "model")
+
+    least = lambda df: df.groupBy("grp").agg(F.min_by(F.struct(*[c for c in df.columns if c != "grp"]), F.struct("log_det", "start")).alias("m")).select("grp", "m.*")
+    for _ in range(2):
+        model = step(model, share, None)
+    model = base.written(least(model), "least")
+    for _ in range(most - 2):
+        after = step(model, share, None)
+        before = model.select(F.col("grp").alias("g"), F.col("log_det").alias("was"))
+        falls = after.join(before, F.col("grp") == F.col("g")).where(F.col("log_det") < F.col("was") - 1e-6).limit(1).count()
+        model = base.written(least(model.unionByName(after)), "least")
+        if not falls:
+            break
+    return step(model, None, cut)  # the usual reweighting: all rows within the 97.5 % ellipsoid
+
+
+def fitted(stats: DataFrame, share: float = 0.65, most: int = 20, min_rows: int = 100) -> tuple[DataFrame, DataFrame]:
     """The groups of all languages and sources, and the model of each group, from written statistics.
 
     share: of a group's rows that a concentration step looks at.
     """
     cells = cells_of(stats, min_rows)
     rows = grouped(stats, cells.drop("grp")).withColumn("grp", F.explode("fits")).drop("fits")
-    return cells.drop("fits"), estimate(rows, share, steps, min_rows)
+    return cells.drop("fits"), estimate(rows, share, most, min_rows)
 
 
 def judged(stats: DataFrame, cells: DataFrame, model: DataFrame, tail: float = 1e-5) -> DataFrame:
-    """Adds base_failed, distance (null without a model) and kept.
+    """Adds base_failed, distance (null for what fails the base rules) and kept.
 
     tail: the chance that a document of a normal law would lie beyond the cut.
     """
-    model = base.small(model.drop("rows"), model.count(), 5_000)
+    model = base.small(model.drop("rows", "start", "log_det"), model.count(), 5_000)
     out = grouped(stats, cells).join(model, "grp", "left").withColumn("d2", _distance()).withColumn("base_failed", base_failed())
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= chi2_quantile(1 - tail, P))))
     return out.withColumn("distance", F.when(~F.col("base_failed"), F.sqrt("d2")))
@@ -223,5 +355,6 @@ def accepted(docs: DataFrame) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the five counts, base_failed, kept and distance of each document."""
     out = verdicts(base.read(spark, sf_dir, "documents"))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
