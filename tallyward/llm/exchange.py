@@ -193,14 +193,15 @@ class _Merged:
         if rule.same:
             order = np.lexsort((*[self.own[f] for f in rule.same], key))
         else:
-            order = np.argsort(key, kind="stable")  # merges the ascending runs
+            order = np.argsort(key)
+        key = key[order]
         new = np.ones(len(key), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
+        new[1:] = key[1:] != key[:-1]
         for f in rule.same:
             new[1:] |= self.own[f][order][1:] != self.own[f][order][:-1]
         self.group = np.empty(len(key), np.int64)
         self.group[order] = np.cumsum(new) - 1
-        self.key = key[order[new]]
+        self.key = key[new]
         self.held = rule.combine(self.group, len(self.key), self.own)
 
     def given(self, rule: Rule, got: dict) -> list[bytes]:

@@ -82,14 +82,18 @@ class EliasFano:
         word = np.searchsorted(self.rank, i, "right") - 1
         place = _selected(self.high[word], i - self.rank[word])
         high = (word * 64 + place - i).astype(U) << U(self.bits)
+        return high | self._low(i) if self.bits else high
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        """The lower bits of the i-th members."""
         if not self.bits:
-            return high
+            return np.zeros(len(i), U)
         at = i.astype(U) * U(self.bits)
         word, off = (at >> U(6)).astype(np.int64), at & U(63)
         low = self.low[word] >> off
-        over = off + U(self.bits) > U(64)
-        low = np.where(over, low | (self.low[word + 1] << ((U(64) - off) & U(63))), low)
-        return high | (low & U((1 << self.bits) - 1))
+        over = np.flatnonzero(off + U(self.bits) > U(64))
+        low[over] |= self.low[word[over] + 1] << (U(64) - off[over])
+        return low & U((1 << self.bits) - 1)
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Where the k-th zero of the high bits stands."""
@@ -98,42 +102,67 @@ class EliasFano:
         r, x = k - zeros[word], ~self.high[np.minimum(word, len(self.high) - 1)]
         return word * 64 + _selected(x, r)
 
-    def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """For each value, the first place in lo..hi whose member is no less; hi if there is none.
+    def _run(self, at: np.ndarray) -> np.ndarray:
+        """How many ones follow each other in the high bits from a place on."""
+        out = np.zeros(len(at), np.int64)
+        open_ = np.arange(len(at))
+        while len(open_):
+            place = at[open_] + out[open_]
+            off = (place & 63).astype(U)
+            word = ~(self.high[np.minimum(place >> 6, len(self.high) - 1)] >> off)
+            with np.errstate(over="ignore"):
+                ones = np.minimum(np.bitwise_count((word & (~word + U(1))) - U(1)), 64 - (place & 63))
+            out[open_] += ones
+            open_ = open_[(ones == 64 - (place & 63)) & (place + ones < 64 * len(self.high))]
+        return out
+
+    def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each value, the first place in lo..hi whose member is no less (hi if there is none), and whether it is equal.
 
-        The high bits say which few members share the value's upper part; only those are compared.
+        The high bits say which few members share the value's upper part; of those only the lower bits are compared.
         """
         if not self.n:
-            return hi.copy()
+            return hi.copy(), np.zeros(len(value), bool)
         top = (value >> U(self.bits)).astype(np.int64)
         most = int(self.top)
         inside = np.minimum(top, most)
-        first = np.where(inside > 0, self._zero(np.maximum(inside - 1, 0)) - np.maximum(inside - 1, 0), 0)
-        last = np.where(top > most, first, np.where(inside < most, self._zero(np.minimum(inside, most - 1)) - inside, self.n))
+        at = np.where(inside > 0, self._zero(np.maximum(inside - 1, 0)) + 1, 0)  # where the bits of that part begin
+        first = at - inside
+        last = np.minimum(first + self._run(at), self.n)
         first = np.where(top > most, self.n, first)
         last = np.where(top > most, self.n, last)
         lo = np.minimum(np.maximum(lo, first), hi)
-        hi_ = np.maximum(np.minimum(hi, last), lo)
-        open_ = np.flatnonzero(lo < hi_)
+        end = np.maximum(np.minimum(hi, last), lo)
+        below = value & U((1 << self.bits) - 1)
+        stop = end.copy()
+        open_ = np.flatnonzero(lo < end)
         while len(open_):
-            mid = (lo[open_] + hi_[open_]) >> 1
-            less = self[mid] < value[open_]
+            mid = (lo[open_] + end[open_]) >> 1
+            less = self._low(mid) < below[open_]
             lo[open_[less]] = mid[less] + 1
-            hi_[open_[~less]] = mid[~less]
-            open_ = open_[lo[open_] < hi_[open_]]
-        return lo
+            end[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < end[open_]]
+        equal = lo < stop
+        equal[equal] = self._low(lo[equal]) == below[equal]
+        return lo, equal
+
+
+_ONES, _HIGHS = U(0x0101010101010101), U(0x8080808080808080)
+#: Of each byte, the place of its r-th set bit.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
 
 
 def _selected(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """The place of the r-th set bit of each word."""
-    place = np.zeros(len(x), np.int64)
-    for w in (32, 16, 8, 4, 2, 1):
-        c = np.bitwise_count(x & U((1 << w) - 1)).astype(np.int64)
-        up = r >= c
-        r = np.where(up, r - c, r)
-        place += w * up
-        x = np.where(up, x >> U(w), x)
-    return place
+    """The place of the r-th set bit of each word: bytes' running sums of bits tell the byte, a table the bit in it."""
+    r = r.astype(U)
+    with np.errstate(over="ignore"):
+        s = x - ((x >> U(1)) & U(0x5555555555555555))
+        s = (s & U(0x3333333333333333)) + ((s >> U(2)) & U(0x3333333333333333))
+        s = ((s + (s >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _ONES
+        shift = np.bitwise_count(((r * _ONES | _HIGHS) - s) & _HIGHS).astype(U) << U(3)
+    shift = np.minimum(shift, U(56))
+    before = ((s << U(8)) >> shift) & U(255)
+    return (shift + _IN_BYTE[((x >> shift) & U(255)).astype(np.int64), ((r - before) & U(7)).astype(np.int64)]).astype(np.int64)
 
 
 class Trie:
@@ -178,18 +207,13 @@ class Trie:
         new = np.concatenate([[True], context[1:] != context[:-1]])
         asked = context[new]  # each context is searched for once
         start = np.zeros(len(asked), np.int64)
-        c = self.contexts.successor(asked, start, start + self.contexts.n)
-        there = c < self.contexts.n
-        there[there] = self.contexts[c[there]] == asked[there]
+        c, there = self.contexts.successor(asked, start, start + self.contexts.n)
         lo, hi = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
         lo[there], hi[there] = self.pointers[c[there]].astype(np.int64), self.pointers[c[there] + 1].astype(np.int64)
         of = np.cumsum(new) - 1
         at = np.flatnonzero(there[of])
         value = (c[of[at]].astype(U) << U(self.word_bits)) | (key[at] & U((1 << self.word_bits) - 1))
-        hi = hi[of[at]]
-        w = self.words.successor(value, lo[of[at]], hi)
-        ok = w < hi
-        ok[ok] = self.words[w[ok]] == value[ok]
+        w, ok = self.words.successor(value, lo[of[at]], hi[of[at]])
         out[at[ok]] = self.codes[w[ok]]
         return out
 
@@ -255,14 +279,15 @@ class Tokens:
         return ((context >> U(64 - CONTEXT_BITS)) << U(word_bits)) | (word >> U(64 - word_bits))
 
     def distinct(self, level: int):
-        """The distinct keys, where each is first, and which one each token has."""
+        """The distinct keys, where each of them is, and which one each token has."""
         key = self.key(level)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
+        key = key[order]
         new = np.ones(len(key), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
+        new[1:] = key[1:] != key[:-1]
         which = np.empty(len(key), np.int64)
         which[order] = np.cumsum(new) - 1
-        return key[order[new]], order[new], which
+        return key[new], order[new], which
 
     def context(self, count: np.ndarray, texts: int) -> np.ndarray:
         """How often each token's context was seen, from how often the n-grams of the order below were."""

@@ -259,7 +259,8 @@ def test_elias_fano():
         e = ngram_lm.EliasFano.of(x)
         assert (e[np.arange(n)] == x).all()
         q = rng.integers(0, top, 300).astype(np.uint64)
-        assert (e.successor(q, np.zeros(300, np.int64), np.full(300, n)) == np.searchsorted(x, q)).all()
+        place, equal = e.successor(q, np.zeros(300, np.int64), np.full(300, n))
+        assert (place == np.searchsorted(x, q)).all() and (equal == np.isin(q, x)).all()
         assert (e.low.nbytes + e.high.nbytes) * 8 <= n * (3 + max(0, math.log2(top / max(n, 1)))) + 400
 
 
