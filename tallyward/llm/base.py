@@ -13,6 +13,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,10 +21,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine."""
     global _own_dir
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tallyward-")
     return f"file://{_own_dir}"
@@ -45,12 +48,15 @@ def bucketed(df: DataFrame, tag: str, key: str, n: int) -> DataFrame:
     writer = df.write.format("parquet").option("compression", "uncompressed").bucketBy(n, key)
     writer.option("path", path := f"{shared_dir(spark)}/{name}").saveAsTable(name)
     _written.append(path)
+    _tables.append(name)
     return spark.table(name)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes all intermediate tables that this process wrote. Results read from them must be written before."""
     jvm = spark.sparkContext._jvm
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

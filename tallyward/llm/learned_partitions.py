@@ -4,14 +4,17 @@ On a bounded sample of the vectors, the exact graph of nearest neighbours is cut
 that moves points to where most of their neighbours are, within a fixed capacity). A small softmax network learns
 from that to tell the partition of any vector. Every vector of the table is then filed under its most probable
 partition, and a query is routed to its several most probable ones, whose members are all compared exactly in double
-precision.
+precision. The number of partitions grows with the root of the rows; how many a query probes is measured on the
+sample: as few as hold the wanted share of its true neighbours (the sample is thinner than the table, so those are further off).
 
 Blocks of queries meet blocks of a partition's members in the executors; each block pair hands on the best few of
-each query, and the best of those are kept. A partition that outgrows a block is split into more blocks.
+each query, and the best of those are kept. Both are cut by what a partition really holds, so a member is copied once
+for each block of the queries that come to its partition, and a query for each block of members.
 
 Defined cases: rows without a vec_id, null or zero vectors, and ones with null or non-finite components or of another length than most of
-the sample, take no part; a query never finds its own row (rows that share its vec_id, if any, count as itself); with
-fewer candidates than asked for, all are returned; without a usable vector there are no rows.
+the sample, take no part; vectors are scaled by their largest component before anything is squared, so huge and tiny ones count like others; a query never finds its own row (rows that share its vec_id, if any, count as itself, and a
+query that is there several times is answered once); of equal scores the smaller vec_id comes first; with
+fewer candidates than asked for, all are returned; columns beside vec_id and embedding are ignored whatever their names; without a usable vector there are no rows.
 """
 
 from __future__ import annotations
@@ -34,12 +37,14 @@ class Router:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
 
-def neighbours(x: np.ndarray, k: int, block: int = 1000) -> np.ndarray:
-    """The exact k nearest of each row among the others, in blocks."""
-    out = np.zeros((len(x), k), np.int64)
-    for lo in range(0, len(x), block):
-        s = x[lo : lo + block] @ x.T
-        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
+def neighbours(x: np.ndarray, k: int, block: int = 1000, of: np.ndarray | None = None) -> np.ndarray:
+    """The exact k nearest of each row (or of those rows) among the others, in blocks."""
+    of = np.arange(len(x)) if of is None else of
+    out = np.zeros((len(of), k), np.int64)
+    for lo in range(0, len(of), block):
+        at = of[lo : lo + block]
+        s = x[at] @ x.T
+        s[np.arange(len(at)), at] = -np.inf
         out[lo : lo + block] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
@@ -123,35 +128,56 @@ def usable(vectors: DataFrame, width: int | None = None) -> DataFrame:
     return v.where(F.size("v") == width) if width is not None else v
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1, which changes no cosine by a bit; only rows
+    whose squares could leave the range of doubles are touched."""
+    power = np.frexp(np.abs(x).max(axis=1, initial=0))[1]
+    return np.where((np.abs(power) > 400)[:, None], np.ldexp(x, -power[:, None]), x)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _matrix(column) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return np.asarray(flat, float).reshape(len(column), -1)
 
 
-def sampled(rows: DataFrame, sample_rows: int) -> np.ndarray:
-    """Up to sample_rows normalised vectors of the commonest length, the first by a hash of the id."""
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow().column("v").to_pylist()
+def sampled(rows: DataFrame, count: int, sample_rows: int) -> np.ndarray:
+    """Up to sample_rows normalised vectors of the commonest length, the first by a hash of the id; only about twice as
+    many are ranked."""
+    near = rows.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 62))).where(F.col("h") / F.lit(float(1 << 62)) * F.lit(count) < 2 * sample_rows + 100)
+    got = near.dropDuplicates(["vec_id"]).orderBy("h", "vec_id").limit(sample_rows).select("v").toArrow().column("v").to_pylist()
     sizes = [len(v) for v in got]
     if not sizes:
         return np.zeros((0, 0))
     width = max(sorted(set(sizes)), key=sizes.count)
-    x = np.array([v for v in got if len(v) == width])
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return unit(np.array([v for v in got if len(v) == width]))
+
+
+def probes_for(x: np.ndarray, router: Router, k: int, recall: float, of: np.ndarray) -> int:
+    """How many partitions those rows of the sample must probe to meet that share of their k nearest in it."""
+    parts = router.w2.shape[1]
+    if len(x) <= k or parts == 1 or not len(of):
+        return parts
+    home = router.logits(x).argmax(1)
+    order = np.argsort(np.argsort(-router.logits(x[of]), axis=1, kind="stable"), axis=1)  # the place of each partition
+    ranks = np.sort(order[np.arange(len(of))[:, None], home[neighbours(x, k, of=of)]].ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
 
 
-def indexed(rows: DataFrame, router: Router, members: int) -> DataFrame:
-    """(part, block, vec_id, v): every row in its most probable partition, in blocks of about ``members``."""
+def indexed(rows: DataFrame, router: Router) -> DataFrame:
+    """(part, vec_id, v): every row in its most probable partition."""
 
     def run(it):
         for b in it:
             x = _matrix(b.column("v"))
-            part = router.logits(x / np.linalg.norm(x, axis=1, keepdims=True)).argmax(1) if len(x) else np.zeros(0, np.int64)
+            part = router.logits(unit(x)).argmax(1) if len(x) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), b.column("vec_id"), b.column("v")], ["part", "vec_id", "v"])
 
-    filed = base.written(rows.mapInArrow(run, "part int, vec_id long, v array<double>"), "index")
-    blocks = filed.groupBy("part").agg(F.ceil(F.count("*") / members).cast("int").alias("blocks"))  # one row for each partition
-    filed = filed.join(F.broadcast(blocks), "part")
-    return filed.select("part", "blocks", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
+    return base.written(rows.mapInArrow(run, "part int, vec_id long, v array<double>"), "index")
 
 
 def routed(queries: DataFrame, router: Router, probes: int) -> DataFrame:
@@ -162,7 +188,7 @@ def routed(queries: DataFrame, router: Router, probes: int) -> DataFrame:
             x = _matrix(b.column("v"))
             if not len(x):
                 continue
-            z = router.logits(x / np.linalg.norm(x, axis=1, keepdims=True))
+            z = router.logits(unit(x))
             best = np.argsort(-z, axis=1)[:, :probes]
             at = np.repeat(np.arange(len(x)), best.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), b.column("vec_id").take(pa.array(at)), b.column("v").take(pa.array(at))], ["part", "query_id", "q"])
@@ -174,8 +200,8 @@ def _best(k: int):
     """The k nearest members of a block for each query of a block, ties to the smaller vec_id."""
 
     def run(key, left, right):
-        ids, x = left.column("vec_id").to_numpy(), _matrix(left.column("v"))
-        asked, y = right.column("query_id").to_numpy(), _matrix(right.column("q"))
+        ids, x = left.column("vec_id").to_numpy(), scaled(_matrix(left.column("v")))
+        asked, y = right.column("query_id").to_numpy(), scaled(_matrix(right.column("q")))
         out: list = [[], [], []]
         if len(ids) and len(asked):
             order = np.argsort(ids, kind="stable")
@@ -200,24 +226,38 @@ def _best(k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int = 16, probes: int = 12, sample_rows: int = 6000) -> DataFrame:
+def _blocks(parts: DataFrame, each: int, name: str) -> DataFrame:
+    """How many blocks of about ``each`` rows a partition has: one row for each partition."""
+    return parts.groupBy(F.col("part").alias("p")).agg(F.ceil(F.count("*") / each).cast("int").alias(name))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int | None = None, probes: int | None = None, recall: float = 0.95, sample_rows: int = 6000, members: int = 20_000, asking: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each query.
 
-    Members meet queries in blocks of a quarter of an average partition (500 to 20,000) by 10,000 queries. With far
-    more rows, take parts in proportion to their square root.
+    parts: by default the root of a quarter of the rows, from 16 up, as far as the sample has 20 rows for each; the sample is of sample_rows, or of 40 for
+    each part if that is more, up to five times as many. probes: by default as many as the sample says for the recall. A block has at most about
+    ``members`` members or ``asking`` queries.
     """
-    sample = sampled(usable(vectors), sample_rows)
+    rows = usable(vectors)
+    count = rows.count()
+    wanted = max(16, int((count / 4) ** 0.5)) if parts is None else parts
+    sample_rows = max(sample_rows, min(40 * wanted, 5 * sample_rows))
+    sample = sampled(rows, count, sample_rows)
     width = sample.shape[1]
-    router = fit(sample, parts) if len(sample) else Router(np.zeros((0, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    members = min(20_000, max(500, vectors.count() // (4 * parts)))
-    index = indexed(usable(vectors, width), router, members)
-    asked = routed(usable(queries, width), router, probes)
-    query_blocks = -(-queries.count() // 10_000) or 1
-    sizes = index.select(F.col("part").alias("p"), F.col("blocks").alias("n")).distinct()  # a row for each partition
-    asked = asked.join(F.broadcast(sizes), F.col("part") == F.col("p"))
-    asked = asked.select("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), "query_id", "q")
-    asked = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-    index = index.select("part", "block", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
+    aside = len(sample) // 5 if probes is None and len(sample) >= 200 else 0  # not fitted on, so that recall is that of new queries
+    router = fit(sample[aside:], wanted) if len(sample) else Router(np.zeros((0, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
+    probes = probes_for(sample, router, k, recall, np.arange(aside)) if probes is None else probes
+    members = min(members, max(500, count // (4 * wanted)))
+    index = indexed(usable(vectors, width), router)
+    asked = base.written(routed(usable(queries, width).groupBy("vec_id").agg(F.min("v").alias("v")), router, probes), "routed")
+    # A row for each partition, which the sample bounds.
+    cut = base.written(_blocks(index, members, "blocks").join(_blocks(asked, asking, "query_blocks").withColumnRenamed("p", "p2"), F.col("p") == F.col("p2")).drop("p2"), "blocks")
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(F.broadcast(cut), F.col("part") == F.col("p"))
+    asked = asked.select("part", every("blocks").alias("block"), place("query_id", "query_blocks").alias("query_block"), "query_id", "q")
+    index = index.join(F.broadcast(cut), F.col("part") == F.col("p"))
+    index = index.select("part", place("vec_id", "blocks").alias("block"), every("query_blocks").alias("query_block"), "vec_id", "v")
     keys = ("part", "block", "query_block")
     found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_best(k), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -225,5 +265,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int = 16,
 
 
 def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score of the 5 nearest found of every query."""
     vectors = base.read(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where(F.col("vec_id") % 50 == 0))

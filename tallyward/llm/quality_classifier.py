@@ -1,12 +1,14 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics, traversed as flat arrays.
 
 The statistics of every whole text are computed once and written; a bounded sample of labelled rows
-(``sample_rows``, the first in the order of a hash of the id) fits the trees on the driver in numpy; every row is
-scored by walking all trees a level at a time over arrays.
-
-Defined cases: a null or empty text has all-zero counts and is scored like any other; rows without a label, or with
-one other than 0 and 1, aren't learned from; without labelled rows every score is 0.5, with one class only its
-smoothed share; repeated rows and labels count as often as they are there; an empty table gives no rows.
+(``sample_rows`` different ones, the first in the order of a hash of the row) fits the trees on the driver in numpy; every
+row is scored by walking all trees a level at a time over arrays. The hash also decides who is ranked at all, about twice as many
+as are asked for, so what reaches the last task doesn't grow with the table or its partitions.
+
+Defined cases: a null or empty text has all-zero counts and is scored like any other; rows without a doc_id or a label, or with
+a label other than 0 and 1, aren't learned from; without labelled rows every score is 0.5, with one class only its
+smoothed share; repeated rows and labels are one row each that weighs as often as it is there; equally good splits go to the first
+feature and the lowest limit; huge texts are measured whole; columns beside those named are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,10 +51,11 @@ class Trees:
         return 1 / (1 + np.exp(-self.margins(x)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 128, ridge: float = 1.0, least: float = 2.0) -> Trees:
-    """Logistic boosting; each split is the best of the gradient histograms of all features."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 128, ridge: float = 1.0, least: float = 2.0, weight: np.ndarray | None = None) -> Trees:
+    """Logistic boosting; each split is the best of the gradient histograms of all features. weight: of each row."""
     n, width = x.shape
-    share = (y.sum() + 1) / (n + 2)
+    weight = np.ones(n) if weight is None else weight
+    share = (float(weight @ y) + 1) / (float(weight.sum()) + 2)
     model = Trees(depth, float(np.log(share / (1 - share))))
     if n == 0 or y.min() == y.max():
         return model
@@ -61,7 +64,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     margin = np.full(n, model.start)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
+        g, h = weight * (p - y), weight * p * (1 - p)
         feature, limit = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf)
         node = np.zeros(n, np.int64)
         for level in range(depth):
@@ -100,12 +103,17 @@ def featured(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 
 def learned(rows: DataFrame, labels: DataFrame, label: str, sample_rows: int) -> Trees:
-    """The trees fitted on up to sample_rows of the rows that have a label."""
+    """The trees fitted on up to sample_rows different ones of the rows that have a label."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    got = rows.join(labels, "doc_id").withColumn("h", F.xxhash64("doc_id"))
-    got = got.orderBy("h", "doc_id", "y").limit(sample_rows).select("y", *FEATURES).toArrow()
+    labels = labels.groupBy("doc_id", "y").agg(F.count("*").alias("times"))
+    got = rows.select("doc_id", *FEATURES).join(labels, "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id", "y", *FEATURES), F.lit(1 << 62)))
+    got = base.written(got, "labelled")
+    count, first = got.agg(F.count("*"), F.min("h")).first()
+    near = got.where((F.col("h") / F.lit(float(1 << 62)) * F.lit(count) < 2 * sample_rows + 100) | (F.col("h") == F.lit(first or 0)))
+    near = near.groupBy("h", "doc_id", "y", *FEATURES).agg(F.sum("times").alias("weight"))  # equal rows share a hash
+    got = near.orderBy("h", "doc_id", "y").limit(sample_rows).select("y", "weight", *FEATURES).toArrow()
     x = np.stack([got.column(f).to_numpy() for f in FEATURES], axis=1) if got.num_rows else np.zeros((0, len(FEATURES)))
-    return fit(x, got.column("y").to_numpy().astype(float))
+    return fit(x, got.column("y").to_numpy().astype(float), weight=got.column("weight").to_numpy().astype(float))
 
 
 def scored(rows: DataFrame, model: Trees, keep: tuple[str, ...]) -> DataFrame:
@@ -126,6 +134,7 @@ def scored(rows: DataFrame, model: Trees, keep: tuple[str, ...]) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str, sample_rows: int = 40_000) -> DataFrame:
+    """doc_id, held_out, score and predicted of each document."""
     docs = base.read(spark, sf_dir, "documents")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (base.crc_mod("doc_id", 3) == 1).alias("held_out"))
     rows = base.written(featured(docs, ("doc_id", "held_out")), "features")

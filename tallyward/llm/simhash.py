@@ -6,12 +6,13 @@ that is further from its home always visits the home of the other; so comparing,
 all that are there finds every link, exactly. (That stays within covering radius plus threshold, and is fewer.)
 
 Equal fingerprints are merged before anything else; an anchor hands on a spanning forest of its links, never all
-pairs; anchors that are home to many are split into blocks of them. Components come from alternating large-star and
+pairs; anchors that are home to many, or that many visit, are split into a grid of both. Components come from alternating large-star and
 small-star rounds over written tables.
 
 Defined cases: a null or empty text, or one of spaces, has fingerprint zero and links like any other; with fewer words
 than a shingle has, the whole sequence is the one shingle; repeated rows share their fingerprint; a null id never
-becomes a component's id unless all its ids are null; an empty table gives no rows.
+becomes a component's id unless all its ids are null; a bit set in exactly half the hashes is 0; huge texts are hashed
+whole; other columns may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -177,20 +178,35 @@ def forest(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     return fp[at], fp[label[at]]
 
 
-def links(fps: DataFrame, bits: int = 3, plan: str | None = None, block: int = 20_000) -> DataFrame:
+def split_hot(seen: DataFrame, visited: DataFrame, key: str, homes: int, visitors: int) -> DataFrame:
+    """Adds part and sets home: rows (anchor, home, key) of anchors with more than so many homes or visitors are dealt
+    over a grid of parts, each of which compares some of the homes with some of all that are there.
+
+    A row at home stands in all parts of its line of the grid as one, and every row in all parts of its column as one
+    that is only compared with; so any pair of a home and a visitor meets in exactly one part.
+    visited: (anchor, home), as many rows as seen, without what else it carries.
+    """
+    n = visited.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count("*").alias("n")).where((F.col("h") > homes) | (F.col("n") > visitors))
+    hot = base.written(n.select(F.col("anchor").alias("a0"), F.greatest(F.ceil(F.col("h") / homes), F.lit(1)).cast("int").alias("lines"), F.ceil(F.col("n") / visitors).cast("int").alias("columns")), "hot")
+    if not (count := hot.count()):
+        return seen.withColumn("part", F.lit(0))
+    seen = seen.join(base.small(hot, count, 100_000), F.col("anchor") == F.col("a0"), "left").drop("a0")
+    seen = seen.withColumns({"lines": F.coalesce("lines", F.lit(1)), "columns": F.coalesce("columns", F.lit(1))})
+    line, column = F.pmod(F.xxhash64(F.lit(1), key), F.col("lines")).cast("int"), F.pmod(F.xxhash64(F.lit(2), key), F.col("columns")).cast("int")
+    in_column = F.transform(F.sequence(F.lit(0), F.col("lines") - 1), lambda i: F.struct((i * F.col("columns") + column).alias("part"), (F.col("home") & (i == line)).alias("home")))
+    others = F.filter(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.col("home") & (j != column))
+    in_line = F.transform(others, lambda j: F.struct((line * F.col("columns") + j).alias("part"), F.lit(True).alias("home")))
+    rest = [c for c in seen.columns if c not in ("home", "lines", "columns")]
+    return seen.select(*rest, F.explode(F.concat(in_column, in_line)).alias("spot")).select(*rest, "spot.part", "spot.home")
+
+
+def links(fps: DataFrame, bits: int = 3, plan: str | None = None, block: int = 4_096, visitors: int = 16_384) -> DataFrame:
     """(a, b): links between different fingerprints within ``bits`` that join all that such pairs join. fps: distinct."""
     import pyarrow as pa
 
     plan = plan or plan_for(fps.count())
     seen = visits(fps, plan, bits)
-    homes = visits(fps, plan, 0).groupBy("anchor").count().where(F.col("count") > block)
-    hot = base.written(homes.select(F.col("anchor").alias("a0"), F.ceil(F.col("count") / block).cast("int").alias("parts")), "hot")
-    if n := hot.count():  # split those at home into parts; everything that is there visits each part
-        seen = seen.join(base.small(hot, n, 100_000), F.col("anchor") == F.col("a0"), "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))))
-        seen = seen.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        seen = seen.select("anchor", "part", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"), "fp")
-    else:
-        seen = seen.select("anchor", F.lit(0).alias("part"), "home", "fp")
+    seen = split_hot(seen, visits(fps, plan, bits), "fp", block, visitors).select("anchor", "part", "home", "fp")
     seen = seen.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
 
     def compare(batches):
@@ -309,7 +325,7 @@ def allowed(similarity: float) -> int:
     return int(n * p + math.sqrt(n * p * (1 - p)))
 
 
-def similar_links(rows: DataFrame, bits: int, differ: int, plan: str | None = None, block: int = 4_000) -> DataFrame:
+def similar_links(rows: DataFrame, bits: int, differ: int, plan: str | None = None, block: int = 4_000, visitors: int = 16_384) -> DataFrame:
     """(a, b): links between ids of rows (id, fp, s0..) whose fp are within bits and whose signatures differ in no more
     than ``differ`` bits, enough to join all that such pairs join. id: distinct."""
     import pyarrow as pa
@@ -317,27 +333,18 @@ def similar_links(rows: DataFrame, bits: int, differ: int, plan: str | None = No
     plan = plan or plan_for(rows.count())
     lanes = [f"s{i}" for i in range(LANES)]
 
-    def visit(reach: int):
-        def run(batches):
-            cover = Covering(plan, reach)
-            for b in batches:
-                fp = b.column("fp").to_numpy().view(np.uint64)
-                for lo in range(0, len(fp), 4096):
-                    row, anchor, home = cover.anchors(fp[lo : lo + 4096])
-                    rest = b.slice(lo, 4096).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(home), *rest.columns], ["anchor", "home", *rest.schema.names])
-
-        fields = "anchor long, home boolean, id long, fp long, " + ", ".join(f"{x} long" for x in lanes)
-        return rows.select("id", "fp", *lanes).mapInArrow(run, fields)
-
-    hot = visit(0).groupBy("anchor").count().where(F.col("count") > block)
-    hot = base.written(hot.select(F.col("anchor").alias("a0"), F.ceil(F.col("count") / block).cast("int").alias("parts")), "hot")
-    seen = visit(bits)
-    if n := hot.count():
-        seen = seen.join(base.small(hot, n, 100_000), F.col("anchor") == F.col("a0"), "left").withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
-        seen = seen.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).withColumn("home", F.col("home") & (F.col("own") == F.col("part")))
-    else:
-        seen = seen.withColumn("part", F.lit(0))
+    def visit(batches):
+        cover = Covering(plan, bits)
+        for b in batches:
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            for lo in range(0, len(fp), 4096):
+                row, anchor, home = cover.anchors(fp[lo : lo + 4096])
+                rest = b.slice(lo, 4096).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(home), *rest.columns], ["anchor", "home", *rest.schema.names])
+
+    fields = "anchor long, home boolean, id long, fp long, " + ", ".join(f"{x} long" for x in lanes)
+    seen = rows.select("id", "fp", *lanes).mapInArrow(visit, fields)
+    seen = split_hot(seen, visits(rows, plan, bits), "id", block, visitors)
     seen = seen.select("anchor", "part", "home", "id", "fp", *lanes).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
 
     def cell(home, ids, fp, sign):
@@ -548,5 +555,6 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of each document."""
     docs = base.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -44,13 +44,13 @@ def test_simhash(spark, sf, documents):
         assert (r.fingerprint, r.component_id) == (f"{f:016x}", c)
 
 
-@pytest.mark.parametrize(("plan", "block"), [("middle", 20_000), ("fine", 20_000), ("coarse", 3)])
-def test_links_join_the_same(spark, plan, block):
+@pytest.mark.parametrize(("plan", "block", "visitors"), [("middle", 20_000, 20_000), ("fine", 20_000, 20_000), ("coarse", 3, 20_000), ("coarse", 4, 7), ("coarse", 20_000, 5)])
+def test_links_join_the_same(spark, plan, block, visitors):
     rng = np.random.default_rng(6)
     seeds = rng.integers(0, 2**62, 12)
     fps = {int(s) ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 5), replace=False)) for s in seeds for _ in range(15)}
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    got = {r.node: r.root for r in simhash.components(simhash.links(df, 3, plan, block)).collect()}
+    got = {r.node: r.root for r in simhash.components(simhash.links(df, 3, plan, block, visitors)).collect()}
     order = sorted(fps)
     parent = {f: f for f in order}
 
@@ -103,12 +103,12 @@ def test_similar_documents_are_found(spark):
     assert all(got[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(40))
 
 
-@pytest.mark.parametrize("block", [4000, 3])
-def test_blocks_of_an_anchor_join_the_same(spark, block):
+@pytest.mark.parametrize(("block", "visitors"), [(4000, 4000), (3, 4000), (3, 5), (4000, 5)])
+def test_blocks_of_an_anchor_join_the_same(spark, block, visitors):
     rng = np.random.default_rng(12)
     rows = [(i, int(i // 20 * 7919 * 2**33) ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 4), replace=False)), *(int(i // 20),) * simhash.LANES) for i in range(80)]
     df = spark.createDataFrame(rows, "id long, fp long, " + ", ".join(f"s{k} long" for k in range(simhash.LANES)))
-    got = {r.node: r.root for r in simhash.components(simhash.similar_links(df, 4, 0, "coarse", block)).collect()}
+    got = {r.node: r.root for r in simhash.components(simhash.similar_links(df, 4, 0, "coarse", block, visitors)).collect()}
     parent = list(range(80))
 
     def find(i):
@@ -296,6 +296,39 @@ def test_search_over_all_partitions_is_exact(spark):
         assert [s for _, s in hits] == pytest.approx([s for _, s in want[q]])
 
 
+def test_search_in_blocks_is_exact(spark):
+    """However members and queries are cut, every query meets every member of the partitions that it probes."""
+    x = np.random.default_rng(18).normal(0, 1, (700, 6))
+    df = spark.createDataFrame([(i, v.tolist(), i, i, 0.5) for i, v in enumerate(x)], "vec_id long, embedding array<float>, part int, rank int, score double")
+    want = brute.nearest({r.vec_id: list(r.embedding) for r in df.collect()})
+    for members, asking in ((60, 9), (5000, 10), (70, 5000)):
+        got = found(learned_partitions.search(df, df.where("vec_id % 9 = 0"), parts=3, probes=3, members=members, asking=asking))
+        assert len(got) == 78 and all([v for v, _ in hits] == [v for v, _ in want[q]] for q, hits in got.items())
+
+
+def test_probes_hold_the_recall(spark):
+    """The number of probes is measured: few in clustered vectors, and the recall is there."""
+    rng = np.random.default_rng(19)
+    centre = rng.normal(0, 1, (40, 16))
+    x = centre[rng.integers(0, 40, 3000)] + rng.normal(0, 0.2, (3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = brute.nearest({r.vec_id: list(r.embedding) for r in df.collect()})
+    got = found(learned_partitions.search(df, df.where("vec_id % 20 = 0")))
+    hits = [len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in got]
+    assert len(got) == 150 and sum(hits) / (5 * len(hits)) >= 0.9
+    unit = learned_partitions.unit(x)
+    router = learned_partitions.fit(unit[600:], 27)
+    assert learned_partitions.probes_for(unit, router, 5, 0.95, np.arange(600)) <= 9
+
+
+def test_search_of_huge_tiny_and_repeated_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [2e-300, 1e-300]), (2, [1.0, -1.0]), (2, [1.0, -1.0]), (3, [1e308, 0.0]), (50, [1e-308, 0.0]), (50, [1e-308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(learned_partitions.search(df, df.where("vec_id % 50 = 0")))
+    assert [v for v, _ in got[50]] == [3, 1, 0, 2, 2] and [s for _, s in got[50]] == pytest.approx([1, 2 / 5**0.5, 0.5**0.5, 0.5**0.5, 0.5**0.5])
+    assert [v for v, _ in got[0]] == [1, 3, 50, 50, 2]
+
+
 def test_search_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (100, [0.0, 2.0]), (None, [1.0, 0.0])]

@@ -84,6 +84,30 @@ def test_trees_follow_a_rule():
     assert (quality_classifier.fit(x, np.ones(2000)).scores(x) > 0.99).all()
 
 
+def test_weights_are_repeats():
+    x = np.random.default_rng(5).random((200, 3)).round(1)
+    y, w = (x[:, 0] > 0.4).astype(float), np.random.default_rng(6).integers(1, 4, 200)
+    one, two = quality_classifier.fit(x, y, trees=5, weight=w.astype(float)), quality_classifier.fit(np.repeat(x, w, 0), np.repeat(y, w), trees=5)
+    assert one.start == pytest.approx(two.start)
+
+
+def test_sample_is_bounded_and_copies_weigh(spark):
+    """What is ranked is a share by hash, whatever the number of rows; copies of a row are one of them."""
+    rows = [(i, *np.random.default_rng(i).random(len(quality_classifier.FEATURES)).tolist()) for i in range(400)] + [(1000, *[0.5] * len(quality_classifier.FEATURES))] * 300
+    df = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{f} double" for f in quality_classifier.FEATURES))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(1000, 1)] * 2, "doc_id long, quality int")
+    seen = {}
+    real = quality_classifier.fit
+    try:
+        quality_classifier.fit = lambda x, y, weight: seen.update(rows=len(x), weight=weight) or real(x, y, trees=1, weight=weight)
+        quality_classifier.learned(df, labels, "quality", 1000)
+        assert seen["rows"] == 401 and seen["weight"].max() == 600
+        quality_classifier.learned(df, labels, "quality", 50)
+        assert seen["rows"] == 50
+    finally:
+        quality_classifier.fit = real
+
+
 def test_flat_traversal_is_the_walk():
     x = np.random.default_rng(4).random((300, 3))
     model = quality_classifier.fit(x, (x[:, 0] > x[:, 1]).astype(float), trees=5, depth=3)
