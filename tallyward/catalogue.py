@@ -227,7 +227,7 @@ def drop_buffers(spark, sf):
 
 @query(f"WITH {S.TOP} SELECT client_id, i AS idx, (CASE WHEN t.idx IS NULL THEN 0 ELSE 1 END)::BIGINT AS hot FROM (SELECT vec_id AS client_id FROM embeddings) CROSS JOIN (SELECT unnest(range({D})) AS i) LEFT JOIN (SELECT client_id, idx FROM top) t USING (client_id) WHERE false UNION ALL SELECT e.vec_id, s.i, (EXISTS (SELECT 1 FROM top t WHERE t.client_id = e.vec_id AND t.idx = s.i))::BIGINT FROM embeddings e, (SELECT unnest(range({D})) AS i) s")
 def multi_hot(spark, sf):
-    sets = shaping.top_k(fx.dense_updates(spark, sf), K).groupBy("client_id").agg(F.collect_list("idx").alias("s"))
+    sets = shaping.top_k(fx.dense_updates(spark, sf), K).groupBy("client_id").agg(F.collect_list("idx").alias("s"))  # K of a client
     return sets.select("client_id", F.posexplode(shaping.multi_hot(F.col("s"), D)).alias("idx", "hot")).select("client_id", F.col("idx").cast("long").alias("idx"), F.col("hot").cast("long").alias("hot"))
 
 
@@ -316,9 +316,11 @@ def partition_noniid(spark, sf):
 
 
 def _extra(keys: str, sets: str, seed: str, r: float) -> str:
-    return f"""c AS (SELECT {keys}, floor(count(*) * {r!r}::DOUBLE) AS extra FROM {sets} GROUP BY {keys}),
-free AS (SELECT {keys}, extra, i AS idx FROM c, (SELECT unnest(range({D})) AS i) WHERE ({keys}, i) NOT IN (SELECT ({keys}, idx) FROM {sets})),
-added AS (SELECT {keys}, idx FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {Duck.order_key(seed, keys, 'idx')}, idx) AS q FROM free) WHERE q <= extra)"""
+    steps = privacy.permutation_steps(D)
+    part = lambda at: f"('0x' || substr({Duck.order_key(seed, keys)}, {at}, 8))::BIGINT"
+    return f"""c AS (SELECT {keys}, floor(count(*) * {r!r}::DOUBLE) AS extra, list_extract({steps}, {part(1)} % {len(steps)} + 1) AS step, {part(9)} % {D} AS shift FROM {sets} GROUP BY {keys}),
+free AS (SELECT {keys}, extra, j, (j * step + shift) % {D} AS idx FROM c, (SELECT unnest(range({D})) AS j) WHERE ({keys}, (j * step + shift) % {D}) NOT IN (SELECT ({keys}, idx) FROM {sets})),
+added AS (SELECT {keys}, idx FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY j) AS q FROM free) WHERE q <= extra)"""
 
 
 @query(f"WITH {S.TOP}, {_extra('client_id', 'top', 'ip', 0.5)} SELECT client_id, idx, true AS real FROM top UNION ALL SELECT client_id, idx, false FROM added")

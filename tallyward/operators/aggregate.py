@@ -44,11 +44,15 @@ def batched(updates: DataFrame, d: int, batch: int, exact: bool = False) -> Data
     return per_batch.groupBy("idx").agg(F.sum("s").alias("s"))
 
 
-def folded(updates: DataFrame, d: int, exact: bool = False) -> DataFrame:
-    """Sort by index, carry the running sum, keep the last row of each index."""
-    rows = cells(updates, d, exact)
-    run = Window.partitionBy("idx").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("after", F.lead("s").over(Window.partitionBy("idx").orderBy("s"))).withColumn("s", F.sum("s").over(run))
+def folded(updates: DataFrame, d: int, exact: bool = False, runs: int = 64) -> DataFrame:
+    """Sort by index, carry the running sum, keep the last row of each index.
+
+    Cells of an index are summed in a bounded number of runs first, before the shuffle as well, so a hot index doesn't
+    gather its cells in one task.
+    """
+    rows = cells(updates, d, exact).groupBy("idx", F.pmod(F.xxhash64("s"), F.lit(runs)).alias("run")).agg(F.sum("s").alias("s"))
+    fold = Window.partitionBy("idx").orderBy("run")
+    rows = rows.withColumn("after", F.lead("s").over(fold)).withColumn("s", F.sum("s").over(fold.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.where(F.col("after").isNull()).select("idx", "s")
 
 

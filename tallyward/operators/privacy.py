@@ -43,13 +43,34 @@ def dummies(counts: DataFrame, limit: float) -> DataFrame:
     return counts.withColumn("n", n).where("n > 0").select("idx", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("idx", F.lit(0.0).alias("value"))
 
 
+def permutation_steps(d: int, n: int = 16) -> list[int]:
+    """Up to n numbers coprime to d, spread over its range: multiplication by one permutes 0..d-1."""
+    out = []
+    for i in range(n):
+        s = max(1, round(d * (i + 0.618) / n))
+        while math.gcd(s, d) != 1:
+            s += 1
+        if s % d not in out:
+            out.append(s % d if d > 1 else 1)
+    return out
+
+
 def index_privacy(sets: DataFrame, d: int, r: float, seed, keys: tuple[str, ...] = ("client_id",)) -> DataFrame:
-    """(keys, idx, real): int(n * r) indices that a client didn't choose join those that it did, at random."""
+    """(keys, idx, real): int(n * r) indices that a client didn't choose (or all there are) join those that it did, at random.
+
+    Candidates come in the order of a permutation of 0..d-1 drawn for the client, j -> j * step + shift. Of its first
+    n + int(n * r) at most n are chosen ones, so no others are needed, however large d is.
+    """
+    steps = permutation_steps(d)
     chosen = sets.select(*keys, "idx").withColumn("real", F.lit(True))
-    sizes = chosen.groupBy(*keys).agg(F.floor(F.count("*") * F.lit(r)).alias("extra"))
-    free = sizes.where("extra > 0").select(*keys, "extra", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(d - 1).cast("long"))).alias("idx"))
+    sizes = chosen.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("extra", F.floor(F.col("n") * F.lit(r))).where("extra > 0")
+    h = order_key(seed, *keys)
+    part = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
+    sizes = sizes.withColumn("step", F.get(F.array(*[F.lit(s).cast("long") for s in steps]), (part(1) % len(steps)).cast("int"))).withColumn("shift", part(9) % d)
+    j = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n") + F.col("extra"), F.lit(d)) - 1)).alias("j")
+    free = sizes.select(*keys, "extra", "step", "shift", j).withColumn("idx", (F.col("j") * F.col("step") + F.col("shift")) % d)
     free = free.join(chosen.select(*keys, "idx"), [*keys, "idx"], "left_anti")
-    w = Window.partitionBy(*keys).orderBy(order_key(seed, *keys, "idx"), "idx")
+    w = Window.partitionBy(*keys).orderBy("j")  # of one client, about what it chose
     added = free.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("extra")).select(*keys, "idx", F.lit(False).alias("real"))
     return chosen.unionByName(added)
 

@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.exact import order_key
 
 
-def ranked(df: DataFrame, seed, id_column: str, digits: int = 3) -> DataFrame:
-    """Adds rn, the place (from 1) of each row in the random order of a seed.
+def ranked(df: DataFrame, seed, id_column: str, digits: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds rn, the place (from 1) of each row in the random order of a seed, within keys.
 
-    In two levels, so that no task sorts everything: places of buckets by the first digits of the key, then of rows
-    within a bucket.
+    In two levels, so that no task sorts all rows of a key: places of buckets by the first digits of the random order,
+    then of rows within a bucket.
     """
     keyed = df.withColumn("_k", order_key(seed, id_column)).withColumn("_b", F.substring("_k", 1, digits))
-    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")  # 16^digits rows at most
-    offsets = sizes.select("_b", before.alias("_o"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_k", id_column))
-    return keyed.withColumn("_r", inside).join(F.broadcast(offsets), "_b").withColumn("rn", F.col("_r") + F.col("_o")).drop("_k", "_b", "_r", "_o")
+    sizes = keyed.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")  # 16^digits rows at most
+    before = F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    offsets = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_b1"), before.alias("_o"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_k", id_column))
+    on = F.col("_b") == F.col("_b1")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    placed = keyed.withColumn("_r", inside).join(offsets if keys else F.broadcast(offsets), on)
+    return placed.withColumn("rn", F.col("_r") + F.col("_o")).drop("_k", "_b", "_r", "_o", "_b1", *[f"_{k}" for k in keys])
 
 
 def iid(examples: DataFrame, clients: int, seed, total: int | None = None) -> DataFrame:
@@ -37,7 +42,7 @@ def one_per_user(examples: DataFrame, seed) -> DataFrame:
 def sampled_clients(clients: DataFrame, size: int, seed, keys: tuple[str, ...] = ()) -> DataFrame:
     """size clients (for each of keys) without replacement: the first in the random order."""
     if not keys:
-        return clients.orderBy(order_key(seed, "client_id"), "client_id").limit(size)
+        return ranked(clients, seed, "client_id").where(F.col("rn") <= size).drop("rn")
     w = Window.partitionBy(*keys).orderBy(order_key(seed, *keys, "client_id"), "client_id")
     return clients.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r")
 
@@ -67,27 +72,36 @@ def stratified(examples: DataFrame, n: int, labels: int, seed, capped: bool = Tr
 
 def stratified_split(examples: DataFrame, test_share: float, seed) -> DataFrame:
     """Adds part: of each label, the first floor(share * n + 0.5) at random test, the rest train."""
-    w = Window.partitionBy("label")
-    place = F.row_number().over(w.orderBy(order_key(seed, "example_id"), "example_id"))
-    return examples.withColumn("part", F.when(place <= F.floor(F.count("*").over(w) * F.lit(test_share) + 0.5), "test").otherwise("train"))
+    n = examples.groupBy(F.col("label").alias("_l")).agg(F.count("*").alias("_n"))  # a row for each label
+    rows = ranked(examples, seed, "example_id", keys=("label",)).join(n, F.col("label").eqNullSafe(F.col("_l")))
+    return rows.withColumn("part", F.when(F.col("rn") <= F.floor(F.col("_n") * F.lit(test_share) + 0.5), "test").otherwise("train")).drop("rn", "_l", "_n")
 
 
 def minibatches(owned: DataFrame, size: int, seed, keys: tuple[str, ...] = ("client_id",)) -> DataFrame:
     """Adds batch_no, in random order within each of keys; a short last batch stays."""
-    w = Window.partitionBy(*keys).orderBy(order_key(seed, "example_id"), "example_id")
-    return owned.withColumn("batch_no", ((F.row_number().over(w) - 1) / size).cast("long"))
+    rows = ranked(owned, seed, "example_id", keys=keys)
+    return rows.withColumn("batch_no", ((F.col("rn") - 1) / size).cast("long")).drop("rn")
 
 
 def shards(examples: DataFrame, size: int, seed) -> DataFrame:
     """Adds shard: consecutive runs of ``size`` examples in the order of their labels.
 
-    Places come from label counts plus places within a label, so no task sorts everything.
+    Places come from label counts plus places within a label, which come in two levels; no task sorts a whole label.
     """
     n = examples.groupBy("label").count()
     before = F.sum("count").over(Window.orderBy("label").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")  # a row for each label
-    offsets = F.broadcast(n.select("label", before.alias("_o")))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(order_key(seed, "example_id"), "example_id"))
-    return examples.withColumn("_r", place).join(offsets, "label").withColumn("shard", ((F.col("_r") + F.col("_o") - 1) / size).cast("long")).drop("_r", "_o")
+    offsets = n.select("label", before.alias("_o"))
+    rows = ranked(examples, seed, "example_id", keys=("label",)).join(offsets, "label")
+    return rows.withColumn("shard", ((F.col("rn") + F.col("_o") - 1) / size).cast("long")).drop("rn", "_o")
+
+
+def running(df: DataFrame, order: str, value: str, name: str, run: int = 4096) -> DataFrame:
+    """Adds the running sum of a value in the order of distinct whole numbers: over runs of them, then within each."""
+    df = df.withColumn("_run", F.floor(F.col(order) / run))
+    sums = df.groupBy("_run").agg(F.sum(value).alias("_s"))  # a row for each run
+    offsets = sums.select(F.col("_run").alias("_q"), (F.sum("_s").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_o"))
+    inside = F.sum(value).over(Window.partitionBy("_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_i", inside).join(offsets, F.col("_run") == F.col("_q")).withColumn(name, F.col("_i") + F.col("_o")).drop("_run", "_q", "_i", "_o")
 
 
 def unequal(examples: DataFrame, clients: int, shard_size: int, seed, most: int = 30, total: int | None = None) -> DataFrame:
@@ -100,12 +114,12 @@ def unequal(examples: DataFrame, clients: int, shard_size: int, seed, most: int
     rows = shards(examples.select("example_id", "label"), shard_size, seed)
     count = ((examples.count() if total is None else total) + shard_size - 1) // shard_size
     weight = spark.range(clients).select(F.col("id").alias("client_id"), (F.conv(F.substring(order_key(f"{seed}w", "id"), 1, 8), 16, 10).cast("long") % most + 1).alias("w"))
-    run = F.sum("w").over(Window.orderBy("client_id").rowsBetween(Window.unboundedPreceding, 0))  # a row for each client
-    every = F.sum("w").over(Window.orderBy("client_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    weight = weight.select("client_id", "w", run.alias("run"), every.alias("all"))
-    bounds = weight.select("client_id", F.floor(F.col("run") * F.lit(count) / F.col("all") + 0.5).alias("hi"), F.floor((F.col("run") - F.col("w")) * F.lit(count) / F.col("all") + 0.5).alias("lo"))
-    dealt = spark.range(count).select(F.col("id").alias("shard"), F.row_number().over(Window.orderBy(order_key(f"{seed}s", "id"), "id")).alias("rn"))  # a row for each shard
-    owner = dealt.join(F.broadcast(bounds), (F.col("rn") > F.col("lo")) & (F.col("rn") <= F.col("hi"))).select("shard", "client_id")
+    weight = running(weight, "client_id", "w", "run")
+    end = lambda c: F.floor(c * F.lit(count) / F.col("all") + 0.5)
+    bounds = weight.join(F.broadcast(weight.agg(F.sum("w").alias("all")))).select("client_id", end(F.col("run") - F.col("w")).alias("lo"), end(F.col("run")).alias("hi"))
+    places = bounds.where("hi > lo").select("client_id", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("rn"))
+    dealt = ranked(spark.range(count), f"{seed}s", "id").withColumnRenamed("id", "shard")
+    owner = dealt.join(places, "rn").select("shard", "client_id")
     return rows.join(owner, "shard").select("client_id", "example_id")
 
 
@@ -158,8 +172,7 @@ def noniid(examples: DataFrame, clients: int, labels_each: int, seed: int, vary:
     spark = examples.sparkSession
     pools = [(r["label"], r["count"]) for r in examples.groupBy("label").count().orderBy("label").collect()]  # a row for each label
     segments = spark.createDataFrame(deal_segments(pools, clients, labels_each, seed, vary), "client_id long, label long, first long, size long")
-    place = F.row_number().over(Window.partitionBy("label").orderBy(order_key(seed, "example_id"), "example_id")) - 1
-    rows = examples.select("example_id", F.col("label").cast("long").alias("label")).withColumn("place", place)
+    rows = ranked(examples.select("example_id", F.col("label").cast("long").alias("label")), seed, "example_id", keys=("label",)).withColumn("place", F.col("rn") - 1)
     hit = (F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("size"))
     return rows.join(segments, "label").where(hit).select("client_id", "example_id")
 

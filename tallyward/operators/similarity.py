@@ -10,16 +10,21 @@ def jaccard(target: DataFrame, teacher: DataFrame, per_round: bool = False) -> D
     """(client_id[, round], label, common, either, score): a score for every client and label, 0 without overlap.
 
     A label is seen through the rounds that the client took part in, and rounds are merged into one set on each side
-    (or each round stands for itself). Sizes and overlaps are counted by joins on the index, never set by set.
+    (or each round stands for itself). What a label's indices are in a set of rounds is found once for each distinct set,
+    however many clients share it; sizes and overlaps are counted by joins on the index, never set by set.
     """
     extra = ["round"] if per_round else []
     mine = target.select("client_id", *extra, "idx").distinct()
-    rounds = target.select("client_id", "round").distinct()
-    seen = rounds.join(teacher, "round").select("client_id", *extra, "label", "idx").distinct()
     sizes = mine.groupBy("client_id", *extra).agg(F.count("*").alias("n"))
-    labels = seen.groupBy("client_id", *extra, "label").agg(F.count("*").alias("m"))
-    common = seen.join(mine, ["client_id", *extra, "idx"]).groupBy("client_id", *extra, "label").agg(F.count("*").alias("common"))
-    out = labels.join(sizes, ["client_id", *extra]).join(common, ["client_id", *extra, "label"], "left").fillna(0, ["common"])
+    if per_round:
+        group, seen = sizes.select("client_id", "round", F.col("round").alias("rounds")), teacher.select(F.col("round").alias("rounds"), "label", "idx").distinct()
+    else:
+        group = target.groupBy("client_id").agg(F.array_join(F.array_sort(F.collect_set("round")), ",").alias("rounds"))
+        each = group.select("rounds").distinct().select("rounds", F.explode(F.split("rounds", ",").cast("array<long>")).alias("round"))
+        seen = each.join(teacher, "round").select("rounds", "label", "idx").distinct()
+    labels = seen.groupBy("rounds", "label").agg(F.count("*").alias("m"))
+    common = mine.join(group, ["client_id", *extra]).join(seen, ["rounds", "idx"]).groupBy("client_id", *extra, "label").agg(F.count("*").alias("common"))
+    out = sizes.join(group, ["client_id", *extra]).join(labels, "rounds").join(common, ["client_id", *extra, "label"], "left").fillna(0, ["common"])
     either = F.col("n") + F.col("m") - F.col("common")
     return out.select("client_id", *extra, "label", "common", either.alias("either"), F.try_divide(F.col("common").cast("double"), either.cast("double")).alias("score"))
 

@@ -31,7 +31,8 @@ def run_round(updates: DataFrame, members: DataFrame, cfg: RoundConfig, round_no
 
 
 def run_rounds(updates_of, clients: DataFrame, start: DataFrame, cfg: RoundConfig, rounds: int, folder: str) -> tuple[DataFrame, float | None]:
-    """The vector after some rounds, and the epsilon spent (null without noise).
+    """The vector after some rounds, and the epsilon spent (null without noise), accounted for as what rosters are:
+    samples of a fixed size without replacement.
 
     updates_of(round, vector, members) gives the uploads of a round. The vector is written to ``folder`` (which all
     executors must share) after each round, so lineage doesn't grow and a lost executor costs one round at most.
@@ -46,7 +47,7 @@ def run_rounds(updates_of, clients: DataFrame, start: DataFrame, cfg: RoundConfi
         vector = spark.read.parquet(f"{folder}/{r + 1}")
     if not cfg.noise:
         return vector, None
-    spent, _ = accounting.epsilon(accounting.ORDERS, accounting.rdp(cfg.sampling_ratio, cfg.sigma, rounds), cfg.delta)
+    spent, _ = accounting.epsilon(accounting.ORDERS, accounting.rdp_without_replacement(cfg.sampled / cfg.clients, cfg.sigma, rounds), cfg.delta)
     return vector, spent
 
 
