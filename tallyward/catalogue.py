@@ -475,22 +475,38 @@ def _table(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-@query()
+#: The Renyi moment of one step by direct integration over the Gaussian (the trapezoid rule at an eighth of its width, which converges
+#: faster than any power), at every order and setting: an oracle that shares no series with the accountant.
+_RDP = (
+    "p AS (SELECT * FROM (VALUES " + ", ".join(f"({q!r}::DOUBLE, {s!r}::DOUBLE, {t}, {d!r}::DOUBLE)" for q, s, t, d in _SETTINGS) + ") p(q, sigma, steps, delta)), "
+    f"o AS (SELECT unnest({accounting.ORDERS}::DOUBLE[]) AS a), "
+    """g AS (SELECT *, -10 * sigma + i * sigma / 8 AS x FROM p, o, (SELECT unnest(range(4000)) AS i) WHERE q < 1 AND i <= 8 * a / sigma + 160),
+t AS (SELECT *, -x * x / (2 * sigma * sigma) - ln(sigma * sqrt(2 * pi())) + a * ln(1 - q + q * exp((2 * x - 1) / (2 * sigma * sigma))) AS t FROM g),
+m AS (SELECT q, sigma, steps, delta, a, max(t) AS m FROM t GROUP BY ALL),
+r AS (SELECT t.q, t.sigma, t.steps, t.delta, t.a, t.steps * (any_value(m) + ln(sum(exp(t - m)) * t.sigma / 8)) / (t.a - 1) AS rdp FROM t JOIN m USING (q, sigma, steps, delta, a) GROUP BY t.q, t.sigma, t.steps, t.delta, t.a
+  UNION ALL SELECT q, sigma, steps, delta, a, steps * a / (2 * sigma * sigma) FROM p, o WHERE q = 1)"""
+)
+
+
+@query(f'WITH {_RDP} SELECT q, sigma, steps::INT AS steps, a AS "order", {Duck.rounded("rdp")} AS rdp FROM r')
 def rdp_full_grid(spark, sf):
     rows = [(q, s, t, a, r) for q, s, t, _ in _SETTINGS for a, r in zip(accounting.ORDERS, accounting.rdp(q, s, t))]
-    return _table(spark, rows, "q double, sigma double, steps int, order double, rdp double")
+    return _table(spark, rows, "q double, sigma double, steps int, order double, rdp double").withColumn("rdp", rounded("rdp"))
 
 
-@query()
+@query(f"""WITH {_RDP}, e AS (SELECT *, CASE WHEN delta * delta + exp(-rdp) - 1 >= 0 THEN 0 ELSE rdp + ln(1 - 1 / a) - ln(delta * a) / (a - 1) END AS e FROM r)
+SELECT q, sigma, steps::INT AS steps, delta, {Duck.rounded("greatest(0, min(e))")} AS epsilon, arg_min(a, e) AS "order" FROM e GROUP BY q, sigma, steps, delta""")
 def privacy_spent_eps(spark, sf):
     rows = [(q, s, t, d, *accounting.epsilon(accounting.ORDERS, accounting.rdp(q, s, t), d)) for q, s, t, d in _SETTINGS]
-    return _table(spark, rows, "q double, sigma double, steps int, delta double, epsilon double, order double")
+    return _table(spark, rows, "q double, sigma double, steps int, delta double, epsilon double, order double").withColumn("epsilon", rounded("epsilon"))
 
 
-@query()
+@query(f"""WITH {_RDP}, e AS (SELECT q, sigma, steps, a, epsilon, least(0.5 * ln(1 - exp(-rdp)), (a - 1) * (rdp - epsilon + ln(1 - 1 / a)) - ln(a)) AS l FROM r, (SELECT unnest([0.5, 2.0]::DOUBLE[]) AS epsilon))
+SELECT q, sigma, steps::INT AS steps, epsilon, {Duck.rounded("least(0, min(l))")} AS log_delta, arg_min(a, l) AS "order" FROM e GROUP BY q, sigma, steps, epsilon""")
 def privacy_spent_delta(spark, sf):
+    """The least delta, as its logarithm."""
     rows = [(q, s, t, e, *accounting.delta(accounting.ORDERS, accounting.rdp(q, s, t), e)) for q, s, t, _ in _SETTINGS for e in (0.5, 2.0)]
-    return _table(spark, rows, "q double, sigma double, steps int, epsilon double, delta double, order double")
+    return _table(spark, rows, "q double, sigma double, steps int, epsilon double, delta double, order double").select("q", "sigma", "steps", "epsilon", rounded(F.log("delta")).alias("log_delta"), "order")
 
 
 @query("SELECT a::DOUBLE AS \"order\", a::DOUBLE * (SELECT sum(floor(log2(s)) + 1) FROM (VALUES (1), (7), (64), (100)) t(s)) / (2 * 4.0::DOUBLE * 4.0::DOUBLE) AS rdp FROM (SELECT unnest(range(2, 33)) AS a)")
@@ -505,10 +521,24 @@ def rdp_heterogeneous(spark, sf):
     return _table(spark, rows, "order double, r double").groupBy("order").agg(rounded(F.sum("r")).alias("rdp"))
 
 
-@query()
+_WITHOUT = [1.5, 2.0, 2.5, 3.0, 4.0, 8.0, 16.0, 32.0, 33.5, 300.0]
+#: The bound for samples of fixed size; its even differences are integrals of (ratio - 1)^k over the Gaussian.
+_WITHOUT_SQL = f"""WITH z AS (SELECT k, -11.2 + i * 0.14 AS z FROM (SELECT unnest(range(2, 36, 2)) AS k), (SELECT unnest(range(500)) AS i) WHERE i * 0.14 <= k + 22.4),
+t AS (SELECT k, -z * z / 2.5088 - ln(1.12 * sqrt(2 * pi())) + k * ln(abs(exp((2 * z - 1) / 2.5088::DOUBLE) - 1)) AS t FROM z),
+m AS (SELECT k, max(t) AS m FROM t GROUP BY k), d AS (SELECT k, any_value(m) + ln(sum(exp(t - m)) * 0.14) AS d FROM t JOIN m USING (k) GROUP BY k),
+n AS (SELECT DISTINCT unnest([floor(a), ceil(a)])::BIGINT AS n FROM (SELECT unnest({_WITHOUT}::DOUBLE[]) AS a)),
+j AS (SELECT n, j, lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.1::DOUBLE) AS c, ln(2) + j * (j - 1) / 2.5088::DOUBLE AS plain FROM n, (SELECT unnest(range(2, 301)) AS j) WHERE j <= n),
+b AS (SELECT n, 0.0::DOUBLE AS x FROM n UNION ALL
+  SELECT n, c + CASE WHEN j = 2 THEN least(ln(4) + ln(exp(2 / 2.5088::DOUBLE) - 1), 2 / 2.5088::DOUBLE + ln(2)) WHEN n > 256 THEN plain ELSE least(plain, ln(4) + (lo.d + hi.d) / 2) END
+  FROM j LEFT JOIN d lo ON lo.k = 2 * (j // 2) LEFT JOIN d hi ON hi.k = 2 * ((j + 1) // 2)),
+s AS (SELECT n, max(x) + ln(sum(exp(x - mx))) AS x FROM (SELECT *, max(x) OVER (PARTITION BY n) AS mx FROM b) GROUP BY n),
+o AS (SELECT unnest({_WITHOUT}::DOUBLE[]) AS a)
+SELECT a AS "order", {Duck.rounded("10 * ((1 - (a - floor(a))) * coalesce(lo.x, 0) + (a - floor(a)) * hi.x) / (a - 1)")} AS rdp FROM o LEFT JOIN s lo ON lo.n = floor(a) JOIN s hi ON hi.n = ceil(a)"""
+
+
+@query(_WITHOUT_SQL)
 def rdp_without_replacement(spark, sf):
-    orders = [1.5, 2.0, 2.5, 3.0, 4.0, 8.0, 16.0, 32.0, 33.5, 300.0]
-    return _table(spark, list(zip(orders, accounting.rdp_without_replacement(0.1, 1.12, 10, orders))), "order double, rdp double")
+    return _table(spark, list(zip(_WITHOUT, accounting.rdp_without_replacement(0.1, 1.12, 10, _WITHOUT))), "order double, rdp double").withColumn("rdp", rounded("rdp"))
 
 
 _PARAMS = "(SELECT 0.02::DOUBLE * (i + 1) AS e, 10.0::DOUBLE * (i + 1) AS k FROM (SELECT unnest(range(20)) AS i))"
@@ -535,10 +565,31 @@ def gaussian_eps(spark, sf):
     return spark.range(20).select(rounded(d).alias("delta"), rounded(F.lit(1.0) / F.lit(1.12) * F.sqrt(2 * F.log(F.lit(1.25) / d))).alias("epsilon"))
 
 
-@query()
+#: Delta of the shuffled reports by the sum over every number of clones and every count.
+_SHUFFLE_SQL = f"""WITH p AS (SELECT * FROM (VALUES (400, 0.5::DOUBLE, 0.02::DOUBLE), (400, 0.5, 0.1), (1000, 1.0, 0.05), (1000, 1.0, 0.2)) p(n, eps0, eps)),
+c AS (SELECT *, exp(-eps0) AS k, 1 / (1 + exp(-eps0)) AS a, c FROM p, (SELECT unnest(range(1000)) AS c) WHERE c < n),
+w AS (SELECT *, exp(lgamma(n) - lgamma(c + 1) - lgamma(n - c) + c * ln(k) + (n - 1 - c) * ln(1 - k)) AS w FROM c),
+i AS (SELECT *, CASE WHEN i <= c THEN exp(lgamma(c + 1) - lgamma(i + 1) - lgamma(c - i + 1) - c * ln(2)) ELSE 0 END AS one, CASE WHEN i >= 1 THEN exp(lgamma(c + 1) - lgamma(i) - lgamma(c - i + 2) - c * ln(2)) ELSE 0 END AS other
+  FROM w, (SELECT unnest(range(1001)) AS i) WHERE i <= c + 1 AND w > 1e-18)
+SELECT n, eps0 AS local, eps, {Duck.rounded("1e3 * sum(w * greatest(0, a * other + (1 - a) * one - exp(eps) * ((1 - a) * other + a * one)))")} AS delta_1000 FROM i GROUP BY ALL"""
+
+
+@query(_SHUFFLE_SQL)
 def numerical_shuffle(spark, sf):
-    rows = [(n, e, accounting.numerical_shuffle(n, e, 1e-6), accounting.numerical_shuffle(n, e, 1e-6, upper=False), accounting.shuffled_composition(n, e, 1e-6, 5, 1e-5)) for n, e in ((2000, 0.5), (10_000, 1.0))]
-    return _table(spark, rows, "n int, local double, upper double, lower double, composed double")
+    """Thousand times the delta of shuffled reports, at a few sizes and epsilons."""
+    rows = [(n, e0, e, 1e3 * accounting.shuffle_delta(n, e0, e, upper=False)) for n, e0, es in ((400, 0.5, (0.02, 0.1)), (1000, 1.0, (0.05, 0.2))) for e in es]
+    return _table(spark, rows, "n int, local double, eps double, delta_1000 double").withColumn("delta_1000", rounded("delta_1000"))
+
+
+# By the same sum over all clones and counts, and halving, in exact integers and 50 digits, apart from this library.
+@query("SELECT * FROM (VALUES (2000, 0.5::DOUBLE, 0.048611::DOUBLE, true), (10000, 1.0, 0.053005, true)) t(n, local, epsilon, holds)")
+def shuffled_epsilon(spark, sf):
+    """The least epsilon at a delta of 1e-6, and whether the delta at it holds and a little below it doesn't."""
+    rows = []
+    for n, e in ((2000, 0.5), (10_000, 1.0)):
+        eps = accounting.numerical_shuffle(n, e, 1e-6)
+        rows.append((n, e, eps, accounting.shuffle_delta(n, e, eps) <= 1e-6 < accounting.shuffle_delta(n, e, eps - 1e-6, upper=False)))
+    return _table(spark, rows, "n int, local double, epsilon double, holds boolean").withColumn("epsilon", rounded("epsilon"))
 
 
 # Codec
@@ -560,11 +611,37 @@ def decode_cells(spark, sf):
     return codec.decoded(_payloads(spark, sf), ("client_id",))
 
 
+# The counter-mode example of NIST SP 800-38A (AES-128), and counters that pass 2^64 and 2^128.
+_CTR_KEY = "2B7E151628AED2A6ABF7158809CF4F3C"
+_CTR_COUNTER = 0xF0F1F2F3F4F5F6F7F8F9FAFBFCFDFEFF
+_CTR_PLAIN = "6BC1BEE22E409F96E93D7E117393172AAE2D8A571E03AC9C9EB76FAC45AF8E5130C81C46A35CE411E5FBC1191A0A52EFF69F2445DF4F9B17AD2B417BE66C3710"
+_CTR_CIPHER = "874D6191B620E3261BEF6864990DB6CE9806F66B7970FDFF8617187BB9FFFDFF5AE4DF3EDBD5D35E5B4F09020DB03EAB1E031DDA2FBE03D1792170A0F3009CEE"
+
+
+@query(f"SELECT '{_CTR_CIPHER}' AS cipher, true AS carries, true AS wraps")
+def ctr_known_answers(spark, sf):
+    """The example's cipher text, and whether a carry into the high half and a wrap of all 128 bits go on as from there."""
+    key = F.unhex(F.lit(_CTR_KEY))
+    stream = lambda counter, blocks=4: codec.keystream(key, F.lit(blocks).cast("long"), counter)
+    second = lambda counter: F.hex(F.substring(stream(counter, 2), 17, 16))
+    first = lambda counter: F.hex(F.substring(stream(counter, 1), 1, 16))
+    plain = F.unhex(F.lit(_CTR_PLAIN))
+    one = spark.range(1).select(plain.alias("plain"), stream(_CTR_COUNTER).alias("stream"), (second((1 << 64) - 1) == first(1 << 64)).alias("carries"), (second((1 << 128) - 1) == first(0)).alias("wraps"))
+    return one.select(F.hex(codec.xored("plain", "stream")).alias("cipher"), "carries", "wraps")
+
+
 @query()
 def encrypt_ctr(spark, sf):
     return _payloads(spark, sf).select("client_id", F.hex(codec.crypted("payload", F.col("client_id"))).alias("payload"))
 
 
+@query(f"WITH {S.F1} SELECT client_id, idx, CASE WHEN idx % 3 = 0 THEN 0 ELSE value END AS value, {D * 4}::BIGINT AS bytes FROM f1")
+def dense_round_trip(spark, sf):
+    """Dense vectors to bytes and back; what a client didn't send is 0."""
+    sent = codec.encoded_dense(fx.dense_updates(spark, sf).where("idx % 3 <> 0"), D, ("client_id",))
+    return codec.decoded_dense(sent, ("client_id",)).join(sent.select("client_id", F.length("payload").cast("long").alias("bytes")), "client_id")
+
+
 @query(f"WITH {_CELLS} SELECT client_id, idx, value FROM cells")
 def decrypt_ctr(spark, sf):
     sent = _payloads(spark, sf).select("client_id", codec.crypted("payload", F.col("client_id")).alias("payload"))
@@ -590,15 +667,19 @@ def late_rounds_rejected(spark, sf):
 
 @query(f"WITH {S.F3} SELECT round, idx, sum({Duck.micro('value')})::BIGINT / 1e6::DOUBLE / count(*) AS value, count(*) AS cells FROM f3 GROUP BY round, idx")
 def stream_round_mean(spark, sf):
-    out = stream.run_to_end(stream.round_sums(stream.event_stream(spark, sf)))
+    out = stream.run_to_end(stream.round_sums(stream.event_stream(spark, sf)), keys=("start", "idx"))
     day = F.datediff(F.to_date("start"), F.lit("2024-01-01").cast("date")).cast("long")
     return out.select(day.alias("round"), "idx", (F.col("s") / F.lit(1e6) / F.col("cells")).alias("value"), "cells")
 
 
-@query()
+@query("""WITH u AS (SELECT user_id % 4 AS fl_id, date_diff('day', DATE '2024-01-01', ts::DATE)::BIGINT AS round, user_id AS client_id, ts FROM events),
+c AS (SELECT fl_id, round, client_id, row_number() OVER (PARTITION BY fl_id, round ORDER BY min(ts), client_id) AS place FROM u GROUP BY fl_id, round, client_id),
+n AS (SELECT j.fl_id, r.round, (SELECT count(*) FROM c WHERE c.fl_id = j.fl_id AND c.round = r.round) AS n FROM (SELECT DISTINCT fl_id FROM u) j, (SELECT unnest(range(1 + (SELECT max(round) + 1 FROM u))) AS round) r),
+o AS (SELECT fl_id, min(round) AS last FROM n WHERE n < 3 GROUP BY fl_id)
+SELECT fl_id, CASE WHEN round > last THEN 'early_round' WHEN place <= 3 THEN 'ok' ELSE 'unknown_client' END AS status, count(*) AS cells FROM u JOIN c USING (fl_id, round, client_id) JOIN o USING (fl_id) GROUP BY ALL""")
 def stream_round_gate(spark, sf):
     s = stream.event_stream(spark, sf)
-    u = s.select((F.col("client_id") % 4).alias("fl_id"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("round"), "client_id", "idx", "value")
+    u = s.select("ts", (F.col("client_id") % 4).alias("fl_id"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("round"), "client_id", "idx", "value")
     return stream.run_to_end(stream.gated(u, 3), "append").groupBy("fl_id", "status").agg(F.count("*").alias("cells"))
 
 
@@ -633,7 +714,7 @@ def nn_attack_labels(spark, sf):
     return similarity.top_labels(learn.attack_scores(target, teacher, D, 10), 2)
 
 
-@query()
+@query(f"SELECT * FROM (VALUES ('non_oblivious', {D}::BIGINT, 1::BIGINT), ('optimized', {D}, 1), ('baseline', {D}, 1)) t(algorithm, num_of_parameters, trials)")
 def aggregation_times(spark, sf):
     u = shaping.top_k(fx.dense_updates(spark, sf), K)
     return aggregate.bench_summary(timed(u, 100, D, K, trials=2)).select("algorithm", "num_of_parameters", "trials")

@@ -7,7 +7,8 @@ secret.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -21,16 +22,51 @@ def client_key(client_id) -> Column:
 
 
 def keystream(key, blocks, counter: int = 0) -> Column:
-    """Encrypted consecutive 16-byte big-endian counters (and a block of padding): that is counter mode's stream."""
-    high, low = f"{counter >> 64:016x}", counter & (1 << 64) - 1
-    low -= (low >> 63) << 64  # the same bits as a signed number
-    counters = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda i: F.concat(F.lit(high), F.lpad(F.hex(F.lit(low).cast("long") + i), 16, "0")))
+    """Encrypted consecutive 16-byte big-endian counters (and a block of padding): that is counter mode's stream.
+
+    Counters are numbers of 128 bits that wrap, added up in four words of 32 bits with their carries.
+    """
+    words = [counter >> 32 * k & 0xFFFFFFFF for k in range(4)]  # the lowest first
+
+    def at(i):
+        carry, out = i, []
+        for w in words:
+            total = F.lit(w).cast("long") + carry
+            out.append(F.lpad(F.hex(total.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+            carry = F.shiftright(total, 32)
+        return F.concat(*reversed(out))
+
+    counters = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), at)
     return F.aes_encrypt(F.unhex(F.array_join(counters, "")), key, F.lit("ECB"), F.lit("PKCS"))
 
 
-@F.pandas_udf(BinaryType())
-def _xor(data: pd.Series, stream: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else (np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)[: len(a)]).tobytes() for a, b in zip(data, stream)])
+def _bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values end to end, and where each begins; nulls are empty."""
+    a = a.cast(pa.binary())
+    ends = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, 4 * a.offset).astype(np.int64) if len(a) else np.zeros(1, np.int64)
+    data = np.frombuffer(a.buffers()[2], np.uint8) if len(a) and a.buffers()[2] else np.zeros(0, np.uint8)
+    return data, ends
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray, null: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [pa.array(~null).buffers()[1], pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+@F.arrow_udf(BinaryType())
+def _xor(data: pa.Array, stream: pa.Array) -> pa.Array:
+    """Byte by byte over a whole batch; a value takes as much of its stream as it is long."""
+    a, at = _bytes(data)
+    b, first = _bytes(stream)
+    null = data.is_null().to_numpy(zero_copy_only=False) | stream.is_null().to_numpy(zero_copy_only=False)
+    sizes = np.where(null, 0, np.diff(at))
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return _binary(a[np.repeat(at[:-1], sizes) + inside] ^ b[np.repeat(first[:-1], sizes) + inside], sizes, null)
+
+
+def xored(data, stream) -> Column:
+    """Bytes xor those of a stream that is at least as long."""
+    return _xor(data, stream)
 
 
 def crypted(data, client_id) -> Column:
@@ -39,11 +75,40 @@ def crypted(data, client_id) -> Column:
     return _xor(data, keystream(client_key(client_id), blocks))
 
 
-@F.pandas_udf(BinaryType())
-def pack_cells(cells: pd.Series) -> pd.Series:
-    """array<struct<idx: bigint, value: float>> to bytes, in the given order."""
-    kind = np.dtype([("i", "<u4"), ("v", "<f4")])
-    return pd.Series([None if c is None else np.array([(x["idx"], x["value"]) for x in c], kind).tobytes() for c in cells])
+@F.arrow_udf(BinaryType())
+def pack_cells(cells: pa.Array) -> pa.Array:
+    """array<struct<idx: bigint, value: float>> to bytes, in the given order, over a whole batch."""
+    null = cells.is_null().to_numpy(zero_copy_only=False)
+    sizes = np.where(null, 0, pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False))
+    flat = cells.flatten()
+    out = np.empty(len(flat), np.dtype([("i", "<u4"), ("v", "<f4")]))
+    out["i"], out["v"] = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+    return _binary(np.frombuffer(out.tobytes(), np.uint8), sizes * CELL, null)
+
+
+@F.arrow_udf(BinaryType())
+def pack_dense(values: pa.Array) -> pa.Array:
+    """array<float> to little-endian 32-bit floats end to end, over a whole batch."""
+    null = values.is_null().to_numpy(zero_copy_only=False)
+    sizes = np.where(null, 0, pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False))
+    return _binary(np.frombuffer(values.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes(), np.uint8), sizes * 4, null)
+
+
+def encoded_dense(updates: DataFrame, d: int, keys: tuple[str, ...] = ("fl_id", "round", "client_id")) -> DataFrame:
+    """(keys, payload): the dense vector of each client, d floats in the order of the index, 0 where it sent nothing."""
+    cells = updates.where((F.col("idx") >= 0) & (F.col("idx") < d)).groupBy(*keys, "idx").agg(F.sum("value").alias("value"))
+    sparse = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", F.col("value").cast("float").alias("value")))).alias("c"))
+    ends = F.arrays_zip(F.concat(F.array(F.lit(-1).cast("long")), F.transform("c", lambda x: x["idx"])).alias("a"), F.concat(F.transform("c", lambda x: x["idx"]), F.array(F.lit(d).cast("long"))).alias("b"), F.concat(F.transform("c", lambda x: x["value"]), F.array(F.lit(0.0).cast("float"))).alias("v"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n.cast("int"))
+    runs = F.transform(ends, lambda p: F.concat(zeros(p["b"] - p["a"] - 1), F.array(p["v"])))
+    return sparse.select(*keys, pack_dense(F.slice(F.flatten(runs), 1, d)).alias("payload"))
+
+
+def decoded_dense(payloads: DataFrame, keys: tuple[str, ...] = ("fl_id", "round", "client_id")) -> DataFrame:
+    """(keys, idx, value) from dense bytes, with built-in functions only; a torn last float is left out."""
+    n = F.floor(F.length("payload") / F.lit(4)).cast("int")
+    cells = payloads.where(n > 0).select(*keys, F.hex("payload").alias("_h"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
+    return cells.select(*keys, F.col("_i").cast("long").alias("idx"), float_of(_u32(F.substr("_h", F.col("_i") * 8 + 1, F.lit(8)))).alias("value"))
 
 
 def encoded(updates: DataFrame, keys: tuple[str, ...] = ("fl_id", "round", "client_id"), order: str = "idx") -> DataFrame:
