@@ -160,6 +160,28 @@ def visits(fps: DataFrame, plan: str, bits: int) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "anchor long, home boolean, fp long")
 
 
+def visitors_of(fps: DataFrame, plan: str, bits: int) -> DataFrame:
+    """(anchor, h, n): how many fingerprints each anchor is home to and how many are there, in parts that add up."""
+    import pyarrow as pa
+
+    def run(batches):
+        cover = Covering(plan, bits)
+        for b in batches:
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            for lo in range(0, len(fp), 4096):
+                _, anchor, home = cover.anchors(fp[lo : lo + 4096])
+                each, which = np.unique(anchor, return_inverse=True)
+                homes, there = np.bincount(which, home, len(each)).astype(np.int64), np.bincount(which, minlength=len(each))
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(homes), pa.array(there)], ["anchor", "h", "n"])
+
+    return fps.select("fp").mapInArrow(run, "anchor long, h long, n long")
+
+
+def spread_out(fps: DataFrame, n: int, key: str, each: int = 100_000) -> DataFrame:
+    """Dealt so that a task has about ``each`` fingerprints, which visit many times as many anchors."""
+    return fps.repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // each)), key)
+
+
 def forest(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is joined by pairs of a row at home and any row within ``bits``: at most one for each row."""
     label = np.arange(len(fp))
@@ -178,15 +200,15 @@ def forest(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     return fp[at], fp[label[at]]
 
 
-def split_hot(seen: DataFrame, visited: DataFrame, key: str, homes: int, visitors: int) -> DataFrame:
+def split_hot(seen: DataFrame, counts: DataFrame, key: str, homes: int, visitors: int) -> DataFrame:
     """Adds part and sets home: rows (anchor, home, key) of anchors with more than so many homes or visitors are dealt
     over a grid of parts, each of which compares some of the homes with some of all that are there.
 
     A row at home stands in all parts of its line of the grid as one, and every row in all parts of its column as one
     that is only compared with; so any pair of a home and a visitor meets in exactly one part.
-    visited: (anchor, home), as many rows as seen, without what else it carries.
+    counts: (anchor, h, n) of visitors_of().
     """
-    n = visited.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count("*").alias("n")).where((F.col("h") > homes) | (F.col("n") > visitors))
+    n = counts.groupBy("anchor").agg(F.sum("h").alias("h"), F.sum("n").alias("n")).where((F.col("h") > homes) | (F.col("n") > visitors))
     hot = base.written(n.select(F.col("anchor").alias("a0"), F.greatest(F.ceil(F.col("h") / homes), F.lit(1)).cast("int").alias("lines"), F.ceil(F.col("n") / visitors).cast("int").alias("columns")), "hot")
     if not (count := hot.count()):
         return seen.withColumn("part", F.lit(0))
@@ -204,9 +226,9 @@ def links(fps: DataFrame, bits: int = 3, plan: str | None = None, block: int = 4
     """(a, b): links between different fingerprints within ``bits`` that join all that such pairs join. fps: distinct."""
     import pyarrow as pa
 
-    plan = plan or plan_for(fps.count())
-    seen = visits(fps, plan, bits)
-    seen = split_hot(seen, visits(fps, plan, bits), "fp", block, visitors).select("anchor", "part", "home", "fp")
+    n = fps.count()
+    plan, fps = plan or plan_for(n), spread_out(fps, n, "fp")
+    seen = split_hot(visits(fps, plan, bits), visitors_of(fps, plan, bits), "fp", block, visitors).select("anchor", "part", "home", "fp")
     seen = seen.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
 
     def compare(batches):
@@ -330,7 +352,8 @@ def similar_links(rows: DataFrame, bits: int, differ: int, plan: str | None = No
     than ``differ`` bits, enough to join all that such pairs join. id: distinct."""
     import pyarrow as pa
 
-    plan = plan or plan_for(rows.count())
+    n = rows.count()
+    plan, rows = plan or plan_for(n), spread_out(rows, n, "id")
     lanes = [f"s{i}" for i in range(LANES)]
 
     def visit(batches):
@@ -344,7 +367,7 @@ def similar_links(rows: DataFrame, bits: int, differ: int, plan: str | None = No
 
     fields = "anchor long, home boolean, id long, fp long, " + ", ".join(f"{x} long" for x in lanes)
     seen = rows.select("id", "fp", *lanes).mapInArrow(visit, fields)
-    seen = split_hot(seen, visits(rows, plan, bits), "id", block, visitors)
+    seen = split_hot(seen, visitors_of(rows, plan, bits), "id", block, visitors)
     seen = seen.select("anchor", "part", "home", "id", "fp", *lanes).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
 
     def cell(home, ids, fp, sign):
