@@ -12,27 +12,28 @@ from pyspark.sql import functions as F
 
 from tallyward.llm import base, mixing, quality_rules, sentencepiece_codec, simhash, substring_dedup
 
+#: What the stages themselves read and set; other columns go along.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or lie far out among those of their language and source."""
-    return quality_rules.accepted(docs.select(*COLUMNS))
+    return quality_rules.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose five-word shingles are similar to 0.8, by SimHash, the one with the smallest id stays."""
-    return simhash.representatives(docs.select(*COLUMNS))
+    return simhash.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages of 13 words or more that also stand in a document with a smaller id."""
-    return substring_dedup.without_repeats(docs.select(*COLUMNS))
+    return substring_dedup.without_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents whole, once or twice or not at all, towards the targets of their sources, in training order."""
-    return mixing.mixed(docs.select(*COLUMNS))
+    return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +53,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written as Parquet and read again as the next one's documents."""
     docs = base.read(spark, sf_dir, "documents")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     for name, stage in STAGES:
         docs = base.written(stage(spark, docs, sf_dir), name)
     return docs
 
 
-#: SQL can't express the stages; tests/llm/test_corpus_operators.py compares them with plain versions (of the first, its base rules).
+#: SQL can't express the stages; tests/llm compares them with plain versions.
 ORACLE_SQL = None
