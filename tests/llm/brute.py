@@ -57,30 +57,6 @@ def components(rows, k=3, bits=3):
     return [(f, least[find(i)]) for i, f in enumerate(fps)]
 
 
-def similar(rows, bits=4):
-    """The component of each (doc_id, text) row, from all pairs of fingerprints and signatures."""
-    from tallyward.llm import simhash
-
-    texts = [None if t is None else t.encode() for _, t in rows]
-    fp, sign = simhash.fingerprints(texts, 1), simhash.signatures(texts, 5)
-    label = list(range(len(rows)))
-
-    def find(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if bin(int(fp[i]) ^ int(fp[j])).count("1") <= bits and sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(sign[i], sign[j])) <= simhash.allowed(0.8):
-                label[find(i)] = find(j)
-    ids = {}
-    for i, (d, _) in enumerate(rows):
-        ids.setdefault(find(i), []).append(d)
-    least = {r: min((d for d in x if d is not None), default=None) for r, x in ids.items()}
-    return [least[find(i)] for i in range(len(rows))]
-
-
 def removed(rows, window=13):
     """For each (doc_id, text) row, the set of word places that go."""
     key = lambda d: float("inf") if d is None else d

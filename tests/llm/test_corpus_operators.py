@@ -81,7 +81,7 @@ def test_simhash_on_odd_rows(odd, empty):
     assert simhash.classes(empty).count() == 0
     kept = simhash.representatives(odd)
     assert kept.columns == odd.columns
-    want = Counter(d for (d, _), c in zip(rows, brute.similar(rows)) if d == c)
+    want = Counter(d for (d, _), c in zip(rows, brute.alike(rows)) if d == c)
     assert Counter(r.doc_id for r in kept.collect()) == want
     assert simhash.representatives(empty).count() == 0
 
@@ -442,7 +442,7 @@ def test_pipeline_stages(spark, sf, documents):
         assert r in before and n >= 50 and again <= n / 2
     one = stages[1](spark, keep, sf).cache()
     pairs = [(r[0], r[1]) for r in rows(keep)]
-    assert sorted(r[0] for r in rows(one)) == sorted(d for (d, _), c in zip(pairs, brute.similar(pairs)) if d == c)
+    assert sorted(r[0] for r in rows(one)) == sorted(d for (d, _), c in zip(pairs, brute.alike(pairs)) if d == c)
     clean = stages[2](spark, one, sf).cache()
     pairs = [(r[0], r[1]) for r in rows(one)]
     want = {d: brute.without(t, g) for (d, t), g in zip(pairs, brute.removed(pairs)) if len(g) < len(brute.words(t))}
@@ -457,6 +457,8 @@ def test_pipeline_stages(spark, sf, documents):
         count[r[0]] += 1
         assert want[r[0]] == r[1]
     assert max(count.values()) <= 2 and all(abs(taken[s] - target[s]) <= longest[s] / 2 + 1 for s in sizes)
+    more = docs.withColumns({"row": F.lit(1), "size": F.lit("s"), "key": F.lit(2.5)})  # columns that operators have too
+    assert all(f(spark, more.limit(40), sf).columns == more.columns for f in stages[:4])
     for r in stages[4](spark, mix, sf).collect():
         assert r.ids == library.encode(want[r.doc_id]) and r.decoded_sha256 == brute.sha(library.decode(r.ids))
 
