@@ -268,6 +268,36 @@ def test_chunks_of_any_text(file, text):
     assert c.counts([text.encode()]) == [len(c.tokenizer.encode(text, add_special_tokens=False).ids)]
 
 
+@pytest.mark.parametrize("file", TOKENIZERS)
+def test_units_and_whole_texts_agree(file, documents):
+    """What is remembered of units is what the library gives whole texts, also when there is no room to remember."""
+    texts = [t.encode() for t in [*odd_texts()[1:], *documents.text[:60]] if len(t) < 60_000] + [None, b"\xff a\xfe", b"x" * 900 + b" y"]
+    for memory in (64 << 20, 2000, 0):
+        c = token_counts.Counter(public_tokenizers.path(file), memory=memory)
+        assert c.apart == (file == TOKENIZERS[0])
+        want = [len(c.tokenizer.encode((t or b"").decode("utf-8", "replace"), add_special_tokens=False).ids) for t in texts]
+        assert c.counts(texts) == want and c.counts(texts[::-1]) == want[::-1]
+        assert c.held <= memory
+
+
+@given(st.text(alphabet=st.sampled_from("ab  \n\t'sé语1.\u0301\u3000\x85\x1cΣİ<|>"), max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_units_of_any_text(text):
+    c = token_counts.counter(public_tokenizers.path(TOKENIZERS[0]))
+    assert c.counts([text.encode()]) == [len(c.tokenizer.encode(text, add_special_tokens=False).ids)]
+
+
+def test_only_tokenizers_that_drop_space_have_units():
+    import json
+
+    from tokenizers import Tokenizer
+
+    good = json.loads(Tokenizer.from_file(public_tokenizers.path(TOKENIZERS[0])).to_str())
+    assert token_counts.drops_space(good)
+    for change in ({"normalizer": {"type": "Strip"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"added_tokens": [good["added_tokens"][0] | {"lstrip": True}]}):
+        assert not token_counts.drops_space(good | change)
+
+
 def test_long_texts_are_not_encoded_whole(documents):
     """Chunks stay of their size where words let them be spliced."""
     c = token_counts.Counter(public_tokenizers.path(TOKENIZERS[1]), 1000, 100)
