@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import accounting, codec
 from .functions.exact import Duck, laplace, order_key, rounded
-from .model import checked, sample_size
+from .model import advanced, checked, requests_checked, sample_size, started
 from .operators import aggregate, learn, privacy, sampling, shaping, similarity
 from .plans.rounds import timed
 from .sources import fixtures as fx
@@ -249,10 +249,35 @@ def sample_clients(spark, sf):
     return sampling.sampled_clients(fx.sparse_updates(spark, sf).select("client_id").distinct(), sample_size(100, 0.3), "s")
 
 
-@query(f"WITH {S.F3} SELECT round, client_id FROM (SELECT *, row_number() OVER (PARTITION BY round ORDER BY {Duck.order_key('s', 'round', 'client_id')}, client_id) AS r FROM (SELECT DISTINCT round, client_id FROM f3)) WHERE r <= 5")
+@query(f"""WITH {S.F3}, l AS (SELECT max(round) AS last FROM f3), n AS (SELECT count(DISTINCT client_id) AS n FROM f3, l WHERE round = last)
+SELECT last + 1 AS round, client_id FROM (SELECT client_id, row_number() OVER (ORDER BY {Duck.order_key('s', 'client_id')}, client_id) AS r FROM (SELECT DISTINCT client_id FROM f3)), l, n WHERE r <= n""")
 def round_roster_next(spark, sf):
-    r = fx.rounds(spark, sf).select("round", "client_id").distinct()
-    return sampling.sampled_clients(r, 5, "s", ("round",)).select(F.col("round").cast("long").alias("round"), "client_id")
+    """The roster of the round after the last: as many clients as sent the last one."""
+    r = fx.rounds(spark, sf).select(F.col("round").cast("long").alias("round"), "client_id")
+    return sampling.next_roster(r.select("client_id").distinct(), r, "s")
+
+
+# One request for each way that a request can be wrong, and what it is told.
+_WRONG = ("ok", "unknown_job", "late_round", "early_round", "algorithm_mismatch", "size_mismatch", "batch_too_large", "roster_mismatch", "payload_mismatch")
+
+
+@query(f"""WITH c AS (SELECT c_nationkey::BIGINT AS fl_id, list_sort(list(c_custkey)) AS client_ids FROM customer GROUP BY 1)
+SELECT fl_id, (ARRAY{list(_WRONG)})[fl_id % {len(_WRONG)} + 1] AS status, CASE WHEN fl_id % {len(_WRONG)} = 1 THEN NULL WHEN fl_id % {len(_WRONG)} = 0 THEN 4 ELSE 3 END::INT AS next_round FROM c""")
+def request_checks(spark, sf):
+    """Jobs started twice (the second start counts), a request of each kind to them, and the round that each job is in then."""
+    c = fx.table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("fl_id")).agg(F.array_sort(F.collect_list("c_custkey")).alias("client_ids"))
+    kind = F.col("fl_id") % len(_WRONG)
+    starts = c.where(kind != 1).select("fl_id", "client_ids", F.lit(10).cast("long").alias("num_of_parameters"), F.lit(2).cast("long").alias("num_of_sparse_parameters"), F.lit(4).alias("aggregation_alg"), F.lit(2).alias("order"))
+    old = starts.select("fl_id", F.array(F.lit(1).cast("long")).alias("client_ids"), F.lit(5).cast("long").alias("num_of_parameters"), F.lit(1).cast("long").alias("num_of_sparse_parameters"), F.lit(1).alias("aggregation_alg"), F.lit(1).alias("order"))
+    jobs = started(None, old.unionByName(starts), "order").withColumn("round", F.lit(3))
+    ids = F.when(kind == 7, F.slice("client_ids", 1, F.size("client_ids") - 1)).otherwise(F.col("client_ids"))
+    asked = c.select(
+        "fl_id", F.when(kind == 2, 2).when(kind == 3, 4).otherwise(3).alias("round"), ids.alias("client_ids"), F.when(kind == 5, 11).otherwise(10).cast("long").alias("num_of_parameters"), F.lit(2).cast("long").alias("num_of_sparse_parameters"),
+        F.when(kind == 4, 1).otherwise(4).alias("aggregation_alg"), F.when(kind == 6, F.size(ids) + 1).otherwise(1).cast("long").alias("optimal_num_of_clients"), (F.size(ids) * 16 - F.when(kind == 8, 1).otherwise(0)).alias("bytes"),
+    )
+    seen = requests_checked(asked, jobs)
+    after = advanced(jobs, seen).select(F.col("fl_id").alias("j"), F.col("round").alias("next_round"))
+    return seen.join(after, F.col("fl_id") == F.col("j"), "left").select("fl_id", "status", "next_round")
 
 
 def _rank(seed: str) -> str:
@@ -288,6 +313,18 @@ def stratified_split(spark, sf):
     return sampling.stratified_split(fx.examples(spark, sf), 0.2, "spl").select("label", "example_id", "part")
 
 
+@query(f"""WITH {S.F4}, n AS (SELECT *, {_in_label('pur')} AS r, count(*) OVER (PARTITION BY label) AS n, count(*) OVER () AS total FROM f4),
+b AS (SELECT *, floor(n * 200.0::DOUBLE / total + 0.5) AS a, floor(n * 200.0::DOUBLE / total + 0.5) + floor(n * 100.0::DOUBLE / total + 0.5) AS z FROM n),
+t AS (SELECT *, row_number() OVER (ORDER BY {Duck.order_key('purt', 'example_id')}, example_id) AS place FROM b WHERE r > a AND r <= z)
+SELECT 'train' AS part, example_id, label FROM b WHERE r <= a UNION ALL SELECT 'test', example_id, label FROM t WHERE place <= 60""")
+def prepared_split(spark, sf):
+    """Written once, read back with less of the test part, in its order."""
+    folder = stream.shared_folder(spark)
+    for size in (200, 10):  # the second finds it there
+        sampling.prepared(fx.examples(spark, sf).select("example_id", "label"), size, 0.5, folder, "pur")
+    return sampling.loaded(spark, folder, 200, 0.3)
+
+
 @query(f"WITH {S.F4} SELECT label, example_id, (row_number() OVER (PARTITION BY label ORDER BY {Duck.order_key('mb', 'example_id')}, example_id) - 1) // 16 AS batch_no FROM f4")
 def minibatches(spark, sf):
     return sampling.minibatches(fx.examples(spark, sf), 16, "mb", ("label",)).select("label", "example_id", "batch_no")
@@ -635,11 +672,11 @@ def encrypt_ctr(spark, sf):
     return _payloads(spark, sf).select("client_id", F.hex(codec.crypted("payload", F.col("client_id"))).alias("payload"))
 
 
-@query(f"WITH {S.F1} SELECT client_id, idx, CASE WHEN idx % 3 = 0 THEN 0 ELSE value END AS value, {D * 4}::BIGINT AS bytes FROM f1")
+@query(f"WITH {S.F1} SELECT client_id, idx, CASE WHEN idx % 3 = 0 THEN 0 ELSE value END AS value, {D * 8}::BIGINT AS bytes FROM f1")
 def dense_round_trip(spark, sf):
     """Dense vectors to bytes and back; what a client didn't send is 0."""
     sent = codec.encoded_dense(fx.dense_updates(spark, sf).where("idx % 3 <> 0"), D, ("client_id",))
-    return codec.decoded_dense(sent, ("client_id",)).join(sent.select("client_id", F.length("payload").cast("long").alias("bytes")), "client_id")
+    return codec.decoded(sent, ("client_id",)).join(sent.select("client_id", F.length("payload").cast("long").alias("bytes")), "client_id")
 
 
 @query(f"WITH {_CELLS} SELECT client_id, idx, value FROM cells")
@@ -714,6 +751,31 @@ def nn_attack_labels(spark, sf):
     return similarity.top_labels(learn.attack_scores(target, teacher, D, 10), 2)
 
 
+@query()
+def nn_attack_single_model(spark, sf):
+    """One network over all rounds side by side."""
+    target, teacher, _ = fx.attack_tables(spark, sf)
+    return similarity.top_labels(learn.attack_scores(target, teacher, D, 10, rounds=3, mode="single"), 2)
+
+
+@query()
+def nn_attack_by_prefix(spark, sf):
+    """A network for the rounds up to each."""
+    target, teacher, _ = fx.attack_tables(spark, sf)
+    return similarity.top_labels(learn.attack_scores(target, teacher, D, 10, rounds=3, mode="prefixes"), 1, ("client_id", "upto"))
+
+
+@query(f"""WITH {S.F5}, b AS (SELECT label, round, count(DISTINCT idx % 3) AS n FROM teacher GROUP BY ALL)
+SELECT t.label, t.round, t.idx % 3 AS batch_no, count(*) AS cells FROM teacher t JOIN (SELECT label, round, max(idx % 3) AS m FROM teacher GROUP BY ALL) x USING (label)
+WHERE true GROUP BY t.label, t.round, t.idx % 3 HAVING t.idx % 3 <= min(x.m)""")
+def batches_side_by_side(spark, sf):
+    """Of each label the batches that every round has."""
+    _, teacher, _ = fx.attack_tables(spark, sf)
+    rounds_ = teacher.select("label", "round").distinct().groupBy("label").agg(F.count("*").alias("times"))
+    out = shaping.one_batch_apart(teacher.withColumn("batch_no", F.col("idx") % 3))
+    return out.join(rounds_, "label").groupBy("label", "round", "batch_no").agg((F.count("*") * F.max("times")).alias("cells"))
+
+
 @query(f"SELECT * FROM (VALUES ('non_oblivious', {D}::BIGINT, 1::BIGINT), ('optimized', {D}, 1), ('baseline', {D}, 1)) t(algorithm, num_of_parameters, trials)")
 def aggregation_times(spark, sf):
     u = shaping.top_k(fx.dense_updates(spark, sf), K)

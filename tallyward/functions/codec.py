@@ -86,29 +86,16 @@ def pack_cells(cells: pa.Array) -> pa.Array:
     return _binary(np.frombuffer(out.tobytes(), np.uint8), sizes * CELL, null)
 
 
-@F.arrow_udf(BinaryType())
-def pack_dense(values: pa.Array) -> pa.Array:
-    """array<float> to little-endian 32-bit floats end to end, over a whole batch."""
-    null = values.is_null().to_numpy(zero_copy_only=False)
-    sizes = np.where(null, 0, pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False))
-    return _binary(np.frombuffer(values.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes(), np.uint8), sizes * 4, null)
-
-
 def encoded_dense(updates: DataFrame, d: int, keys: tuple[str, ...] = ("fl_id", "round", "client_id")) -> DataFrame:
-    """(keys, payload): the dense vector of each client, d floats in the order of the index, 0 where it sent nothing."""
+    """(keys, payload): the dense vector of each client as d cells of index and value in order, 0 where it sent nothing;
+    repeated cells add up. decoded() reads it."""
     cells = updates.where((F.col("idx") >= 0) & (F.col("idx") < d)).groupBy(*keys, "idx").agg(F.sum("value").alias("value"))
     sparse = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", F.col("value").cast("float").alias("value")))).alias("c"))
-    ends = F.arrays_zip(F.concat(F.array(F.lit(-1).cast("long")), F.transform("c", lambda x: x["idx"])).alias("a"), F.concat(F.transform("c", lambda x: x["idx"]), F.array(F.lit(d).cast("long"))).alias("b"), F.concat(F.transform("c", lambda x: x["value"]), F.array(F.lit(0.0).cast("float"))).alias("v"))
-    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n.cast("int"))
-    runs = F.transform(ends, lambda p: F.concat(zeros(p["b"] - p["a"] - 1), F.array(p["v"])))
-    return sparse.select(*keys, pack_dense(F.slice(F.flatten(runs), 1, d)).alias("payload"))
-
-
-def decoded_dense(payloads: DataFrame, keys: tuple[str, ...] = ("fl_id", "round", "client_id")) -> DataFrame:
-    """(keys, idx, value) from dense bytes, with built-in functions only; a torn last float is left out."""
-    n = F.floor(F.length("payload") / F.lit(4)).cast("int")
-    cells = payloads.where(n > 0).select(*keys, F.hex("payload").alias("_h"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
-    return cells.select(*keys, F.col("_i").cast("long").alias("idx"), float_of(_u32(F.substr("_h", F.col("_i") * 8 + 1, F.lit(8)))).alias("value"))
+    at, zero = F.transform("c", lambda x: x["idx"]), F.lit(0.0).cast("float")
+    ends = F.arrays_zip(F.concat(F.array(F.lit(-1).cast("long")), at).alias("a"), F.concat(at, F.array(F.lit(d).cast("long"))).alias("b"), F.concat(F.transform("c", lambda x: x["value"]), F.array(zero)).alias("v"))
+    runs = F.transform(ends, lambda p: F.concat(F.array_repeat(zero, (p["b"] - p["a"] - 1).cast("int")), F.array(p["v"])))
+    whole = F.transform(F.slice(F.flatten(runs), 1, d), lambda v, i: F.struct(i.cast("long").alias("idx"), v.alias("value")))
+    return sparse.select(*keys, pack_cells(whole).alias("payload"))
 
 
 def encoded(updates: DataFrame, keys: tuple[str, ...] = ("fl_id", "round", "client_id"), order: str = "idx") -> DataFrame:

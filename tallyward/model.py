@@ -106,3 +106,44 @@ def same_clients(uploads: DataFrame, roster: DataFrame) -> bool:
     """Exact equality of both sets of clients (lengths and one direction alone would let duplicates through)."""
     a, b = uploads.select("client_id").distinct(), roster.select("client_id").distinct()
     return a.join(b, "client_id", "full_outer").count() == a.join(b, "client_id").count()
+
+
+JOB = ("client_ids", "num_of_parameters", "num_of_sparse_parameters", "aggregation_alg")
+
+
+def started(jobs: DataFrame | None, starts: DataFrame, order: str) -> DataFrame:
+    """(fl_id, round, what a start says): jobs after start requests. The last start of a job by ``order`` replaces
+    what was known of it and begins with round 0; other jobs stay as they are."""
+    last = starts.groupBy("fl_id").agg(F.max_by(F.struct(*JOB), order).alias("job")).select("fl_id", F.lit(0).alias("round"), "job.*")
+    if jobs is None:
+        return last
+    return jobs.join(last.select("fl_id"), "fl_id", "left_anti").select("fl_id", "round", *JOB).unionByName(last)
+
+
+def requests_checked(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Adds status to aggregation requests: ok, or the first rule that one breaks. Nothing stops the job.
+
+    requests: what AGGREGATE has, with the payload's length as bytes: 8 for each of a client's sparse cells.
+    """
+    j = jobs.select(*[F.col(c).alias(f"_{c}") for c in ("fl_id", "round", *JOB)])
+    out = requests.join(j, F.col("fl_id") == F.col("_fl_id"), "left")
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    status = (
+        F.when(F.col("_fl_id").isNull(), "unknown_job")
+        .when(F.col("round") < F.col("_round"), "late_round")
+        .when(F.col("round") > F.col("_round"), "early_round")
+        .when(differs("aggregation_alg"), "algorithm_mismatch")
+        .when(differs("num_of_parameters") | differs("num_of_sparse_parameters"), "size_mismatch")
+        .when(F.col("optimal_num_of_clients") > F.size("client_ids"), "batch_too_large")
+        .when(~F.array_sort("client_ids").eqNullSafe(F.array_sort("_client_ids")), "roster_mismatch")
+        .when(F.col("bytes") != F.size("client_ids") * F.col("num_of_sparse_parameters") * 8, "payload_mismatch")
+        .otherwise("ok")
+    )
+    return out.withColumn("status", status).select(*requests.columns, "status")
+
+
+def advanced(jobs: DataFrame, seen: DataFrame) -> DataFrame:
+    """Jobs with the next round where a request of theirs was ok."""
+    done = seen.where("status = 'ok'").select(F.col("fl_id").alias("_done")).distinct()
+    out = jobs.join(done, F.col("fl_id") == F.col("_done"), "left")
+    return out.withColumn("round", F.col("round") + F.when(F.col("_done").isNotNull(), 1).otherwise(0)).drop("_done")

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 
 class Mlp:
-    """One hidden layer with relu and log-softmax; parameters as one flat vector."""
+    """Hidden layers with relu, then log-softmax; parameters as one flat vector. hidden: the size of one layer, or of each."""
 
-    def __init__(self, inputs: int, hidden: int, classes: int, flat: np.ndarray | None = None, seed: int = 0):
-        self.shapes = [(inputs, hidden), (hidden,), (hidden, classes), (classes,)]
+    def __init__(self, inputs: int, hidden: int | tuple[int, ...], classes: int, flat: np.ndarray | None = None, seed: int = 0):
+        sizes = [inputs, *((hidden,) if isinstance(hidden, int) else hidden), classes]
+        self.shapes = [s for a, b in zip(sizes, sizes[1:]) for s in ((a, b), (b,))]
         self.size = sum(int(np.prod(s)) for s in self.shapes)
         if flat is None:
             rng = np.random.default_rng(seed)
@@ -27,20 +28,32 @@ class Mlp:
             at += n
         return out
 
+    def _layers(self, x: np.ndarray) -> list[np.ndarray]:
+        """What goes into each layer, and what comes out of the last."""
+        parts, out = self.parts(), [x]
+        for i in range(0, len(parts), 2):
+            z = out[-1] @ parts[i] + parts[i + 1]
+            out.append(np.maximum(z, 0) if i + 2 < len(parts) else z)
+        return out
+
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
-        w1, b1, w2, b2 = self.parts()
-        z = np.maximum(x @ w1 + b1, 0) @ w2 + b2
+        z = self._layers(x)[-1]
         z = z - z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        w1, b1, w2, b2 = self.parts()
-        h = np.maximum(x @ w1 + b1, 0)
-        g = np.exp(self.log_probabilities(x))
+        parts, layers = self.parts(), self._layers(x)
+        z = layers[-1] - layers[-1].max(axis=1, keepdims=True)
+        g = np.exp(z)
+        g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(y)), y] -= 1
         g /= max(1, len(y))
-        back = (g @ w2.T) * (h > 0)
-        return np.concatenate([a.ravel() for a in (x.T @ back, back.sum(0), h.T @ g, g.sum(0))])
+        out = []
+        for i in range(len(parts) - 2, -1, -2):
+            into = layers[i // 2]
+            out = [(into.T @ g).ravel(), g.sum(0), *out]
+            g = (g @ parts[i].T) * (into > 0)
+        return np.concatenate(out)
 
     def trained(self, x, y, epochs: int, rate: float, batch: int, momentum: float = 0.5, seed: int = 0) -> Mlp:
         rng, speed = np.random.default_rng(seed), np.zeros(self.size)
@@ -98,27 +111,48 @@ def quality(predicted: DataFrame) -> DataFrame:
     return predicted.agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"), F.sum("loss").alias("loss"))
 
 
-def attack_scores(target: DataFrame, teacher: DataFrame, d: int, classes: int, hidden: int = 32, epochs: int = 50, rate: float = 0.2, seed: int = 0) -> DataFrame:
-    """(client_id, label, score): summed log-probabilities of a network trained on each round's teacher index sets.
+def attack_scores(target: DataFrame, teacher: DataFrame, d: int, classes: int, hidden: int = 32, epochs: int = 50, rate: float = 0.2, seed: int = 0, rounds: int | None = None, mode: str = "rounds") -> DataFrame:
+    """(client_id[, upto], label, score): log-probabilities of networks trained on the teacher's index sets.
 
-    Target and teacher sets of a round meet in one task, which holds as many multi-hot rows as the round has sets.
+    mode: "rounds" trains one network for each round and adds up what they say of a client; "single" trains one on all rounds
+    side by side (index + round * d), where a round that a client missed is zeros; "prefixes" does that for the rounds
+    up to each. The teacher may have batches (batch_no), each an example; side by side stand only those that every round has.
+    Sets that train together meet in one task, which holds as many multi-hot rows, d wide for each round that counts.
     """
-    sets = teacher.groupBy("round", "label").agg(F.array_sort(F.collect_set("idx")).alias("s")).select("round", F.col("label").alias("id"), "s")
-    asked = target.groupBy("round", "client_id").agg(F.array_sort(F.collect_set("idx")).alias("s")).select("round", F.col("client_id").alias("id"), "s")
-
-    def hot(rows) -> np.ndarray:
-        x = np.zeros((len(rows), d))
+    from . import shaping
+
+    if mode not in ("rounds", "single", "prefixes"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode != "rounds" and rounds is None:
+        raise ValueError("the number of rounds is needed")
+    if "batch_no" not in teacher.columns:
+        teacher = teacher.withColumn("batch_no", F.lit(0))
+    if mode == "rounds":
+        group, width = "round", (lambda key: d)
+    else:
+        known = F.col("round") < rounds
+        teacher, target = shaping.one_batch_apart(teacher.where(known)), target.where(known)
+        upto = F.lit(rounds - 1) if mode == "single" else F.explode(F.sequence(F.col("round").cast("int"), F.lit(rounds - 1)))
+        beside = lambda df: df.withColumn("upto", upto).withColumn("idx", F.col("idx") + F.col("round").cast("long") * d)
+        teacher, target, group, width = beside(teacher), beside(target), "upto", (lambda key: d * (key + 1))
+    sets = teacher.groupBy(group, "label", "batch_no").agg(F.array_sort(F.collect_set("idx")).alias("s")).select(F.col(group).cast("long").alias("g"), F.col("label").alias("id"), "batch_no", "s")
+    asked = target.groupBy(group, "client_id").agg(F.array_sort(F.collect_set("idx")).alias("s")).select(F.col(group).cast("long").alias("g"), F.col("client_id").alias("id"), "s")
+
+    def hot(rows, n: int) -> np.ndarray:
+        x = np.zeros((len(rows), n))
         for i, s in enumerate(rows):
             x[i, np.asarray(s, int)] = 1
         return x
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"client_id": [], "label": [], "score": []})
-        left, right = left.sort_values("id"), right.sort_values("id")
-        model = Mlp(d, hidden, classes, seed=seed).trained(hot(left["s"]), left["id"].to_numpy().astype(int), epochs, rate, 32, seed=seed)
-        lp = model.log_probabilities(hot(right["s"]))
-        return pd.DataFrame({"client_id": np.repeat(right["id"].to_numpy(), classes), "label": np.tile(np.arange(classes), len(right)), "score": lp.ravel()})
-
-    out = sets.groupBy("round").cogroup(asked.groupBy("round")).applyInPandas(run, "client_id long, label long, score double")
+            return pd.DataFrame({"g": [], "client_id": [], "label": [], "score": []})
+        left, right, n = left.sort_values(["id", "batch_no"]), right.sort_values("id"), width(int(key[0]))
+        model = Mlp(n, hidden, classes, seed=seed).trained(hot(left["s"], n), left["id"].to_numpy().astype(int), epochs, rate, 32, seed=seed)
+        lp = model.log_probabilities(hot(right["s"], n))
+        return pd.DataFrame({"g": int(key[0]), "client_id": np.repeat(right["id"].to_numpy(), classes), "label": np.tile(np.arange(classes), len(right)), "score": lp.ravel()})
+
+    out = sets.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(run, "g long, client_id long, label long, score double")
+    if mode == "prefixes":
+        return out.withColumnRenamed("g", "upto")
     return out.groupBy("client_id", "label").agg(F.sum("score").alias("score"))

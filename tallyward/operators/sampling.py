@@ -47,6 +47,35 @@ def sampled_clients(clients: DataFrame, size: int, seed, keys: tuple[str, ...] =
     return clients.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r")
 
 
+def next_roster(clients: DataFrame, uploads: DataFrame, seed) -> DataFrame:
+    """(round, client_id) of the round after the last one uploaded: as many clients as sent that one."""
+    last = uploads.agg(F.max("round")).first()[0]
+    if last is None:
+        return clients.limit(0).select(F.lit(0).cast("long").alias("round"), "client_id")
+    size = uploads.where(F.col("round") == last).agg(F.count_distinct("client_id")).first()[0]
+    return sampled_clients(clients, size, seed).select(F.lit(last + 1).cast("long").alias("round"), "client_id")
+
+
+def prepared(examples: DataFrame, size: int, ratio: float, folder: str, seed) -> None:
+    """Writes a train part of about size examples and a test part of int(ratio * size), stratified and disjoint, with the
+    test part's random order; does nothing if the folder has them."""
+    n = examples.groupBy(F.col("label").alias("_l")).agg(F.count("*").alias("_n"))
+    total = examples.count()
+    if total < (1 + ratio) * size:
+        raise ValueError("too few examples")
+    part = lambda k: F.floor(F.col("_n") * F.lit(float(k)) / total + 0.5)
+    rows = ranked(examples, seed, "example_id", keys=("label",)).join(n, F.col("label").eqNullSafe(F.col("_l")))
+    rows = rows.withColumn("part", F.when(F.col("rn") <= part(size), "train").when(F.col("rn") <= part(size) + part(int(ratio * size)), "test")).where("part is not null").drop("rn", "_l", "_n")
+    test = ranked(rows.where("part = 'test'"), f"{seed}t", "example_id").withColumnRenamed("rn", "place")
+    rows.where("part = 'train'").withColumn("place", F.lit(0).cast("long")).unionByName(test).write.mode("ignore").partitionBy("part").parquet(folder)
+
+
+def loaded(spark, folder: str, size: int, ratio: float) -> DataFrame:
+    """(part, example_id, label): what is there, of the test part the first int(ratio * size) in its order."""
+    rows = spark.read.parquet(folder)
+    return rows.where((F.col("part") == "train") | (F.col("place") <= int(ratio * size))).select("part", "example_id", "label")
+
+
 def fraction_of_clients(clients: DataFrame, fraction: float, seed, total: int) -> DataFrame:
     """At least one client, else the truncated fraction."""
     return sampled_clients(clients, max(int(fraction * total), 1), seed)

@@ -79,17 +79,18 @@ def cumulative(observations: DataFrame, rounds: int) -> DataFrame:
     return observations.withColumn("upto", F.explode(F.sequence(F.col("round").cast("int"), F.lit(rounds - 1))))
 
 
-def infer(target: DataFrame, teacher: DataFrame, method: str = "jaccard", labels: int | None = None, d: int = 0, classes: int = 0) -> tuple[DataFrame, DataFrame]:
+def infer(target: DataFrame, teacher: DataFrame, method: str = "jaccard", labels: int | None = None, d: int = 0, classes: int = 0, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(labels, top label) of each client that has observations.
 
-    method: jaccard, or nn for a network trained on each round; labels: how many, or None for the upper of two clusters.
+    method: jaccard, nn for a network trained on each round, or nn_single for one over all rounds; labels: how many, or
+    None for the upper of two clusters.
     """
     if method == "jaccard":
         scores = jaccard(target, teacher)
-    elif method == "nn":
+    elif method in ("nn", "nn_single"):
         from .learn import attack_scores
 
-        scores = attack_scores(target, teacher, d, classes)
+        scores = attack_scores(target, teacher, d, classes, rounds=rounds, mode="rounds" if method == "nn" else "single")
     else:
         raise ValueError(f"unknown method {method!r}")
     chosen = top_labels(scores, labels).select("client_id", "label") if labels else upper_cluster(scores)

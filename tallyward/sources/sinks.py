@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BENCH = ("algorithm", "num_of_parameters", "num_of_sparse_parameters", "num_of_clients", "load_s", "decryption_s", "aggregation_s", "total_s")
-ATTACK = ("dataset", "epochs", "frac", "num_users", "num_of_label_k", "random_num_label", "model", "alpha", "attack", "fixed_inference_number", "single_model", "attacker_batch_size", "seed", "protection", "index_privacy_r", "dp", "epsilon", "delta", "acc_all", "acc_top1", "missing_labels", "num")
+# The columns of each kind of attack result. Counts change places between kinds, so rows go by name.
+_SETTING = ("dataset", "epochs", "frac", "num_users", "num_of_label_k", "random_num_label", "model", "alpha", "attack", "fixed_inference_number", "single_model", "attacker_batch_size", "seed")
+_NOISY = ("protection", "index_privacy_r", "dp", "epsilon", "delta")
+ATTACK_KINDS = {
+    "plain": (*_SETTING, "acc_all", "acc_top1", "num", "missing_labels"),
+    "per_round": (*_SETTING, "acc_all", "acc_top1", "num", "missing_labels", "round"),
+    "protected": (*_SETTING, *_NOISY, "acc_all", "acc_top1", "missing_labels", "num"),
+}
+ATTACK = ATTACK_KINDS["protected"]
 UTILITY = ("dataset", "epochs", "num_users", "model", "seed", "accuracy", "losses")
 TIMING = ("dataset", "num_users", "alpha", "algorithm", "optimal_num_of_clients", "execution_time")
 METRICS = ("run", "step", "name", "value")
@@ -27,6 +35,14 @@ def write_results(df: DataFrame, path: str, columns: tuple[str, ...], append: bo
     (writer.option("header", True).csv if kind == "csv" else writer.parquet)(path)
 
 
+def write_run(history: DataFrame, path: str, settings: dict) -> None:
+    """A run's history (epoch, accuracy, loss, epsilon) with its settings beside every row, as a single JSON text."""
+    import json
+
+    out = shaped(history, ("epoch", "accuracy", "loss", "epsilon"))
+    out.withColumn("settings", F.lit(json.dumps(settings, sort_keys=True, default=str))).write.mode("overwrite").parquet(path)
+
+
 def bench_path(folder: str, algorithm: str, d: int, k: int, n: int, stamp: str, batch: int | None = None) -> str:
     return f"{folder}/{algorithm}{f'-{batch}' if batch is not None else ''}-{d}-{k}-{n}-{stamp}"
 
