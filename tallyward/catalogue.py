@@ -5,6 +5,7 @@ Sums are taken in whole millionths and transcendental results rounded to six dec
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -734,15 +735,31 @@ def local_update_mlp(spark, sf):
     return learn.local_updates(fx.examples(spark, sf), None, 64, 8, 10)
 
 
-@query()
+_WAVE = [0.2 * math.sin(0.7 * i) for i in range(64 * 8 + 8 + 8 * 10 + 10)]
+#: One hidden layer of 8 over 64 features and 10 classes, a join for each layer; w(i) is the i-th parameter.
+_NETWORK = """w AS (SELECT i, 0.2::DOUBLE * sin(0.7::DOUBLE * i) AS w FROM (SELECT unnest(range(610)) AS i)),
+x AS (SELECT vec_id AS id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(64)) AS i)),
+hid AS (SELECT id, j, greatest(sum(x * w.w) + any_value(b.w), 0) AS h FROM x, (SELECT unnest(range(8)) AS j) j JOIN w b ON b.i = 512 + j JOIN w ON w.i = x.i * 8 + j GROUP BY id, j),
+z AS (SELECT id, c, sum(h * w.w) + any_value(b.w) AS z FROM hid, (SELECT unnest(range(10)) AS c) c JOIN w b ON b.i = 600 + c JOIN w ON w.i = 520 + j * 10 + c GROUP BY id, c),
+s AS (SELECT id, max(z) AS m, ln(sum(exp(z - m0))) + max(m0) AS l FROM (SELECT *, max(z) OVER (PARTITION BY id) AS m0 FROM z) GROUP BY id),
+lp AS (SELECT z.id, c, z - l AS lp, label::BIGINT AS label, z.id % 50 AS client_id FROM z JOIN s USING (id) JOIN embeddings e ON e.vec_id = z.id)"""
+
+
+@query(f"""WITH {_NETWORK}, n AS (SELECT vec_id % 50 AS client_id, count(*) AS n FROM embeddings GROUP BY 1),
+g AS (SELECT id, client_id, c, (exp(lp) - CASE WHEN c = label THEN 1 ELSE 0 END) / n AS g FROM lp JOIN n USING (client_id)),
+back AS (SELECT g.id, g.client_id, j, sum(g * w.w) * CASE WHEN any_value(h) > 0 THEN 1 ELSE 0 END AS back FROM g JOIN hid USING (id) JOIN w ON w.i = 520 + j * 10 + c GROUP BY g.id, g.client_id, j),
+parts AS (SELECT client_id, 600 + c AS idx, sum(g) AS value FROM g GROUP BY ALL UNION ALL SELECT client_id, 520 + j * 10 + c, sum(h * g) FROM g JOIN hid USING (id) GROUP BY ALL
+  UNION ALL SELECT client_id, 512 + j, sum(back) FROM back GROUP BY ALL UNION ALL SELECT client_id, x.i * 8 + j, sum(x * back) FROM back JOIN x USING (id) GROUP BY ALL)
+SELECT client_id, idx, {Duck.rounded('value')} AS value FROM parts""")
 def local_full_gradient(spark, sf):
-    return learn.full_gradients(fx.examples(spark, sf), None, 64, 8, 10)
+    return learn.full_gradients(fx.examples(spark, sf), _WAVE, 64, 8, 10).withColumn("value", rounded("value"))
 
 
-@query()
+@query(f"""WITH {_NETWORK}, t AS (SELECT id, label, arg_max(c, lp) AS predicted, -max(lp) FILTER (c = label) AS loss FROM lp GROUP BY id, label)
+SELECT {Duck.rounded('avg((predicted = label)::INT::DOUBLE)')} AS accuracy, {Duck.rounded('sum(loss)')} AS loss FROM t""")
 def nn_inference(spark, sf):
-    base = learn.Mlp(64, 8, 10).flat.tolist()
-    return learn.quality(learn.predictions(fx.examples(spark, sf), base, 64, 8, 10))
+    out = learn.quality(learn.predictions(fx.examples(spark, sf), _WAVE, 64, 8, 10))
+    return out.select(rounded("accuracy").alias("accuracy"), rounded("loss").alias("loss"))
 
 
 @query()
