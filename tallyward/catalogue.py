@@ -807,12 +807,11 @@ def seeded_order(spark, sf):
 _CLIPPED = f"{S.F1}, q AS (SELECT *, {_SQUARE} AS q FROM f1), cl AS (SELECT idx, value * CASE WHEN q = 0 THEN 1 ELSE least(1.0::DOUBLE, 0.5::DOUBLE / sqrt(q)) END AS value FROM q)"
 
 
-@query(f"WITH m AS ({_mean_sql(_CLIPPED, 'cl', str(D), DENSE_N)}) SELECT idx, {Duck.rounded(f'value + {1.12 * 0.5 / 500!r}::DOUBLE * {_NOISE}')} AS value FROM m")
+@query(f"WITH m AS ({_mean_sql(_CLIPPED, 'cl', str(D), DENSE_N)}) SELECT idx, {Duck.rounded(f'value + {1.12 * 0.5!r}::DOUBLE / {DENSE_N}::DOUBLE * {_NOISE}')} AS value FROM m")
 def client_level_dp_mean(spark, sf):
-    """Clip each client, average, add noise for 500 clients."""
-    u = fx.dense_updates(spark, sf)
-    m = aggregate.mean(shaping.clipped(u, 0.5), fx.table(spark, sf, "embeddings").count(), D, exact=True)
-    return privacy.gaussian(m, 1.12, 0.5, 500, "dp").select("idx", rounded("value").alias("value"))
+    """Clip each client, average, add noise for all of them."""
+    n = fx.table(spark, sf, "embeddings").count()
+    return privacy.client_level_mean(fx.dense_updates(spark, sf), n, D, 1.12, 0.5, "dp", exact=True).select("idx", rounded("value").alias("value"))
 
 
 @query(f"WITH {S.F1}, w AS (SELECT a.idx, a.value + b.value * (-0.1::DOUBLE * 3.0::DOUBLE) AS value FROM f1 a JOIN f1 b USING (idx) WHERE a.client_id = 0 AND b.client_id = 1), n AS (SELECT sqrt(sum({Duck.micro('value * value')})::BIGINT / 1e6::DOUBLE) AS n FROM w) SELECT idx, {Duck.rounded('value / greatest(1.0::DOUBLE, n) * 2.0::DOUBLE')} AS value FROM w, n")

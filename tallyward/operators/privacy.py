@@ -15,12 +15,12 @@ def gaussian(vector: DataFrame, sigma: float, clipping: float, n: int, seed) ->
     return vector.withColumn("value", F.col("value") + F.lit(clipping * sigma / n) * normal(seed, "idx"))
 
 
-def client_level_mean(updates: DataFrame, n: int, d: int, sigma: float, clipping: float, seed) -> DataFrame:
+def client_level_mean(updates: DataFrame, n: int, d: int, sigma: float, clipping: float, seed, exact: bool = False) -> DataFrame:
     """(sum of clipped updates + noise) / n."""
     from .aggregate import mean
     from .shaping import clipped
 
-    return gaussian(mean(clipped(updates, clipping), n, d), sigma, clipping, n, seed)
+    return gaussian(mean(clipped(updates, clipping), n, d, exact=exact), sigma, clipping, n, seed)
 
 
 def laplace_threshold(d: int, k: int, epsilon: float, delta: float) -> tuple[float, float]:

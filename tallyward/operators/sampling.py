@@ -209,3 +209,20 @@ def noniid(examples: DataFrame, clients: int, labels_each: int, seed: int, vary:
 def label_sets(owned: DataFrame) -> DataFrame:
     """(client_id, labels)."""
     return owned.groupBy("client_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+
+
+def federated(examples: DataFrame, distribution: str, clients: int, seed, labels_each: int = 2, vary: bool = False, shard_size: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Examples (example_id, label) dealt among clients by the named distribution: (client_id, example_id, label), and each
+    client's label set. iid, noniid (few labels for each client), unequal (shards of label-sorted examples) or one_per_user."""
+    if distribution == "iid":
+        owner = iid(examples, clients, seed)
+    elif distribution == "noniid":
+        owner = noniid(examples, clients, labels_each, seed, vary)
+    elif distribution == "unequal":
+        owner = unequal(examples, clients, shard_size, seed)
+    elif distribution == "one_per_user":
+        owner = one_per_user(examples, seed)
+    else:
+        raise ValueError(f"unknown distribution {distribution!r}")
+    owned = owner.join(examples, "example_id").select("client_id", *examples.columns)
+    return owned, label_sets(owned)
