@@ -10,7 +10,8 @@ source. Only small rows move; texts stay where they are, except where a caller j
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last; documents of size 0 are never
 taken and have no position; rows that repeat an id count each by itself, in the order of their sizes; without any word
-all targets are 0; an empty table gives no rows.
+all targets are 0; equal positions go by doc_id; huge texts are counted whole and never cut by the mix itself; other
+columns go along whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -113,6 +114,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken and position of each document, in the order of their positions."""
     docs = base.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     rows = base.written(sized(docs, ("doc_id", "source")), "sizes")
     out = copies(placed(rows))

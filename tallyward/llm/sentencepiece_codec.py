@@ -9,8 +9,9 @@ No piece of a vocabulary may hold a character followed by an escaped space; wher
 falls apart before each run of spaces and around line feeds: each different unit of a slice of texts is segmented
 once. Otherwise whole texts are segmented.
 
-Defined cases: a null or empty text has no tokens; bytes that aren't UTF-8 count as U+FFFD; repeated rows are encoded
-each by itself; an empty table gives no rows.
+Defined cases: a null or empty text has no tokens; bytes that aren't UTF-8 count as U+FFFD; repeated rows and ids are encoded
+each by itself; a huge text is a slice by itself; of map keys at one place the longest counts, so there are no ties; columns beside
+those asked for are ignored whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -324,5 +325,6 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ends_sha256 of each document."""
     docs = base.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return digests(docs, path or model_path())

@@ -219,5 +219,6 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of each document."""
     docs = base.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return deduplicated(docs, result="digest")
