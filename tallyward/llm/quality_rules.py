@@ -10,8 +10,10 @@ coordinates, and those of directions only. Concentration steps from each never r
 start with the least is followed until no determinant falls any more, and the least model of each group is kept.
 
 That search is distributed: a concentration step is one aggregation of moments by group, start and distance bin, with
-partial sums in each task, and a small update for each group; rows of a hot source are never gathered. Of the bin in which
-the h-th nearest row lies, the share that is needed counts. All sums are of whole numbers, so reruns agree to the last bit.
+partial sums in each task, and a small update for each group; rows of a hot source are never gathered. A step reads each row
+once and measures it by all starts in place; rows are joined with models only where those are too many to send along. Of the
+bin in which the h-th nearest row lies, the share that is needed counts. All sums are of whole numbers, so reruns agree to
+the last bit.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources are values of their
 own; a group of under ``min_rows`` rows is measured by the model of all rows of its language, and where that has as
@@ -242,6 +244,62 @@ def _bin() -> Column:
     return F.floor(BINS_PER_OCTAVE * F.log2(F.col("d2") + 2.0**-10)).cast("int")
 
 
+#: Where bins start, from that of distance 0 on.
+_FIRST = -10 * BINS_PER_OCTAVE
+_EDGES = 2.0 ** (np.arange(_FIRST, 64 * BINS_PER_OCTAVE) / BINS_PER_OCTAVE)
+_SUMS = ["n"] + [f"s{i}" for i in range(P)] + [f"s{i}_{j}" for i, j in _pairs()]
+
+
+def _summed(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, sums = keys[order], sums[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(sums, first) if len(first) else sums
+
+
+def _partial_moments(models: list, most: int = 20_000):
+    """Of each task's rows, their number and the sums of their coordinates and products by group, start and distance bin.
+
+    Every row is measured by each model of its group where it stands; a task holds ``most`` sums and a batch's at most.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names, starts = sorted({m["grp"] for m in models}), sorted({m["start"] for m in models})
+    mean, inner = np.full((len(starts), len(names), P), np.nan), np.zeros((len(starts), len(names), len(_pairs())))
+    for m in models:
+        at = starts.index(m["start"]), names.index(m["grp"])
+        mean[at], inner[at] = [m[f"m{i}"] for i in range(P)], [m[f"p{i}_{j}"] for i, j in _pairs()]
+
+    def out(keys, sums):
+        rest, of_bin = np.divmod(keys, len(_EDGES))
+        group, start = np.divmod(rest, len(starts))
+        columns = [pa.array(names, pa.string()).take(pa.array(group)), pa.array(np.array(starts, np.int64)[start]), pa.array((of_bin + _FIRST).astype(np.int32)), *map(pa.array, sums.T.copy())]
+        return pa.RecordBatch.from_arrays(columns, ["grp", "start", "bin", *_SUMS])
+
+    def run(batches):
+        keys, sums = np.zeros(0, np.int64), np.zeros((0, len(_SUMS)), np.int64)
+        for b in batches:
+            group = pc.index_in(b.column("grp"), pa.array(names, pa.string())).to_numpy(zero_copy_only=False)
+            x = np.stack([b.column(f"x{i}").to_numpy() for i in range(P)], axis=1)
+            moments = np.concatenate([np.ones((len(x), 1), np.int64), x, np.stack([x[:, i] * x[:, j] for i, j in _pairs()], axis=1)], axis=1)
+            for k in range(len(starts)):
+                z, d2 = x / float(UNIT) - mean[k, group], np.zeros(len(x))
+                for c, (i, j) in enumerate(_pairs()):
+                    d2 = d2 + inner[k, group, c] * z[:, i] * z[:, j]
+                some = ~np.isnan(d2)  # no model of this start
+                of_bin = np.searchsorted(_EDGES, np.maximum(d2[some], 0.0) + 2.0**-10, side="right") - 1
+                now = _summed((group[some].astype(np.int64) * len(starts) + k) * len(_EDGES) + of_bin, moments[some])
+                keys, sums = _summed(np.concatenate([keys, now[0]]), np.concatenate([sums, now[1]]))
+            if len(keys) > most:
+                yield out(keys, sums)
+                keys, sums = keys[:0], sums[:0]
+        if len(keys):
+            yield out(keys, sums)
+
+    return run
+
+
 def cells_of(stats: DataFrame, min_rows: int) -> DataFrame:
     """(l, s, grp, fits): the group whose model measures each language and source, itself, its language or all, and the
     groups whose models its rows make: its own and those of its language and of all that a smaller one needs."""
@@ -294,15 +352,25 @@ def estimate(rows: DataFrame, share: float, most: int, min_rows: int, exact_rows
     return base.written(found.unionByName(_concentrated(used.where(F.col("size") > exact_rows).drop("size"), share, most, min_rows, cut)), "model")
 
 
+def _moments(used: DataFrame, model: DataFrame, groups: int, limit: int = 5_000) -> DataFrame:
+    """The number of rows and the sums of coordinates and products by group, start and distance bin."""
+    if groups <= limit:
+        models = model.drop("rows", "log_det").collect()  # three for each group at most
+        fields = "grp string, start long, bin int, " + ", ".join(f"{k} long" for k in _SUMS)
+        parts = used.select("grp", *[f"x{i}" for i in range(P)]).mapInArrow(_partial_moments([m.asDict() for m in models]), fields)
+        return parts.groupBy("grp", "start", "bin").agg(*[F.sum(k).alias(k) for k in _SUMS])
+    sums = [F.count("*").alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _pairs()]
+    near = used.join(model.drop("rows", "log_det"), "grp").withColumn("d2", _distance())
+    return near.groupBy("grp", "start", _bin().alias("bin")).agg(*sums)
+
+
 def _concentrated(used: DataFrame, share: float, most: int, min_rows: int, cut: float) -> DataFrame:
     """The models of large groups by distributed concentration steps."""
     model = _start_models(used, min_rows)
     groups = model.select("grp").distinct().count()
-    sums = [F.count("*").alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _pairs()]
 
     def step(model: DataFrame, *how) -> DataFrame:
-        near = used.join(base.small(model.drop("rows", "log_det"), groups, 5_000), "grp").withColumn("d2", _distance())
-        moments = near.groupBy("grp", "start", _bin().alias("bin")).agg(*sums)
+        moments = _moments(used, model, groups)
         return base.written(moments.groupBy("grp", "start").applyInArrow(_concentrate(*how, min_rows), _MODEL), "model")
 
     least = lambda df: df.groupBy("grp").agg(F.min_by(F.struct(*[c for c in df.columns if c != "grp"]), F.struct("log_det", "start")).alias("m")).select("grp", "m.*")

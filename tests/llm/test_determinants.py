@@ -50,6 +50,18 @@ def test_distributed_steps_find_the_same_minimum(spark, monkeypatch):
         assert found[g] <= quality_rules.least_part(x, 455, LEAST)[1] + 0.05
 
 
+def test_a_step_reads_each_row_once(spark):
+    """Three starts are measured where a row stands, no row is joined with models; the sums are those of joined rows."""
+    rng = np.random.default_rng(46)
+    used = table(spark, {f"g{i}": mixture(rng, 400, 40 * i) for i in range(3)}).repartition(3)
+    model = quality_rules._start_models(used, 1).where("grp != 'g1' or start = 2")
+    one, joined = quality_rules._moments(used, model, 3), quality_rules._moments(used, model, 3, limit=0)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(one) and "Join" in plan(joined)
+    rows = lambda df: sorted(map(tuple, df.select(joined.columns).collect()))
+    assert rows(one) == rows(joined) and sum(r[3] for r in rows(one)) == 400 * 7
+
+
 @pytest.mark.parametrize("exact", [0, 2000])
 def test_correlated_majorities_are_found(spark, exact):
     """Outliers that no coordinate shows by itself are told by the scatter of the majority; a start by axes alone may stay where they hide."""
