@@ -433,12 +433,8 @@ def names(texts) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split())) for t in texts], np.uint64)
 
 
-def sketches(texts, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """How many different shingles each text has, and BANDS keys of them.
-
-    A key is a hash of MINIMA least values of the shingles under as many scramblings, so two texts share one with a
-    chance of their similarity to the power of MINIMA, independently for each band. Texts without words share all.
-    """
+def hashed(texts, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """How many different shingles each text has, and their 64 bits, in order within a text."""
     w = Words([None if t is None else t.lower() for t in texts])
     d, n = len(w.raw), w.n
     h, ok = w.windows(words)
@@ -452,9 +448,17 @@ def sketches(texts, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    doc, h = doc[new], h[new]
-    size = np.bincount(doc, minlength=d)
-    some = size > 0
+    return np.bincount(doc[new], minlength=d), h[new]
+
+
+def sketches(texts, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """How many different shingles each text has, and BANDS keys of them.
+
+    A key is a hash of MINIMA least values of the shingles under as many scramblings, so two texts share one with a
+    chance of their similarity to the power of MINIMA, independently for each band. Texts without words share all.
+    """
+    size, h = hashed(texts, words)
+    d, some = len(size), size > 0
     start = (np.cumsum(size) - size)[some]
     keys = np.zeros((d, BANDS), np.uint64)
     with np.errstate(over="ignore"):
@@ -503,13 +507,78 @@ def as_similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def apart_pairs(rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): pairs of ids of different roots, with all that are as similar and share a key, but few others; pairs within
+    reach of the least different text of their group stand for all that are so by that alone.
+
+    rows: (key, id, size, root); texts: (id, text). Texts joined by keys are a group. Its core are the shingles that over
+    half its texts have, and D is what tells a text from the core, in either direction. Two texts differ by just what their D
+    differ by, which is (1 - t) / (1 + t) of both sizes at most if they are t similar. So either their D have a shingle in
+    common: the rarest of those has few places before it in the order of both D, and the numbers of places before
+    and after it must agree. Or both D are small: then each of the two is as close to the text with the least D of all.
+    Any core would do for that; one that copies share leaves them little to meet by.
+    """
+    from fractions import Fraction
+
+    import pyarrow as pa
+
+    p, q = Fraction(str(similarity)).as_integer_ratio()
+    low, high = F.lit(q - p), F.lit(q + p)  # low / high of both sizes is the most that two texts may differ by
+
+    def make():
+        def run(some):
+            size, h = hashed(some, words)
+            return {"shingles": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), h.view(np.int64))}
+
+        return run
+
+    hubs = rows.groupBy("key").agg(F.min("id").alias("hub"))
+    groups = components(rows.join(hubs, "key").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    groups = groups.select(F.col("node").alias("id"), F.col("root").alias("grp"))
+    members = base.written(rows.select("id", "size", "root").distinct().join(groups, "id"), "members")
+    sets = base.written(base.map_texts(texts.join(members, "id"), make, "shingles array<long>", ("grp", "id", "size", "root")), "sets")
+
+    total = members.groupBy("grp").agg(F.count("*").alias("total"))
+    n = sets.select("grp", F.explode("shingles").alias("h")).groupBy("grp", "h").agg(F.count("*").alias("n")).where("n > 1")
+    n = n.join(total, "grp").withColumn("core", 2 * F.col("n") > F.col("total"))
+    n = base.written(n.select("grp", "h", "core", F.when(F.col("core"), F.col("total") - F.col("n")).otherwise(F.col("n")).alias("n")), "counts")
+    core = n.where("core").groupBy("grp").agg(F.collect_list("h").alias("core"))
+    core = base.small(core, n.where("core").count(), 100_000)
+    none = F.array().cast("array<long>")
+    apart = sets.join(core, "grp", "left").withColumn("core", F.coalesce("core", none))
+    apart = apart.select("grp", "id", "size", "root", F.concat(F.array_except("shingles", "core"), F.array_except("core", "shingles")).alias("d"))
+    apart = base.written(apart.withColumn("n_d", F.size("d").cast("long")), "differences")
+
+    # those in D that another text's D has too, the rarest first, after those that none has
+    of_text = ["grp", "id", "size", "root", "n_d"]
+    places = apart.select(*of_text, F.explode("d").alias("h")).join(n.where("n > 1").drop("core"), ["grp", "h"])
+    places = places.groupBy(*of_text).agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("d"))
+    places = places.select(*of_text, F.posexplode("d").alias("at", "e"), (F.col("n_d") - F.size("d")).alias("alone"))
+    places = places.select(*of_text, (F.col("alone") + F.col("at")).alias("before"), F.col("e.h").alias("h")).where(F.col("before") * p <= low * F.col("size"))
+    most = members.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    places = base.written(places.join(most, "grp").withColumn("many", F.col("root") == F.col("most")).drop("most"), "places")
+    x, y = places.where("not many").alias("x"), places.alias("y")
+    c = F.col
+    after = F.abs((c("x.n_d") - c("x.before")) - (c("y.n_d") - c("y.before")))
+    agree = high * (c("x.before") + c("y.before") + after) <= low * (c("x.size") + c("y.size"))
+    similar_size = F.least("x.size", "y.size") * q >= F.greatest("x.size", "y.size") * p
+    found = x.join(y, (c("x.grp") == c("y.grp")) & (c("x.h") == c("y.h")) & (c("x.root") != c("y.root")) & agree & similar_size & (c("y.many") | (c("x.id") < c("y.id"))))
+    found = found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+    spread = apart.select("grp", "id", "root", (high * F.col("n_d") - low * F.col("size")).alias("s"))
+    least = spread.groupBy("grp").agg(F.min(F.struct("s", "id", "root")).alias("m"))
+    star = spread.join(least, "grp").where((F.col("root") != F.col("m.root")) & (F.col("s") + F.col("m.s") <= 0))
+    return found.union(star.select(F.least("id", "m.id").alias("a"), F.greatest("id", "m.id").alias("b"))).distinct()
+
+
 def met_links(each: DataFrame, docs: DataFrame, close: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): links that join all pairs of ids that share a key and are as similar. each: (id, size, keys), id distinct;
     docs: (id, text); close: pairs (a, b) that are proposed otherwise.
 
-    First every id of a key is compared with the least one there, and pairs of close; then those at a key that are still apart, each with
-    each. So every pair that meets is either compared or joined by others already, and copies of one text never all
-    with each other.
+    First every id of a key is compared with the least one there, and pairs of close; then, of those at a key that are
+    still apart, the pairs that what tells them from their group leaves (apart_pairs). So every pair that meets is
+    compared, joined by others already, or told apart by its shingles; neither copies nor texts that are merely alike are
+    compared all with each other.
     """
     near = lambda x, y: F.least(x, y) >= F.floor(similarity * F.greatest(x, y))
     at = each.select("id", "size", F.explode("keys").alias("key"))
@@ -526,9 +595,7 @@ def met_links(each: DataFrame, docs: DataFrame, close: DataFrame, words: int, si
     rows = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
     apart = rows.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("key")
     rows = base.written(rows.join(apart, "key", "left_semi"), "apart")
-    other = rows.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    rest = rows.withColumnRenamed("id", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & near(F.col("size"), F.col("size_b")))
-    rest = base.written(rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    rest = base.written(apart_pairs(rows, texts, words, similarity), "rest")
     return first.union(as_similar(rest, texts, words, similarity))
 
 
